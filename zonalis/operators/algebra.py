@@ -54,8 +54,9 @@ def reclassify_by_table(pixels: DataFrame, ranges: DataFrame, value: str, name:
     """
     table = ranges.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "new_val"))).alias("t")).scalar()
     v = F.col(value).cast("double")
-    hit = F.get(F.filter(table, lambda r: (v > r.lo) & (v <= r.hi)), F.lit(0))
-    return pixels.withColumn(name, F.when(v != NODATA, F.coalesce(hit["new_val"].cast("double"), v)))
+    hit = F.get(F.filter("_ranges", lambda r: (v > r.lo) & (v <= r.hi)), F.lit(0))
+    new = F.when(v != NODATA, F.coalesce(hit["new_val"].cast("double"), v))
+    return pixels.withColumn("_ranges", table).withColumn(name, new).drop("_ranges")
 
 
 def overlay_buildings(base: Column, building: Column) -> Column:

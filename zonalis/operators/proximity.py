@@ -68,7 +68,7 @@ def _survivors(g2: np.ndarray, reach: np.ndarray) -> np.ndarray:
 
 
 def _row_parabolas(block: int):
-    def parabolas(key, table: pa.Table) -> pa.Table:
+    def parabolas(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         br, bc = key[0].as_py(), key[1].as_py()
         r0, c0 = br * block, bc * block
         g2 = _column_distance(table, _numbers(table, "kind"), r0, c0, block)
@@ -128,7 +128,7 @@ def _carry_rows(block: int, n_blocks: int):
 
 
 def _finish(block: int):
-    def finish(key, table: pa.Table) -> pa.Table:
+    def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         r0, c0 = key[0].as_py() * block, key[1].as_py() * block
         kind = _numbers(table, "kind")
         row, col = _numbers(table, "row_idx"), _numbers(table, "col_idx")

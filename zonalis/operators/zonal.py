@@ -94,13 +94,19 @@ def masked_height(
     raise ValueError("stat is 'median' or 'mean'")
 
 
-def mean_build_height(pixels: DataFrame, zone: str = "cell_id") -> DataFrame:
-    """Mean height of the building pixels above the zone's ground level ``dtm_median``.
+def mean_build_height(pixels: DataFrame, max_pixels: int, n_zones: int, zone: str = "cell_id") -> DataFrame:
+    """Mean height of a zone's building pixels above its ground level, the median of ``dtm``.
 
     The mean of ``dsm - level`` is the mean of ``dsm`` less the level, so pixels need not be joined
-    with the ground level first. Returns the mean building elevation as ``build_dsm_mean``.
+    with the ground level first.
     """
-    return pixels.groupBy(zone).agg(F.avg(F.when(F.col("mask") == 1, F.col("dsm"))).alias("build_dsm_mean"))
+    built = F.avg(F.when(F.col("mask") == 1, F.col("dsm"))).alias("_built")
+    if max_pixels <= BUFFER_PIXELS:
+        stats = pixels.groupBy(zone).agg(built, F.median("dtm").alias("_level"))
+    else:
+        level = split_median(pixels, zone, F.col("dtm"), "_level", n_zones)
+        stats = pixels.groupBy(zone).agg(built).join(level, zone, "left")
+    return stats.select(zone, (F.col("_built") - F.col("_level")).alias("mean_build_height"))
 
 
 def cell_profile(pixels: DataFrame, max_pixels: int, n_zones: int, zone: str = "cell_id") -> DataFrame:
