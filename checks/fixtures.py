@@ -32,6 +32,9 @@ FROM (SELECT k, row_idx, col_idx,
 # The same raster with pixels missing here and there.
 PX_HOLES = f"SELECT * FROM ({PX}) h WHERE (row_idx * 31 + col_idx) % 53 <> 0"
 
+# The raster as a tile table holds it: elevation in 32 bits.
+PX_STORED = f"""SELECT row_idx, col_idx, mask, class, CAST(CAST(dsm AS FLOAT) AS DOUBLE) AS dsm, albedo FROM ({PX}) s"""
+
 TILES = """
 SELECT vec_id AS tile_id, 'dsm' AS layer, 1 AS band, label AS priority,
        CAST(FLOOR(vec_id / 10) AS BIGINT) * 8 AS row0, (vec_id % 10) * 6 AS col0,
