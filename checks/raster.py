@@ -207,7 +207,7 @@ e AS MATERIALIZED (SELECT *, row_idx * 4294967296 + col_idx * 4 + side AS id,
         count(*) OVER (PARTITION BY component_id, x1, y1) AS n_out,
         count(*) OVER (PARTITION BY component_id, x2, y2) AS n_in FROM edge),
 succ AS MATERIALIZED (SELECT a.component_id, a.id, b.id AS nxt, a.side <> b.side AS turns, a.x2, a.y2 FROM e a JOIN e b
-    ON b.component_id = a.component_id AND b.x1 = a.x2 AND b.y1 = a.y2 AND (a.n_in = 1 OR b.side = (a.side + 1) % 4)),
+    ON b.component_id = a.component_id AND b.x1 = a.x2 AND b.y1 = a.y2 AND (a.n_in = 1 OR b.side = (a.side + 3) % 4)),
 walk(start, id, seq) AS (SELECT id, nxt, 1 FROM succ UNION ALL
     SELECT w.start, s.nxt, w.seq + 1 FROM walk w JOIN succ s ON s.id = w.id WHERE w.id > w.start),
 ring AS MATERIALIZED (SELECT start AS ring_id, CASE WHEN id = start THEN 0 ELSE seq END AS seq, id FROM walk

@@ -57,7 +57,7 @@ def slope(
     z = lambda n: F.coalesce(F.col(n), F.col("_c"))
     gx: Column = ((z("_ne") + 2 * z("_e") + z("_se")) - (z("_nw") + 2 * z("_w") + z("_sw"))) / (8 * px_x)
     gy: Column = ((z("_sw") + 2 * z("_s") + z("_se")) - (z("_nw") + 2 * z("_n") + z("_ne"))) / (8 * px_y)
-    steep = F.degrees(F.atan(F.sqrt(gx * gx + gy * gy) * z_factor))
+    steep = F.when(F.col("_c").isNotNull(), F.degrees(F.atan(F.sqrt(gx * gx + gy * gy) * z_factor)))
     return tall.select("row_idx", "col_idx", *others, steep.alias(name))
 
 

@@ -158,9 +158,10 @@ def component_rings(edges: DataFrame) -> DataFrame:
     """Chain unit edges into closed rings: (component_id, ring_id, seq, x, y), corners only.
 
     ``ring_id`` numbers the ring's first edge, the one with the smallest (row, col, side) rank, and
-    ``seq`` counts edges from there. Where a region meets itself at a corner, the ring turns around
-    the pixel it follows, in keeping with 4-connectedness. Successors form a permutation, so rings
-    of any length are ranked by pointer doubling: each round is one join on unique keys.
+    ``seq`` counts edges from there. Where a region meets itself at a corner, the ring crosses over
+    to the other pixel, which parts the outer ring from the hole enclosed there. Successors form a
+    permutation, so rings of any length are ranked by pointer doubling: each round is one join on
+    unique keys.
     """
     # An id that grows in reading order: pixel rows and columns stay below 2^30.
     key = F.expr("row_idx * 4294967296 + col_idx * 4 + side")
@@ -171,7 +172,7 @@ def component_rings(edges: DataFrame) -> DataFrame:
         F.when(crowd("x1", "y1"), F.col("side")).otherwise(-1).alias("turn"), F.col("side").alias("next_side"))
     ins = named.select(
         "component_id", F.col("x2").alias("x"), F.col("y2").alias("y"), "id", "x1", "y1", "side",
-        F.when(crowd("x2", "y2"), (F.col("side") + 1) % 4).otherwise(-1).alias("turn"))
+        F.when(crowd("x2", "y2"), (F.col("side") + 3) % 4).otherwise(-1).alias("turn"))
     # Every row: an edge, its successor, and where it starts.
     linked = materialize(ins.join(outs, ["component_id", "x", "y", "turn"]).select(
         "component_id", "id", "next", "side", "next_side", F.col("x1").alias("x"), F.col("y1").alias("y")))

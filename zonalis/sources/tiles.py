@@ -104,7 +104,8 @@ def as_float(value: Column) -> Column:
 
 def as_byte(value: Column) -> Column:
     """Store as unsigned byte: round, then clamp to 0..255."""
-    return F.least(F.greatest(F.round(value), F.lit(0.0)), F.lit(255.0)).cast("short")
+    clamped = F.least(F.greatest(F.round(value), F.lit(0.0)), F.lit(255.0))
+    return F.when(value.isNotNull(), clamped.cast("short"))
 
 
 def cast_layer_types(pixels: DataFrame, byte_layers=("rgb", "mask")) -> DataFrame:
