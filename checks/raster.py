@@ -223,6 +223,19 @@ def component_rings(spark, sf):
     return regions.component_rings(regions.component_edges(regions.components(_buildings(px), geo.n_cols)))
 
 
+@query("component_wkt", f"""WITH RECURSIVE {PX_CTE}, {REGION_CTE}, {EDGE_CTE}, {RING_CTE},
+    spot AS (SELECT component_id, ring_id, seq, regexp_replace(CAST(500000 + x * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') || ' '
+        || regexp_replace(CAST(4750000 - y * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') AS t FROM corner),
+    line AS (SELECT component_id, ring_id, '(' || string_agg(t, ', ' ORDER BY seq) || ', ' || min_by(t, seq) || ')' AS text
+        FROM spot GROUP BY component_id, ring_id)
+    SELECT component_id, CAST(0 AS BIGINT) AS part, 'POLYGON (' || string_agg(text, ', ' ORDER BY ring_id) || ')' AS wkt
+    FROM line GROUP BY component_id""")
+def component_wkt(spark, sf):
+    px, geo = raster(spark, sf)
+    labelled = regions.components(_buildings(px), geo.n_cols)
+    return regions.component_wkt(regions.component_rings(regions.component_edges(labelled)), geo)
+
+
 INSIDE_CTE = f"""
 poly AS ({sql(POLY)}), size AS (SELECT max(row_idx) + 1 AS n_rows FROM px),
 inside AS MATERIALIZED (

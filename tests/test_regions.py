@@ -39,16 +39,13 @@ def test_region_across_block_border(raster):
     assert set(labels(regions.components(raster([[1] * 8]), 8, block=4)).values()) == {0}
 
 
-@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 3])
-@pytest.mark.parametrize("block", [3, 8, 64])
+@pytest.mark.parametrize("block,hot_rows", [(3, 3), (8, skew.HOT_ROWS), (64, skew.HOT_ROWS)])
 def test_all_values_with_background(spark, block, hot_rows, monkeypatch):
     rng = np.random.default_rng(block)
     value = {(r, c): int(rng.random() < 0.4) for r in range(20) for c in range(26) if rng.random() < 0.95}
     px = spark.createDataFrame([(r, c, v) for (r, c), v in value.items()], "row_idx BIGINT, col_idx BIGINT, value INT")
     plain = regions.connect
     monkeypatch.setattr(regions, "connect", lambda pairs: plain(pairs, hot_rows))
-    if hot_rows == 3 and block != 3:
-        pytest.skip("few crossing labels")
     want = flood(value, 26)
     assert labels(regions.components(px, 26, block=block)) == want
     got = {r.component_id: r for r in regions.component_summary(px, 26, block=block).collect()}
@@ -84,10 +81,13 @@ def ring_map(df):
     return list(out.values())
 
 
-@pytest.mark.parametrize("rows,n_rings", [(RING, 2), (PINCH, 2), ([[1]], 1), ([[1, 0], [0, 1]], 2)])
-def test_rings_close_and_fill_back(spark, raster, rows, n_rings):
+def test_rings_close_and_fill_back(spark, raster):
+    # A ring, a pinched ring, a single pixel and two that touch at a corner: 2 + 2 + 1 + 2 rings.
+    gap = [[0]] * 5
+    pad = lambda rows: [r + [0] * (3 - len(r)) for r in rows] + [[0] * 3] * (5 - len(rows))
+    rows = [sum(line, []) for line in zip(RING, gap, pad(PINCH), gap, pad([[1]]), gap, pad([[1, 0], [0, 1]]))]
+    n_rings, n = 7, len(rows[0])
     mask = raster(rows).where("value = 1")
-    n = len(rows[0])
     rings = ring_map(regions.component_rings(regions.component_edges(regions.components(mask, n), block=2)))
     assert len(rings) == n_rings
     for ring in rings:
@@ -100,6 +100,21 @@ def test_rings_close_and_fill_back(spark, raster, rows, n_rings):
     assert back == {(r.row_idx, r.col_idx) for r in mask.collect()}
 
 
+def test_long_outlines_come_in_parts(raster):
+    mask = raster(RING).where("value = 1")
+    geo = Georef(100.0, 50.0, 0.5, 0.5, 5, 5)
+    rings = regions.component_rings(regions.component_edges(regions.components(mask, 5)))
+    whole = regions.component_wkt(rings, geo).collect()
+    assert [(r.component_id, r.part) for r in whole] == [(6, 0)]
+    assert whole[0].wkt == ("POLYGON ((100.5 49.5, 102 49.5, 102 48, 100.5 48, 100.5 49.5), "
+                            "(101.5 49, 101 49, 101 48.5, 101.5 48.5, 101.5 49))")
+    parts = [r.wkt for r in regions.component_wkt(rings, geo, max_points=5).orderBy("part").collect()]
+    assert parts[0].startswith("LINESTRING (100.5 49.5, 102 49.5")
+    lines = [p.removeprefix("LINESTRING (").removesuffix(")").split(", ") for p in parts]
+    assert sum(len(line) - 1 for line in lines) == 8
+    assert lines[0][-1] == lines[1][0]
+
+
 def test_rasterize_clips_and_takes_pixel_centres(spark):
     square = [(9, -2.0, -2.0, 1.5, -2.0), (9, 1.5, -2.0, 1.5, 1.5), (9, 1.5, 1.5, -2.0, 1.5), (9, -2.0, 1.5, -2.0, -2.0)]
     df = spark.createDataFrame(square, "polygon_id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")

@@ -34,7 +34,8 @@ class Line:
 
     def __init__(self, along: str):
         across = {"col_idx": "row_idx", "row_idx": "col_idx"}[along]
-        self.window = Window.partitionBy("br", "bc", across).orderBy(along)
+        # The key with the most values comes first: rows are sorted by it almost alone.
+        self.window = Window.partitionBy(across, "br", "bc").orderBy(along)
         self.along = along
 
     def position(self, step: int) -> Column:

@@ -24,11 +24,12 @@ from zonalis.schemas import Georef
 
 FAR = np.int64(1) << 30          # farther than any index
 NEVER = np.int64(1) << 60        # squared distance of "no target"
-PARABOLAS = "br BIGINT, row_idx BIGINT, bc BIGINT, toward INT, col_idx BIGINT, g2 BIGINT"
-CARRIES = "br BIGINT, bc BIGINT, row_idx BIGINT, col_idx BIGINT, g2 BIGINT"
+PARABOLAS = "br BIGINT, bc BIGINT, row_idx BIGINT, toward INT, col_idx BIGINT, g2 BIGINT"
+CARRIES = "block BIGINT, kind INT, row_idx BIGINT, col_idx BIGINT, a BIGINT, b BIGINT"
 DISTANCES = "row_idx BIGINT, col_idx BIGINT, distance DOUBLE"
-# Row kinds in a block's input.
-PIXEL, TARGET, COLUMN, PARABOLA = 0, 1, 2, 3
+# What a block learns from outside. COLUMN: nearest target rows above (a) and below (b) in a column.
+# PARABOLA: a column of the row with squared column distance a.
+COLUMN, PARABOLA = 0, 1
 MERGE_ROWS = 32
 
 
@@ -36,18 +37,19 @@ def _numbers(table: pa.Table, name: str, default: int = 0) -> np.ndarray:
     return table[name].combine_chunks().fill_null(default).to_numpy(zero_copy_only=False)
 
 
-def _column_distance(table: pa.Table, kind: np.ndarray, r0: int, c0: int, block: int) -> np.ndarray:
-    """Squared distance to the nearest target in the same column, for each position of the block."""
-    row, col = _numbers(table, "row_idx"), _numbers(table, "col_idx")
+def _column_distance(spots: np.ndarray, known: pa.Table, r0: int, c0: int, block: int) -> np.ndarray:
+    """Squared distance to the nearest target in the same column, for each position of the block.
+
+    ``spots`` are the positions of the block's own targets, counted row by row.
+    """
     at = np.arange(block, dtype=np.int64)[:, None]
     above = np.full((block, block), -FAR)
     below = np.full((block, block), FAR)
-    t = kind == TARGET
-    above[row[t] - r0, col[t] - c0] = below[row[t] - r0, col[t] - c0] = row[t] - r0
-    k = kind == COLUMN
+    above.flat[spots] = below.flat[spots] = spots // block
+    k = _numbers(known, "kind") == COLUMN
+    col = _numbers(known, "col_idx")[k] - c0
     up, down = np.full(block, -FAR), np.full(block, FAR)
-    up[col[k] - c0] = _numbers(table, "up", -FAR)[k] - r0
-    down[col[k] - c0] = _numbers(table, "down", FAR)[k] - r0
+    up[col], down[col] = _numbers(known, "a", -FAR)[k] - r0, _numbers(known, "b", FAR)[k] - r0
     above = np.maximum(np.maximum.accumulate(above, axis=0), up)
     below = np.minimum(np.minimum.accumulate(below[::-1], axis=0)[::-1], down)
     g = np.minimum(at - above, below - at)
@@ -67,11 +69,11 @@ def _survivors(g2: np.ndarray, reach: np.ndarray) -> np.ndarray:
     return keep
 
 
-def _row_parabolas(block: int):
-    def parabolas(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        br, bc = key[0].as_py(), key[1].as_py()
+def _row_parabolas(block: int, n_bc: int):
+    def parabolas(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
+        br, bc = divmod(key[0].as_py(), n_bc)
         r0, c0 = br * block, bc * block
-        g2 = _column_distance(table, _numbers(table, "kind"), r0, c0, block)
+        g2 = _column_distance(_numbers(own, "spot"), known, r0, c0, block)
         reach = np.arange(1, block + 1, dtype=np.int64)[None, :]
         parts = []
         for toward, view, cols in (
@@ -83,8 +85,8 @@ def _row_parabolas(block: int):
         row, toward, col, best = (np.concatenate(x) for x in zip(*parts))
         n = len(row)
         return pa.table({
-            "br": pa.array(np.full(n, br), pa.int64()), "row_idx": pa.array(row, pa.int64()),
-            "bc": pa.array(np.full(n, bc), pa.int64()), "toward": pa.array(toward, pa.int32()),
+            "br": pa.array(np.full(n, br), pa.int64()), "bc": pa.array(np.full(n, bc), pa.int64()),
+            "row_idx": pa.array(row, pa.int64()), "toward": pa.array(toward, pa.int32()),
             "col_idx": pa.array(col, pa.int64()), "g2": pa.array(best, pa.int64()),
         })
 
@@ -120,49 +122,43 @@ def _carry_rows(block: int, n_blocks: int):
                 found.append((held[0], np.full(len(held[0]), b), held[1], held[2], held[3]))
                 add = bc == b
                 held = [np.concatenate(p) for p in zip(held, (br[add], row[add], col[add], g2[add]))]
-        columns = [np.concatenate(x) for x in zip(*found)]
+        br, bc, row, col, g2 = (np.concatenate(x) for x in zip(*found))
         return pa.table({
-            n: pa.array(c, pa.int64()) for n, c in zip(("br", "bc", "row_idx", "col_idx", "g2"), columns)})
+            "block": pa.array(br * n_blocks + bc, pa.int64()), "kind": pa.array(np.full(len(br), PARABOLA), pa.int32()),
+            "row_idx": pa.array(row, pa.int64()), "col_idx": pa.array(col, pa.int64()),
+            "a": pa.array(g2, pa.int64()), "b": pa.nulls(len(br), pa.int64()),
+        })
 
     return carry
 
 
-def _finish(block: int):
-    def finish(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        r0, c0 = key[0].as_py() * block, key[1].as_py() * block
-        kind = _numbers(table, "kind")
-        row, col = _numbers(table, "row_idx"), _numbers(table, "col_idx")
-        g2 = _column_distance(table, kind, r0, c0, block)
+def _finish(block: int, n_bc: int):
+    def finish(key: tuple[pa.Scalar, ...], own: pa.Table, known: pa.Table) -> pa.Table:
+        br, bc = divmod(key[0].as_py(), n_bc)
+        r0, c0 = br * block, bc * block
+        spot, hit = _numbers(own, "spot"), _numbers(own, "hit", False)
+        g2 = _column_distance(spot[hit], known, r0, c0, block)
         best = g2.copy()
         across = c0 + np.arange(block)
-        p = kind == PARABOLA
-        for r, c, g in zip(row[p] - r0, col[p], _numbers(table, "g2")[p]):
+        p = _numbers(known, "kind") == PARABOLA
+        row, col, offset = (_numbers(known, n)[p] for n in ("row_idx", "col_idx", "a"))
+        for r, c, g in zip(row - r0, col, offset):
             np.minimum(best[r], (across - c) ** 2 + g, out=best[r])
+        # Within the block, try columns at growing offsets until none can be nearer.
         for d in range(1, block):
             if d * d >= best.max():
                 break
             np.minimum(best[:, d:], g2[:, :-d] + d * d, out=best[:, d:])
             np.minimum(best[:, :-d], g2[:, d:] + d * d, out=best[:, :-d])
-        k = kind <= TARGET
-        d2 = best[row[k] - r0, col[k] - c0]
+        d2 = best.flat[spot]
         return pa.table({
-            "row_idx": pa.array(row[k], pa.int64()), "col_idx": pa.array(col[k], pa.int64()),
+            "row_idx": pa.array(r0 + spot // block, pa.int64()), "col_idx": pa.array(c0 + spot % block, pa.int64()),
             "distance": pa.array(np.sqrt(d2.astype(float)), pa.float64(), mask=d2 >= NEVER),
         })
 
     return finish
 
 
-def _tagged(df: DataFrame, kind: int) -> DataFrame:
-    """Bring one kind of block input to the common columns."""
-    null = F.lit(None).cast("bigint")
-    has = set(df.columns)
-    return df.select("br", "bc", *([] if "kind" in has else [F.lit(kind).alias("kind")]), *[
-        F.col(c).cast("bigint") if c in has else null.alias(c)
-        for c in ("kind", "row_idx", "col_idx", "up", "down", "g2") if c in has or c != "kind"
-    ])
-
-
 def proximity(
     pixels: DataFrame, geo: Georef, column: str = "mask", target: int = 1,
     units: str = "pixel", block: int = BLOCK,
@@ -177,41 +173,42 @@ def proximity(
         raise ValueError("map units need square pixels")
     n_br, n_bc = -(-geo.n_rows // block), -(-geo.n_cols // block)
     spark = pixels.sparkSession
-    marked = add_block(pixels.select(
-        "row_idx", "col_idx",
-        F.when(F.col(column) == target, TARGET).otherwise(PIXEL).cast("bigint").alias("kind"),
-    ), block)
-    targets = add_block(pixels.where(F.col(column) == target).select("row_idx", "col_idx"), block)
-    inputs = _tagged(marked, PIXEL)
-
+    # A pixel travels as its block, its position inside it and whether it is a target.
+    placed = pixels.select(
+        F.expr(f"row_idx div {block} * {n_bc} + col_idx div {block}").alias("block"),
+        F.expr(f"cast(row_idx % {block} * {block} + col_idx % {block} as int)").alias("spot"),
+        F.coalesce(F.col(column) == target, F.lit(False)).alias("hit"))
+    known = spark.createDataFrame([], CARRIES)
     if n_br > 1:
-        firsts = targets.groupBy("br", "bc", "col_idx").agg(
-            F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
-        blocks = lattice(spark, n_br, n_bc, "br", "bc")
-        lines = explode_range(
-            blocks, "col_idx", F.col("bc") * block, F.least(F.col("bc") * block + block, F.lit(geo.n_cols)) - 1,
-        ).select("br", "bc", "col_idx", *[F.lit(None).cast("bigint").alias(c) for c in ("first", "last")])
-        # One row per block and column, partitioned once for the grouping and both windows.
-        runs = (
-            firsts.unionByName(lines).repartition("col_idx")
-            .groupBy("col_idx", "bc", "br").agg(F.max("first").alias("first"), F.max("last").alias("last"))
-        )
-        by_column = Window.partitionBy("col_idx", "bc")
-        before = by_column.orderBy("br").rowsBetween(Window.unboundedPreceding, -1)
-        after = by_column.orderBy(F.desc("br")).rowsBetween(Window.unboundedPreceding, -1)
-        columns = runs.select(
-            "br", "bc", "col_idx",
-            F.last("last", True).over(before).alias("up"), F.last("first", True).over(after).alias("down"),
-        ).where("up IS NOT NULL OR down IS NOT NULL")
-        inputs = inputs.unionByName(_tagged(columns, COLUMN))
+        known = _nearest_rows(pixels.where(F.col(column) == target), geo, block, n_br, n_bc)
     if n_bc > 1:
-        own = _tagged(targets, TARGET)
-        if n_br > 1:
-            own = own.unionByName(_tagged(columns, COLUMN))
-        parabolas = own.groupBy("br", "bc").applyInArrow(_row_parabolas(block), PARABOLAS)
-        band = F.expr(f"row_idx div {max(1, min(MERGE_ROWS, 4096 // n_bc))}")
-        carries = parabolas.groupBy(band.alias("band")).applyInArrow(_carry_rows(block, n_bc), CARRIES)
-        inputs = inputs.unionByName(_tagged(carries, PARABOLA))
-
-    out = inputs.groupBy("br", "bc").applyInArrow(_finish(block), DISTANCES)
+        targets = placed.where("hit").select("block", "spot")
+        parabolas = targets.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
+            _row_parabolas(block, n_bc), PARABOLAS)
+        band = F.expr(f"row_idx div {max(1, min(MERGE_ROWS, 4096 // n_bc))}").alias("band")
+        known = known.unionByName(parabolas.groupBy(band).applyInArrow(_carry_rows(block, n_bc), CARRIES))
+    out = placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_finish(block, n_bc), DISTANCES)
     return out if units == "pixel" else out.withColumn("distance", F.col("distance") * geo.px_x)
+
+
+def _nearest_rows(targets: DataFrame, geo: Georef, block: int, n_br: int, n_bc: int) -> DataFrame:
+    """For every block and column, the nearest target rows above and below the block."""
+    firsts = add_block(targets.select("row_idx", "col_idx"), block).groupBy("br", "bc", "col_idx").agg(
+        F.min("row_idx").alias("first"), F.max("row_idx").alias("last"))
+    lines = explode_range(
+        lattice(targets.sparkSession, n_br, n_bc, "br", "bc"), "col_idx",
+        F.col("bc") * block, F.least(F.col("bc") * block + block, F.lit(geo.n_cols)) - 1,
+    ).select("br", "bc", "col_idx", *[F.lit(None).cast("bigint").alias(c) for c in ("first", "last")])
+    # One row per block and column, partitioned once for the grouping and both windows.
+    runs = (
+        firsts.unionByName(lines).repartition("col_idx")
+        .groupBy("col_idx", "bc", "br").agg(F.max("first").alias("first"), F.max("last").alias("last"))
+    )
+    by_column = Window.partitionBy("col_idx", "bc")
+    before = by_column.orderBy("br").rowsBetween(Window.unboundedPreceding, -1)
+    after = by_column.orderBy(F.desc("br")).rowsBetween(Window.unboundedPreceding, -1)
+    return runs.select(
+        (F.col("br") * n_bc + F.col("bc")).alias("block"), F.lit(COLUMN).alias("kind"),
+        F.lit(None).cast("bigint").alias("row_idx"), "col_idx",
+        F.last("last", True).over(before).alias("a"), F.last("first", True).over(after).alias("b"),
+    ).where("a IS NOT NULL OR b IS NOT NULL")

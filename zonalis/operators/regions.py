@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from zonalis.functions.blocks import BLOCK, Line, add_block, with_halo
 from zonalis.functions.scratch import materialize
 from zonalis.functions.skew import HOT_ROWS, lookup
+from zonalis.functions.text import number_text
+from zonalis.schemas import Georef
 
 LABELLED = "row_idx BIGINT, col_idx BIGINT, value INT, label BIGINT"
 
@@ -187,23 +189,55 @@ def component_rings(edges: DataFrame) -> DataFrame:
         if settled:
             break
 
-    # Steps left to the first edge, which absorbs.
+    # Steps left to the first edge, which absorbs. Only edges still on their way are joined, so the
+    # keys stay unique.
     first = F.col("next") == F.col("low")
-    steps = linked.join(jump.select("id", "low"), "id").select(
-        "id", "low", "next", F.lit(1).cast("bigint").alias("left"))
-    arrived = steps.where(first)
-    way = steps
-    while True:
+    way = materialize(linked.join(jump.select("id", "low"), "id").select(
+        "id", "low", "next", F.lit(1).cast("bigint").alias("left")))
+    while way.where(~first).limit(1).count() > 0:
         ahead = way.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"))
-        way = materialize(way.join(ahead, "next", "left").select(
-            "id", "low",
-            F.when(first, F.col("next")).otherwise(F.col("next2")).alias("next"),
-            F.when(first, F.col("left")).otherwise(F.col("left") + F.col("left2")).alias("left")))
-        if way.where(~first).limit(1).count() == 0:
-            break
+        moved = way.where(~first).join(ahead, "next").select(
+            "id", "low", F.col("next2").alias("next"), (F.col("left") + F.col("left2")).alias("left"))
+        way = materialize(moved.unionByName(way.where(first)))
     length = way.where("id = low").select("low", F.col("left").alias("n"))
-    ranked = way.join(length, "low").select("id", F.col("low").alias("ring_id"), F.expr("(n - left) % n").alias("seq"))
+    ranked = lookup(way, "low", length, way.count()).select(
+        "id", F.col("low").alias("ring_id"), F.expr("(n - left) % n").alias("seq"))
     # A corner is an edge whose predecessor runs another way; the predecessor knows its successor.
     turns = linked.where("side <> next_side").select(F.col("next").alias("id"))
     return linked.select("component_id", "id", "x", "y").join(turns, "id", "left_semi").join(ranked, "id").select(
         "component_id", "ring_id", "seq", "x", "y")
+
+
+def component_wkt(rings: DataFrame, geo: Georef, max_points: int = 10_000) -> DataFrame:
+    """Outlines as text in map coordinates: (component_id, part, wkt).
+
+    A region with at most ``max_points`` corners is one POLYGON, its outer ring first. A larger one
+    is given in full as LINESTRING parts that join end to end, each from a stretch of ``max_points``
+    unit edges of one ring, so no row is built from more than that.
+    """
+    point = F.concat_ws(" ", number_text(F.lit(geo.x_min) + F.col("x") * geo.px_x),
+                        number_text(F.lit(geo.y_max) - F.col("y") * geo.px_y))
+    stretch = F.expr(f"seq div {max_points}").alias("stretch")
+    pieces = rings.groupBy("component_id", "ring_id", stretch).agg(
+        F.sort_array(F.collect_list(F.struct("seq", point.alias("t"))))["t"].alias("points"))
+    ring = Window.partitionBy("ring_id").orderBy("stretch")
+    # A piece ends where the next one starts, the last piece where the ring started.
+    start = F.element_at("points", 1)
+    last_row = F.lead("stretch").over(ring).isNull()
+    back = F.first(start).over(ring.rowsBetween(Window.unboundedPreceding, 0))
+    closed = pieces.withColumns({
+        "end": F.when(last_row, back).otherwise(F.lead(start).over(ring)), "size": F.size("points")})
+    text = F.concat(F.lit("("), F.array_join(F.concat("points", F.array("end")), ", "), F.lit(")"))
+    lines = materialize(closed.select("component_id", "ring_id", "stretch", "size", text.alias("text")))
+    sizes = lines.groupBy("component_id").agg(F.sum("size").alias("n"), F.max("stretch").alias("s"))
+    small = sizes.where((F.col("n") <= max_points) & (F.col("s") == 0)).select("component_id")
+    # Reading order makes the first edge of a region part of its outer ring.
+    polygons = lines.join(small, "component_id", "left_semi").groupBy("component_id").agg(
+        F.sort_array(F.collect_list(F.struct("ring_id", "text")))["text"].alias("r")).select(
+        "component_id", F.lit(0).cast("bigint").alias("part"),
+        F.concat(F.lit("POLYGON ("), F.array_join("r", ", "), F.lit(")")).alias("wkt"))
+    order = Window.partitionBy("component_id").orderBy("ring_id", "stretch")
+    parts = lines.join(small, "component_id", "left_anti").select(
+        "component_id", (F.row_number().over(order) - 1).cast("bigint").alias("part"),
+        F.concat(F.lit("LINESTRING "), "text").alias("wkt"))
+    return polygons.unionByName(parts)
