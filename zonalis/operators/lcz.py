@@ -1,14 +1,12 @@
 """Local climate zone of a cell from up to ten parameters (classes after Stewart and Oke 2012).
 
-The 17 classes are a fixed table, so it enters the plan as one constant array: a cell's row is
-repeated beside the 17 entries and compared with each by generated code, and no join is needed.
+The 17 classes are a fixed table, so it enters the plan as one constant array. The best class of a
+cell is the minimum of that array after scoring, found inside the cell's row without join or
+shuffle. Long results repeat the row beside the 17 entries.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,76 +83,83 @@ def available_params() -> Column:
     return reduce(add, [F.col(p).isNotNull().cast("int") for p in PARAMETERS])
 
 
-def _class_array() -> Column:
-    """The class table as one constant array of structs."""
+def _number(x: float) -> str:
+    return "CAST('Infinity' AS DOUBLE)" if x == float("inf") else f"{x!r}D"
+
+
+def _class_array() -> str:
+    """The class table as one constant array of structs, in SQL."""
     entries = []
     for i, (code, _, ranges) in enumerate(CLASSES, 1):
-        fields = [F.lit(i).alias("class_ord"), F.lit(code).alias("lcz_class"), F.lit(code.isdigit()).alias("built")]
+        fields = [f"{i} AS class_ord, '{code}' AS lcz_class, {str(code.isdigit()).lower()} AS built"]
         for p, (low, high) in zip(PARAMETERS, ranges):
             target = low if high == float("inf") else (low + high) / 2
-            fields += [F.lit(v).alias(f"{p}_{k}") for k, v in (("low", low), ("high", high), ("target", target))]
-        entries.append(F.struct(*fields))
-    return F.array(*entries)
-
-
-# The expressions below read a cell's parameters and the class entry ``_c`` beside them. An unknown
-# parameter is NaN there, which lies in no range.
-def _low(p: str) -> Column:
-    return F.col(f"_c.{p}_low")
-
-
-def _high(p: str) -> Column:
-    return F.col(f"_c.{p}_high")
-
+            fields.append(f"{_number(low)} AS {p}_low, {_number(high)} AS {p}_high, {_number(target)} AS {p}_target")
+        entries.append(f"struct({', '.join(fields)})")
+    return f"array({', '.join(entries)})"
 
-def _target(p: str) -> Column:
-    return F.col(f"_c.{p}_target")
 
+# The SQL below compares a cell's parameters with a class entry ``c``. An unknown parameter is NaN
+# there, which lies in no range.
+ELIGIBLE = f"(building_surface_fraction > {BUILT_THRESHOLD}D) = {{c}}.built"
 
-def _inside(p: str) -> Column:
-    return (F.col(p) >= _low(p)) & (F.col(p) <= _high(p))
 
+def _inside(c: str, p: str) -> str:
+    return f"({p} >= {c}.{p}_low AND {p} <= {c}.{p}_high)"
 
-def _eligible() -> Column:
-    """Built classes need buildings, the others must have none."""
-    return (F.col("building_surface_fraction") > BUILT_THRESHOLD) == F.col("_c.built")
 
-
-def _contribution(p: str) -> Column:
+def _contribution(c: str, p: str) -> str:
     """Squared error relative to the class target: 0 inside the range, infinite for a target of 0."""
-    error = (F.col(p) - _target(p)) / _target(p)
-    return F.when(_inside(p) | F.isnan(p), 0.0).when(_target(p) == 0, float("inf")).otherwise(error * error)
-
+    error = f"(({p} - {c}.{p}_target) / {c}.{p}_target)"
+    return (f"CASE WHEN {_inside(c, p)} OR isnan({p}) THEN 0D WHEN {c}.{p}_target = 0D THEN {_number(float('inf'))} "
+            f"ELSE {error} * {error} END")
 
-def _mean_contribution() -> Column:
-    total = reduce(add, [_contribution(p) for p in PARAMETERS])
-    return F.sqrt(F.try_divide(total, F.col("available_params").cast("double")) * 100)
 
-
-def _tally(denominator: str) -> list[Column]:
+def _tally(c: str, denominator: str) -> tuple[str, str]:
     """Counts and summed squared errors over the ten parameters of one class.
 
-    ``_n`` packs three counts as decimal digits: parameters inside their range, 100 times those
+    The first packs three counts as decimal digits: parameters inside their range, 100 times those
     outside it, 10000 times those outside it whose error is defined. One sum instead of three keeps
     the generated loop within the size that the JVM compiles, which makes it about ten times faster.
     A parameter whose target is 0 counts for nothing when it is outside.
     """
     if denominator not in ("value", "target"):
         raise ValueError("denominator is 'value' or 'target'")
-    base = F.col if denominator == "value" else _target
-    ignored = lambda p: F.isnan(p) | (_target(p) == 0)
+    counts, errors = [], []
+    for p in PARAMETERS:
+        target = f"{c}.{p}_target"
+        base = p if denominator == "value" else target
+        ignored = f"isnan({p}) OR {target} = 0D"
+        error = f"(({p} - {target}) / {base})"
+        counts.append(f"CASE WHEN {_inside(c, p)} THEN 1D WHEN {ignored} THEN 0D WHEN {base} = 0D THEN 100D ELSE 10100D END")
+        errors.append(f"CASE WHEN {_inside(c, p)} OR {ignored} OR {base} = 0D THEN 0D ELSE {error} * {error} END")
+    return f"CAST({' + '.join(counts)} AS INT)", " + ".join(errors)
 
-    def count(p: str) -> Column:
-        return F.when(_inside(p), 1.0).when(ignored(p), 0.0).when(base(p) == 0, 100.0).otherwise(10100.0)
 
-    def error(p: str) -> Column:
-        e = (F.col(p) - _target(p)) / base(p)
-        return F.when(_inside(p) | ignored(p) | (base(p) == 0), 0.0).otherwise(e * e)
+def _matches(n: str) -> str:
+    return f"{n} % 100"
 
-    return [
-        reduce(add, [count(p) for p in PARAMETERS]).cast("int").alias("_n"),
-        reduce(add, [error(p) for p in PARAMETERS]).alias("_sum"),
-    ]
+
+def _score(n: str, total: str) -> str:
+    """0 if no parameter is outside its range, NULL if none of those outside has a defined error."""
+    return (f"CASE WHEN {n} div 100 % 100 = 0 THEN 0D "
+            f"WHEN {n} div 10000 > 0 THEN sqrt({total} / ({n} div 10000) * 100) / 100 END")
+
+
+def input_status(tolerance: float = 0.0) -> Column:
+    """Whether a cell can be classified: the building share is known and the shares add up to 100."""
+    building, impervious, pervious = (F.col(c) for c in SUM_ORDER)
+    return (
+        F.when(building.isNull(), "missing_building")
+        .when(impervious.isNull() | pervious.isNull(), "missing_fraction")
+        .when(F.abs(building + impervious + pervious - WHOLE) > tolerance, "bad_sum")
+        .otherwise("ok")
+    )
+
+
+def available_params() -> Column:
+    """How many of the ten parameters are known."""
+    return F.expr(" + ".join(f"CAST({p} IS NOT NULL AS INT)" for p in PARAMETERS))
 
 
 def _prepared(cells: DataFrame, tolerance: float) -> DataFrame:
@@ -176,13 +181,13 @@ def lcz_input_status(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return _prepared(cells, tolerance)
 
 
-def _by_class(cells: DataFrame, tolerance: float, *fields: Column) -> DataFrame:
-    """One row per valid cell and class, with the given columns."""
+def _by_class(cells: DataFrame, tolerance: float, *fields: str) -> DataFrame:
+    """One row per valid cell and class, with the given SQL over the class entry ``_c``."""
     ok = _prepared(cells, tolerance).where("lcz_status = 'ok'")
-    known = [F.coalesce(p, F.lit(float("nan"))).alias(p) for p in PARAMETERS]
-    beside = ok.select("cell_id", "available_params", *known, F.explode(_class_array()).alias("_c"))
-    return beside.select(
-        "cell_id", "_c.class_ord", "_c.lcz_class", "available_params", _eligible().alias("eligible"), *fields)
+    known = [f"coalesce({p}, CAST('NaN' AS DOUBLE)) AS {p}" for p in PARAMETERS]
+    beside = ok.selectExpr("cell_id", "available_params", *known, f"explode({_class_array()}) AS _c")
+    return beside.selectExpr(
+        "cell_id", "_c.class_ord", "_c.lcz_class", "available_params", f"{ELIGIBLE.format(c='_c')} AS eligible", *fields)
 
 
 def lcz_eligible(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -192,13 +197,11 @@ def lcz_eligible(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 def lcz_contributions(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per cell, eligible class and known parameter: inside the range or not, and the contribution."""
-    params = F.explode(F.array(*[
-        F.struct(
-            F.lit(i).alias("param_ord"), F.lit(p).alias("param"), F.col(p).alias("value"),
-            _low(p).alias("min_val"), _high(p).alias("max_val"),
-            _inside(p).alias("matched"), _contribution(p).alias("contribution"))
-        for i, p in enumerate(PARAMETERS, 1)])).alias("p")
-    rows = _by_class(cells, tolerance, params).where(F.col("eligible") & ~F.isnan("p.value"))
+    entries = ", ".join(
+        f"struct({i} AS param_ord, '{p}' AS param, {p} AS value, _c.{p}_low AS min_val, _c.{p}_high AS max_val, "
+        f"{_inside('_c', p)} AS matched, {_contribution('_c', p)} AS contribution)"
+        for i, p in enumerate(PARAMETERS, 1))
+    rows = _by_class(cells, tolerance, f"explode(array({entries})) AS p").where("eligible AND NOT isnan(p.value)")
     return rows.select("cell_id", "class_ord", "lcz_class", "p.*")
 
 
@@ -208,18 +211,17 @@ def lcz_matches(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
         "cell_id", "lcz_class", "param", "value", "min_val", "max_val")
 
 
-def _scored(cells: DataFrame, tolerance: float, denominator: str, *extra: Column) -> DataFrame:
+def _scored(cells: DataFrame, tolerance: float, denominator: str, *extra: str) -> DataFrame:
     """All 17 classes per cell with their matches and score; an ineligible one has neither.
 
     The score is the root mean square percentage error over the parameters outside their range; it
     is 0 if there are none and NULL if none of them has a defined error.
     """
-    rows = _by_class(cells, tolerance, *_tally(denominator), *extra)
-    n = F.expr("_n div 10000")
-    score = F.when(F.expr("_n div 100 % 100") == 0, 0.0).when(n > 0, F.sqrt(F.col("_sum") / n * 100) / 100)
+    n, total = _tally("_c", denominator)
+    rows = _by_class(cells, tolerance, f"{n} AS _n", f"{total} AS _sum", *extra)
     return rows.withColumns({
-        "perfect_matches": F.when(F.col("eligible"), F.col("_n") % 100).otherwise(0),
-        "score": F.when(F.col("eligible"), score),
+        "perfect_matches": F.expr(f"IF(eligible, {_matches('_n')}, 0)"),
+        "score": F.expr(f"IF(eligible, {_score('_n', '_sum')}, NULL)"),
     }).drop("_n", "_sum")
 
 
@@ -228,7 +230,8 @@ def lcz_scores(cells: DataFrame, tolerance: float = 0.0, denominator: str = "val
 
     ``denominator`` says whether an error is relative to the cell's ``value`` or the class ``target``.
     """
-    mean = _mean_contribution().alias("mean_contribution")
+    total = " + ".join(_contribution("_c", p) for p in PARAMETERS)
+    mean = f"sqrt(({total}) / CAST(available_params AS DOUBLE) * 100) AS mean_contribution"
     return _scored(cells, tolerance, denominator, mean).where("eligible").drop("eligible")
 
 
@@ -237,57 +240,76 @@ def lcz_all_results(cells: DataFrame, tolerance: float = 0.0, denominator: str =
 
     An ineligible class has no score, no match and an empty map.
     """
-    pairs = [x for p in PARAMETERS for x in (
-        F.lit(p), F.when(_eligible() & ~F.isnan(p), _contribution(p)))]
-    errors = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull()).alias("error_contributions")
+    pairs = ", ".join(
+        f"'{p}', IF({ELIGIBLE.format(c='_c')} AND NOT isnan({p}), {_contribution('_c', p)}, NULL)" for p in PARAMETERS)
+    errors = f"map_filter(map({pairs}), (k, v) -> v IS NOT NULL) AS error_contributions"
     return _scored(cells, tolerance, denominator, errors)
 
 
-def _order() -> Column:
-    """Sorts the best class first: most matches, lowest score, class order; unknown scores last.
+def _with_contenders(cells: DataFrame, denominator: str, pick: str) -> DataFrame:
+    """Add ``_b``, what the SQL function ``pick`` makes of a cell's contenders.
 
-    Scores are compared to 12 decimals, so that the order of summation cannot break a tie.
+    The contenders are the eligible classes as structs that sort best first: most matches, lowest
+    score, class order; unknown scores last. Scores are compared to 12 decimals, so that the order
+    of summation cannot break a tie. An ineligible class never wins: an eligible one has a match or
+    a defined error in the building share.
     """
-    rounded = F.coalesce(F.rint(F.col("score") * 1e12), F.lit(float("inf")))
-    return F.struct(
-        (-F.col("perfect_matches")).alias("neg_matches"), rounded.alias("rounded"), "class_ord", "lcz_class", "score")
+    n, total = _tally("c", denominator)
+    tallied = (f"transform(filter({_class_array()}, c -> {ELIGIBLE.format(c='c')}), "
+               f"c -> struct({n} AS n, {total} AS total, c.class_ord AS o, c.lcz_class AS k))")
+    score = _score("x.n", "x.total")
+    ordered = (f"transform({tallied}, x -> struct(-({_matches('x.n')}) AS neg_matches, "
+               f"coalesce(rint(({score}) * 1e12D), CAST('Infinity' AS DOUBLE)) AS rounded, "
+               f"x.o AS class_ord, x.k AS lcz_class, {score} AS score))")
+    # The comparison sees NaN for unknown parameters; the cell's own columns stay as they are.
+    own = [f"{c} AS _own_{c}" if c in PARAMETERS else f"`{c}`" for c in cells.columns]
+    known = [f"coalesce({p}, CAST('NaN' AS DOUBLE)) AS {p}" for p in PARAMETERS]
+    back = [f"_own_{c} AS {c}" if c in PARAMETERS else f"`{c}`" for c in cells.columns]
+    return cells.selectExpr(*own, *known).selectExpr(
+        *back, f"IF(lcz_status = 'ok', {pick}({ordered}), NULL) AS _b")
 
 
 def lcz_classify(cells: DataFrame, tolerance: float = 0.0, denominator: str = "value") -> DataFrame:
     """Add the class of each cell: most perfect matches, then the lowest score, then class order.
 
-    Adds lcz_class, lcz_score and perfect_matches, NULL where ``lcz_status`` is not ``ok``. The 17
-    rows of a cell come from one row, so the minimum is taken before anything is shuffled; cells
-    that are already partitioned by ``cell_id`` are not shuffled at all.
+    Adds lcz_class, lcz_score and perfect_matches, NULL where ``lcz_status`` is not ``ok``. The
+    classes are compared inside the cell's row: nothing is shuffled and every column is kept.
     """
-    ready = _prepared(cells, tolerance)
-    best = _scored(ready, tolerance, denominator).groupBy("cell_id").agg(F.min(_order()).alias("_b"))
-    return ready.join(best, "cell_id", "left").withColumns({
+    best = _with_contenders(_prepared(cells, tolerance), denominator, "array_min")
+    return best.withColumns({
         "lcz_class": F.col("_b.lcz_class"), "lcz_score": F.col("_b.score"), "perfect_matches": -F.col("_b.neg_matches"),
     }).drop("_b")
 
 
+def _ranking(cells: DataFrame, tolerance: float, denominator: str) -> DataFrame:
+    """One row per cell and class that shares the cell's highest number of matches and has a score."""
+    ok = _prepared(cells, tolerance).where("lcz_status = 'ok'")
+    ordered = _with_contenders(ok, denominator, "array_sort")
+    top = "filter(_b, x -> x.neg_matches = _b[0].neg_matches AND x.score IS NOT NULL)"
+    return ordered.selectExpr("*", f"posexplode({top}) AS (_pos, _r)").drop("_b").withColumn("rank", F.expr("_pos + 1"))
+
+
 def lcz_ranked(cells: DataFrame, tolerance: float = 0.0, denominator: str = "value") -> DataFrame:
     """The classes that share a cell's highest number of matches and have a score, best first."""
-    scored = _scored(cells, tolerance, denominator)
-    per_cell = scored.groupBy("cell_id", "available_params").agg(F.sort_array(F.collect_list(_order())).alias("_s"))
-    top = F.filter("_s", lambda x: (x["neg_matches"] == F.col("_s")[0]["neg_matches"]) & x["score"].isNotNull())
-    return per_cell.select("cell_id", "available_params", F.posexplode(top).alias("_pos", "_r")).select(
-        "cell_id", (F.col("_pos") + 1).alias("rank"), "_r.lcz_class", "_r.score",
-        (-F.col("_r.neg_matches")).alias("perfect_matches"), "available_params")
+    return _ranking(cells, tolerance, denominator).select(
+        "cell_id", "rank", "_r.lcz_class", "_r.score", (-F.col("_r.neg_matches")).alias("perfect_matches"), "available_params")
 
 
 def lcz_explain(cells: DataFrame, tolerance: float = 0.0, denominator: str = "value") -> DataFrame:
     """For each ranked class, one row per known parameter: a perfect match, or the range it missed."""
-    ready = _prepared(cells, tolerance)
-    ranked = lcz_ranked(ready, tolerance, denominator).select("cell_id", "rank", "lcz_class")
-    rows = ranked.join(lcz_contributions(ready, tolerance), ["cell_id", "lcz_class"])
-    low, high = number_text(F.col("min_val")), number_text(F.col("max_val"))
-    wanted = F.when(F.col("max_val") == float("inf"), F.concat(F.lit(">"), low)).otherwise(
+    ranked = _ranking(cells, tolerance, denominator).selectExpr(
+        "cell_id", "rank", *PARAMETERS, f"element_at({_class_array()}, _r.class_ord) AS _c")
+    entries = ", ".join(
+        f"struct({i} AS param_ord, '{p}' AS param, {p} AS value, _c.{p}_low AS low, _c.{p}_high AS high)"
+        for i, p in enumerate(PARAMETERS, 1))
+    rows = ranked.selectExpr("cell_id", "rank", "_c.lcz_class", f"explode(array({entries})) AS p").where("p.value IS NOT NULL")
+    low, high = number_text(F.col("p.low")), number_text(F.col("p.high"))
+    wanted = F.when(F.col("p.high") == float("inf"), F.concat(F.lit(">"), low)).otherwise(
         F.concat(F.lit("("), low, F.lit(", "), high, F.lit(")")))
     return rows.select(
-        "cell_id", "rank", "lcz_class", "param_ord", "param",
-        F.when(F.col("matched"), "perfect match").otherwise(wanted).alias("explanation"), "value")
+        "cell_id", "rank", "lcz_class", "p.param_ord", "p.param",
+        F.when(F.col("p.value").between(F.col("p.low"), F.col("p.high")), "perfect match").otherwise(wanted).alias("explanation"),
+        "p.value")
 
 
 def describe(lcz_class: Column) -> Column:
