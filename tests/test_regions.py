@@ -45,7 +45,8 @@ def test_all_values_with_background(spark, block, hot_rows, monkeypatch):
     value = {(r, c): int(rng.random() < 0.4) for r in range(20) for c in range(26) if rng.random() < 0.95}
     px = spark.createDataFrame([(r, c, v) for (r, c), v in value.items()], "row_idx BIGINT, col_idx BIGINT, value INT")
     plain = regions.connect
-    monkeypatch.setattr(regions, "connect", lambda pairs: plain(pairs, hot_rows))
+    small = 0 if hot_rows == 3 else regions.SMALL_GRAPH
+    monkeypatch.setattr(regions, "connect", lambda pairs: plain(pairs, hot_rows, small))
     want = flood(value, 26)
     assert labels(regions.components(px, 26, block=block)) == want
     got = {r.component_id: r for r in regions.component_summary(px, 26, block=block).collect()}
@@ -56,12 +57,12 @@ def test_all_values_with_background(spark, block, hot_rows, monkeypatch):
         assert (r.min_col, r.max_col) == (min(p[1] for p in places), max(p[1] for p in places))
 
 
-@pytest.mark.parametrize("hot_rows", [skew.HOT_ROWS, 2])
-def test_connect_path_and_star(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows,small", [(skew.HOT_ROWS, regions.SMALL_GRAPH), (skew.HOT_ROWS, 20), (2, 0)])
+def test_connect_path_and_star(spark, hot_rows, small):
     path = [(i, i + 1) for i in range(100, 160)]
     star = [(7, i) for i in range(500, 540)]
     pairs = spark.createDataFrame(path + star + [(b, a) for a, b in star], "a BIGINT, b BIGINT")
-    got = {r.label: r.component for r in regions.connect(pairs, hot_rows).collect()}
+    got = {r.label: r.component for r in regions.connect(pairs, hot_rows, small).collect()}
     assert got == {**{i: 100 for i in range(100, 161)}, 7: 7, **{i: 7 for i in range(500, 540)}}
 
 

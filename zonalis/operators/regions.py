@@ -18,6 +18,32 @@ from zonalis.schemas import Georef
 LABELLED = "row_idx BIGINT, col_idx BIGINT, value INT, label BIGINT"
 
 
+# A graph of at most this many pairs is finished in one task.
+SMALL_GRAPH = 500_000
+
+
+def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Smallest connected number for each of 0..n-1, given the pairs that touch."""
+    root = np.arange(n)
+    # Pull both roots of every pair down to the smaller one, shorten paths, repeat.
+    while True:
+        ra, rb = root[a], root[b]
+        if np.array_equal(ra, rb):
+            return root
+        low = np.minimum(ra, rb)
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while not np.array_equal(root, root[root]):
+            root = root[root]
+
+
+def _merge_pairs(table: pa.Table) -> pa.Table:
+    a, b = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("a", "b"))
+    names, spot = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _merge(len(names), spot[:len(a)], spot[len(a):])
+    return pa.table({"label": pa.array(names, pa.int64()), "component": pa.array(names[root], pa.int64())})
+
+
 def _label_block(n_cols: int):
     def label(table: pa.Table) -> pa.Table:
         row, col, value = (
@@ -31,18 +57,7 @@ def _label_block(n_cols: int):
         a, b = (np.concatenate(x) for x in zip(*pairs))
         ok = (a >= 0) & (b >= 0)
         ok[ok] = value[a[ok]] == value[b[ok]]
-        a, b = a[ok], b[ok]
-        # Pull both roots of every touching pair down to the smaller one, shorten paths, repeat.
-        root = np.arange(len(r))
-        while True:
-            ra, rb = root[a], root[b]
-            if np.array_equal(ra, rb):
-                break
-            low = np.minimum(ra, rb)
-            np.minimum.at(root, ra, low)
-            np.minimum.at(root, rb, low)
-            while not np.array_equal(root, root[root]):
-                root = root[root]
+        root = _merge(len(r), a[ok], b[ok])
         return pa.table({
             "row_idx": pa.array(row, pa.int64()), "col_idx": pa.array(col, pa.int64()),
             "value": pa.array(value, pa.int32()), "label": pa.array((row * n_cols + col)[root], pa.int64()),
@@ -65,17 +80,18 @@ def _touching(labelled: DataFrame, block: int) -> DataFrame:
     return met.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct()
 
 
-def connect(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def connect(pairs: DataFrame, hot_rows: int = HOT_ROWS, small: int = SMALL_GRAPH) -> DataFrame:
     """Connected components of an undirected graph: (label, component), component the smallest label.
 
     Randomised contraction (Boegeholz, Brand and Todor 2020): in each round every vertex moves to
     the one with the smallest hash among itself and its neighbours, and edges inside a merged vertex
-    vanish. The graph shrinks by a constant factor per round in expectation, whatever its diameter.
-    Labels without any pair do not appear in the result.
+    vanish. The graph shrinks by a constant factor per round in expectation, whatever its diameter;
+    once it has at most ``small`` pairs, one task finishes it. Labels without any pair do not appear
+    in the result.
     """
     edges = materialize(pairs.select("a", "b").where("a <> b").distinct())
     moves = []
-    while (n_edges := edges.count()) > 0:
+    while (n_edges := edges.count()) > small:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = lambda c: F.xxhash64(F.col(c), F.lit(len(moves)))
         nearest = both.groupBy("a").agg(
@@ -87,8 +103,10 @@ def connect(pairs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         ends = lookup(start, "b", step.withColumnsRenamed({"v": "b", "to": "tb"}), n_edges, hot_rows)
         edges = materialize(
             ends.where("ta <> tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct())
+    rest = edges.withColumn("graph", F.expr("a - a")).groupBy("graph").applyInArrow(_merge_pairs, "label BIGINT, component BIGINT")
     if not moves:
-        return edges.select(F.col("a").alias("label"), F.col("b").alias("component"))
+        return rest
+    moves.append(materialize(rest.withColumnsRenamed({"label": "v", "component": "to"})))
     n_labels = moves[0].count()
     place = moves[0].select(F.col("v").alias("label"), F.col("to").alias("at"))
     for step in moves[1:]:
