@@ -51,15 +51,14 @@ SELECT s_suppkey AS aoi_id,
 FROM {supplier}
 """
 
-POLY = """
-SELECT s_suppkey AS polygon_id, e.edge,
-       x0 + e.dx1 AS x1, y0 + e.dy1 AS y1, x0 + e.dx2 AS x2, y0 + e.dy2 AS y2
-FROM (SELECT s_suppkey, CAST((s_suppkey * 13) % 90 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS x0,
-             CAST((s_suppkey * 7) % 100 AS DOUBLE) + CAST(0.25 AS DOUBLE) AS y0 FROM {supplier}) p
-CROSS JOIN (SELECT 1 AS edge, CAST(0 AS DOUBLE) AS dx1, CAST(0 AS DOUBLE) AS dy1, CAST(9.3 AS DOUBLE) AS dx2, CAST(2.1 AS DOUBLE) AS dy2
-  UNION ALL SELECT 2, CAST(9.3 AS DOUBLE), CAST(2.1 AS DOUBLE), CAST(3.7 AS DOUBLE), CAST(8.9 AS DOUBLE)
-  UNION ALL SELECT 3, CAST(3.7 AS DOUBLE), CAST(8.9 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)) e
-"""
+_CORNERS = ((0, 0), (9.3, 2.1), (3.7, 8.9))
+POLY = " UNION ALL ".join(f"""
+SELECT s_suppkey AS polygon_id, {i + 1} AS edge,
+       CAST((s_suppkey * 13) % 90 AS DOUBLE) + CAST(0.25 AS DOUBLE) + CAST({_CORNERS[i][0]} AS DOUBLE) AS x1,
+       CAST((s_suppkey * 7) % 100 AS DOUBLE) + CAST(0.25 AS DOUBLE) + CAST({_CORNERS[i][1]} AS DOUBLE) AS y1,
+       CAST((s_suppkey * 13) % 90 AS DOUBLE) + CAST(0.25 AS DOUBLE) + CAST({_CORNERS[(i + 1) % 3][0]} AS DOUBLE) AS x2,
+       CAST((s_suppkey * 7) % 100 AS DOUBLE) + CAST(0.25 AS DOUBLE) + CAST({_CORNERS[(i + 1) % 3][1]} AS DOUBLE) AS y2
+FROM {{supplier}}""" for i in range(3))
 
 PARAM = """
 SELECT k AS cell_id,
