@@ -450,18 +450,18 @@ def _ground_cells(spark, sf):
     return grid.assign_cells(ground, geo, spec), geo, spec
 
 
-@query("mean_build_height", f"WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(mean_build_height, 6) AS mean_build_height FROM profile")
+@query("mean_build_height", f"WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(mean_build_height, 9) AS mean_build_height FROM profile")
 def mean_build_height(spark, sf):
     pixels, geo, spec = _ground_cells(spark, sf)
-    return rounded(zonal.mean_build_height(pixels, *_bounds(geo, spec)))
+    return rounded(zonal.mean_build_height(pixels, *_bounds(geo, spec)), 9)
 
 
-@query("cell_profile", f"""WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(perc_impervious, 6) AS perc_impervious,
-    round(perc_pervious, 6) AS perc_pervious, round(perc_buildings, 6) AS perc_buildings, round(dtm_median, 6) AS dtm_median,
-    round(dsm_median, 6) AS dsm_median, albedo_majority, round(mean_build_height, 6) AS mean_build_height FROM profile""")
+@query("cell_profile", f"""WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(perc_impervious, 9) AS perc_impervious,
+    round(perc_pervious, 9) AS perc_pervious, round(perc_buildings, 9) AS perc_buildings, round(dtm_median, 9) AS dtm_median,
+    round(dsm_median, 9) AS dsm_median, albedo_majority, round(mean_build_height, 9) AS mean_build_height FROM profile""")
 def cell_profile(spark, sf):
     pixels, geo, spec = _ground_cells(spark, sf)
-    return rounded(zonal.cell_profile(pixels, *_bounds(geo, spec)))
+    return rounded(zonal.cell_profile(pixels, *_bounds(geo, spec)), 9)
 
 
 @query("roughness_height", f"WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(dsm_median - dtm_median, 6) + 0.0 AS Height_rou FROM profile")
@@ -481,10 +481,10 @@ SPACING_CTE = f"{DIST_CTE}, {DIST_CELLS}, spacing AS (SELECT cell_id, median(CAS
 RATIO = "mean_build_height / greatest(coalesce(median_dist, 1), 1)"
 
 
-@query("aspect_ratio", f"""WITH {PX_CTE}, {PROFILE_CTE}, {SPACING_CTE} SELECT cell_id, round(median_dist, 6) AS median_dist,
-    round(greatest(coalesce(median_dist, 1), 1), 6) AS median_dist_used, round({RATIO}, 6) AS aspect_ratio
+@query("aspect_ratio", f"""WITH {PX_CTE}, {PROFILE_CTE}, {SPACING_CTE} SELECT cell_id, round(median_dist, 9) AS median_dist,
+    round(greatest(coalesce(median_dist, 1), 1), 9) AS median_dist_used, round({RATIO}, 9) AS aspect_ratio
     FROM profile LEFT JOIN spacing USING (cell_id)""")
 def aspect_ratio(spark, sf):
     px, geo = raster(spark, sf)
     cells = pipeline.cell_statistics(px, geo, grid_over(geo))
-    return rounded(cells.select("cell_id", "median_dist", "median_dist_used", "aspect_ratio"))
+    return rounded(cells.select("cell_id", "median_dist", "median_dist_used", "aspect_ratio"), 9)

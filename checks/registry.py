@@ -18,11 +18,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-def r6(x) -> Column:
+def r6(x, digits: int = 6) -> Column:
     """Round to 6 decimals; adding 0.0 turns a negative zero into zero."""
-    return F.round(F.col(x) if isinstance(x, str) else x, 6) + F.lit(0.0)
+    return F.round(F.col(x) if isinstance(x, str) else x, digits) + F.lit(0.0)
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Round every DOUBLE column."""
-    return df.select(*[r6(c).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Round every DOUBLE column.
+
+    Means over a power of two of pixels end in a 5 at the seventh decimal, where the last bit of a sum
+    decides the rounding; those are compared to 9 decimals.
+    """
+    return df.select(*[r6(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
