@@ -82,14 +82,16 @@ def ring_map(df):
     return list(out.values())
 
 
-def test_rings_close_and_fill_back(spark, raster):
+@pytest.mark.parametrize("task_edges", [regions.TASK_EDGES, 10])
+def test_rings_close_and_fill_back(spark, raster, task_edges):
     # A ring, a pinched ring, a single pixel and two that touch at a corner: 2 + 2 + 1 + 2 rings.
     gap = [[0]] * 5
     pad = lambda rows: [r + [0] * (3 - len(r)) for r in rows] + [[0] * 3] * (5 - len(rows))
     rows = [sum(line, []) for line in zip(RING, gap, pad(PINCH), gap, pad([[1]]), gap, pad([[1, 0], [0, 1]]))]
     n_rings, n = 7, len(rows[0])
     mask = raster(rows).where("value = 1")
-    rings = ring_map(regions.component_rings(regions.component_edges(regions.components(mask, n), block=2)))
+    rings = ring_map(regions.component_rings(
+        regions.component_edges(regions.components(mask, n), block=2), task_edges))
     assert len(rings) == n_rings
     for ring in rings:
         turns = [(x2 - x1, y2 - y1) for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1])]

@@ -20,6 +20,8 @@ LABELLED = "row_idx BIGINT, col_idx BIGINT, value INT, label BIGINT"
 
 # A graph of at most this many pairs is finished in one task.
 SMALL_GRAPH = 500_000
+# About as many outline edges are chained in one task.
+TASK_EDGES = 1_000_000
 
 
 def _merge(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -174,29 +176,24 @@ def component_edges(labelled: DataFrame, block: int = BLOCK) -> DataFrame:
     )
 
 
-def component_rings(edges: DataFrame) -> DataFrame:
-    """Chain unit edges into closed rings: (component_id, ring_id, seq, x, y), corners only.
-
-    ``ring_id`` numbers the ring's first edge, the one with the smallest (row, col, side) rank, and
-    ``seq`` counts edges from there. Where a region meets itself at a corner, the ring crosses over
-    to the other pixel, which parts the outer ring from the hole enclosed there. Successors form a
-    permutation, so rings of any length are ranked by pointer doubling: each round is one join on
-    unique keys.
-    """
-    # An id that grows in reading order: pixel rows and columns stay below 2^30.
-    key = F.expr("row_idx * 4294967296 + col_idx * 4 + side")
-    named = edges.select("component_id", key.alias("id"), "side", "x1", "y1", "x2", "y2")
-    crowd = lambda x, y: F.count("*").over(Window.partitionBy("component_id", x, y)) > 1
-    outs = named.select(
-        "component_id", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("id").alias("next"),
-        F.when(crowd("x1", "y1"), F.col("side")).otherwise(-1).alias("turn"), F.col("side").alias("next_side"))
-    ins = named.select(
-        "component_id", F.col("x2").alias("x"), F.col("y2").alias("y"), "id", "x1", "y1", "side",
-        F.when(crowd("x2", "y2"), (F.col("side") + 3) % 4).otherwise(-1).alias("turn"))
-    # Every row: an edge, its successor, and where it starts.
-    linked = materialize(ins.join(outs, ["component_id", "x", "y", "turn"]).select(
-        "component_id", "id", "next", "side", "next_side", F.col("x1").alias("x"), F.col("y1").alias("y")))
-
+def _rank_edges(table: pa.Table) -> pa.Table:
+    """Rank the edges of whole rings: (id, ring_id, seq), from edges and their successors."""
+    ids, following = (table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("id", "next"))
+    order = np.argsort(ids)
+    ids, after = ids[order], np.searchsorted(ids[order], following[order])
+    low, at = np.minimum(np.arange(len(ids)), after), after
+    while not np.array_equal(low, low[at]):
+        low, at = np.minimum(low, low[at]), at[at]
+    left, at = np.ones(len(ids), np.int64), after.copy()
+    while (way := np.nonzero(at != low)[0]).size:
+        left[way], at[way] = left[way] + left[at[way]], at[at[way]]
+    n = left[low]
+    return pa.table({
+        "id": pa.array(ids, pa.int64()), "ring_id": pa.array(ids[low], pa.int64()), "seq": pa.array((n - left) % n, pa.int64())})
+
+
+def _rank_by_doubling(linked: DataFrame) -> DataFrame:
+    """The same for rings of any length, by pointer doubling: each round is one join on unique keys."""
     # Smallest id on the ring: after k rounds the minimum over 2^k edges.
     jump = linked.select("id", "next", F.least("id", "next").alias("low"))
     while True:
@@ -206,11 +203,10 @@ def component_rings(edges: DataFrame) -> DataFrame:
         jump = joined.select("id", F.col("next2").alias("next"), F.least("low", "low2").alias("low"))
         if settled:
             break
-
     # Steps left to the first edge, which absorbs. Only edges still on their way are joined, so the
     # keys stay unique.
     first = F.col("next") == F.col("low")
-    way = materialize(linked.join(jump.select("id", "low"), "id").select(
+    way = materialize(linked.select("id", "next").join(jump.select("id", "low"), "id").select(
         "id", "low", "next", F.lit(1).cast("bigint").alias("left")))
     while way.where(~first).limit(1).count() > 0:
         ahead = way.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("left").alias("left2"))
@@ -218,8 +214,47 @@ def component_rings(edges: DataFrame) -> DataFrame:
             "id", "low", F.col("next2").alias("next"), (F.col("left") + F.col("left2")).alias("left"))
         way = materialize(moved.unionByName(way.where(first)))
     length = way.where("id = low").select("low", F.col("left").alias("n"))
-    ranked = lookup(way, "low", length, way.count()).select(
+    return lookup(way, "low", length, way.count()).select(
         "id", F.col("low").alias("ring_id"), F.expr("(n - left) % n").alias("seq"))
+
+
+def component_rings(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """Chain unit edges into closed rings: (component_id, ring_id, seq, x, y), corners only.
+
+    ``ring_id`` numbers the ring's first edge, the one with the smallest (row, col, side) rank, and
+    ``seq`` counts edges from there. Where a region meets itself at a corner, the ring crosses over
+    to the other pixel, which parts the outer ring from the hole enclosed there.
+
+    Regions of at most ``task_edges`` edges are spread over tasks of about that size, each ranking
+    whole rings; the edges of a larger region are ranked by joins over the cluster.
+    """
+    # An id that grows in reading order: pixel rows and columns stay below 2^30.
+    key = F.expr("row_idx * 4294967296 + col_idx * 4 + side")
+    named = edges.select("component_id", key.alias("id"), "side", "x1", "y1", "x2", "y2")
+    crowd = lambda x, y: F.count("*").over(Window.partitionBy("component_id", x, y)) > 1
+    outs = named.select(
+        "component_id", F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("id").alias("next"),
+        F.when(crowd("x1", "y1"), F.col("side")).otherwise(-1).alias("turn"), F.col("side").alias("next_side"))
+    ins = named.select(
+        "component_id", F.col("x2").alias("x"), F.col("y2").alias("y"), "id", "x1", "y1", "side",
+        F.when(crowd("x2", "y2"), (F.col("side") + 3) % 4).otherwise(-1).alias("turn"))
+    # Every row: an edge, its successor, and where it starts.
+    linked = materialize(ins.join(outs, ["component_id", "x", "y", "turn"]).select(
+        "component_id", "id", "next", "side", "next_side", F.col("x1").alias("x"), F.col("y1").alias("y")))
+
+    counts = linked.groupBy("component_id").count()
+    total, largest = counts.agg(F.sum("count"), F.max("count")).first()
+    total = total or 0
+    small, large = linked, None
+    if (largest or 0) > task_edges:
+        big = counts.where(F.col("count") > task_edges).select("component_id", F.lit(True).alias("big"))
+        sized = materialize(lookup(linked, "component_id", big, total))
+        small, large = sized.where("big IS NULL"), sized.where("big")
+    bucket = F.expr(f"pmod(xxhash64(component_id), {-(-total // task_edges) or 1})").alias("bucket")
+    ranked = small.select("id", "next", bucket).groupBy("bucket").applyInArrow(
+        _rank_edges, "id BIGINT, ring_id BIGINT, seq BIGINT")
+    if large is not None:
+        ranked = ranked.unionByName(_rank_by_doubling(large))
     # A corner is an edge whose predecessor runs another way; the predecessor knows its successor.
     turns = linked.where("side <> next_side").select(F.col("next").alias("id"))
     return linked.select("component_id", "id", "x", "y").join(turns, "id", "left_semi").join(ranked, "id").select(
