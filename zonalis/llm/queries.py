@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from zonalis.llm import secrets
+from zonalis.llm import quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -30,3 +30,8 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_live", "n_shared"
     )
+
+
+@query("op4_robust_quality")
+def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(documents(spark, sf_dir))
