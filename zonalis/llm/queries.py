@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from zonalis.llm import quality, secrets
+from zonalis.llm import packing, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -35,3 +36,17 @@ def op10_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_robust_quality")
 def op4_robust_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(documents(spark, sf_dir))
+
+
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op2_harmonic_packing")
+def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.harmonic_pack(documents(spark, sf_dir), vocabulary())
+    return pieces.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
