@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import packing, quality, secrets
+from zonalis.llm import langid, packing, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +50,13 @@ def op2_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@query("op7_byte_cnn_language")
+def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    fold = langid.held_out(F.col("doc_id"))
+    model = langid.train(docs.where(~fold))
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        "doc_id", fold.alias("held_out"), "language.lang_pred", "language.score"
+    )
