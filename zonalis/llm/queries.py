@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import langid, packing, quality, secrets
+from zonalis.llm import langid, minhash, packing, quality, secrets
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -60,3 +60,8 @@ def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.select("doc_id", "text"), model).select(
         "doc_id", fold.alias("held_out"), "language.lang_pred", "language.score"
     )
+
+
+@query("op9_min_max_near_dedup")
+def op9_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), size=2)
