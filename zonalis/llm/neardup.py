@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions.scratch import materialize
@@ -103,3 +104,9 @@ def across(pairs: DataFrame, placed: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(at("a"), "a", "left").join(at("b"), "b", "left").where(
         F.coalesce("c_a", "a") != F.coalesce("c_b", "b")
     ).select("a", "b")
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver forget finished jobs, so that Spark deletes their shuffle files on the executors."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import langid, minhash, packing, quality, secrets, suffixes
+from zonalis.llm import langid, minhash, packing, paragraphs, quality, secrets, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -72,3 +72,8 @@ def op8_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), threshold=400).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query("op6_paragraph_minhash")
+def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.duplicate_paragraphs(documents(spark, sf_dir))
