@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import langid, minhash, packing, paragraphs, quality, secrets, suffixes
+from zonalis.llm import langid, lines, minhash, packing, paragraphs, quality, secrets, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +77,12 @@ def op8_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_paragraph_minhash")
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraphs.duplicate_paragraphs(documents(spark, sf_dir))
+
+
+@query("op5_patience_line_dedup")
+def op5_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedupe_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", F.size("lines_removed").alias("n_removed"),
+        F.concat_ws(",", F.col("lines_removed").cast("array<string>")).alias("lines_removed"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
