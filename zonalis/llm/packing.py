@@ -18,7 +18,7 @@ END = 1
 #: A document's rest is cut to exact class sizes down to this length; the last piece stays uncut.
 FINE = 128
 #: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 #: Bytes of text encoded at once.
 CHUNK = 4_000_000
 
@@ -42,53 +42,51 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.pieces: dict[str, tuple[int, ...]] = {}
         self.clear()
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.cores: dict[str, list[int]] = {}
-        self.flat = np.zeros(1 << 16, np.uint32)
-        self.ends = np.zeros(1 << 14, np.int64)
-
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.cores.get(piece)
-        if ids is None:
-            text = "".join(map(self.letters.__getitem__, piece.encode()))
-            ids = self.cores[piece] = [t.id for t in self.tokenizer.model.tokenize(text)]
+        self.flat = np.zeros(0, np.uint32)
+        self.ends = np.zeros(0, np.int64)
+
+    def _piece(self, piece: str) -> tuple[int, ...]:
+        text = "".join(map(self.letters.__getitem__, piece.encode()))
+        ids = self.pieces[piece] = tuple(t.id for t in self.tokenizer.model.tokenize(text))
         return ids
 
     def _learn(self, chunks: list[str]) -> None:
+        if len(self.pieces) > REMEMBERED:
+            self.pieces.clear()
+        known, plain, new, sizes = self.pieces.get, _PLAIN.fullmatch, [], []
         for chunk in chunks:
-            plain = _PLAIN.fullmatch(chunk)
-            if plain:
-                ids = self._piece(plain[1].lower())
-                if plain[2]:
-                    ids = ids + self._piece(plain[2])
+            parts = plain(chunk)
+            if parts:
+                letters, signs = parts.groups()
+                letters = letters.lower()
+                ids = known(letters) or self._piece(letters)
+                if signs:
+                    ids += known(signs) or self._piece(signs)
             else:
                 ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            k = len(self.number)
-            self.number[chunk] = k
-            start = int(self.ends[k - 1]) if k else 0
-            while start + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if k + 1 > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.flat[start:start + len(ids)] = ids
-            self.ends[k] = start + len(ids)
+            new.extend(ids)
+            sizes.append(len(ids))
+        first = len(self.number)
+        self.number.update(zip(chunks, range(first, first + len(chunks))))
+        self.ends = np.append(self.ends, np.cumsum(sizes) + len(self.flat))
+        self.flat = np.append(self.flat, np.array(new, np.uint32))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text."""
         if len(self.number) > REMEMBERED:
             self.clear()
+        # Only blanks that every part of the tokenizer takes as white space; it sees the rest.
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        get = self.number.get
+        self._learn(list({c: None for chunks in split for c in chunks if c not in self.number}))
         out = []
-        for text in texts:
-            # Only blanks that every part of the tokenizer takes as white space; it sees the rest.
-            chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-            get = self.number.get
-            at = [get(c) for c in chunks]
-            if None in at:
-                self._learn(list(dict.fromkeys(c for c, k in zip(chunks, at) if k is None)))
-                at = [self.number[c] for c in chunks]
+        for chunks in split:
+            at = list(map(get, chunks))
             at = np.array(at, np.int64)
             ends = self.ends[at]
             starts = np.where(at > 0, self.ends[at - 1], 0)
