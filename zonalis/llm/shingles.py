@@ -10,7 +10,7 @@ import pyarrow as pa
 from zonalis.llm.worker import kept
 
 #: Bytes hashed at once; a longer text is hashed in segments that end between words.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 _M = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _U = np.uint64
@@ -63,7 +63,7 @@ def buffer_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[at[0]:at[-1]], at - at[0]
 
 
-def pieces(texts: pa.Array, limit: int = SEGMENT) -> Iterator[tuple[int, pa.Array]]:
+def pieces(texts: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, pa.Array]]:
     """Runs of rows of about ``limit`` bytes, with the number of their first row."""
     _, at = buffer_of(texts)
     i = 0
