@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scratch import materialize
+from zonalis.llm.names import fresh
 from zonalis.llm.neardup import release
 
 #: Words that a deleted block has at least: shorter runs of equal lines are phrases, not copies.
 MIN_WORDS = 6
+#: Deleted lines, in all, up to which the decisions are broadcast (16 MB); more are joined by key.
+BROADCAST_LINES = 1_000_000
 
 
 def _word_count(line):
@@ -128,30 +131,34 @@ def aligned_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return found.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
 
 
-def dedupe_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedupe_lines(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", into: str = "dedup", min_words: int = MIN_WORDS,
+) -> DataFrame:
     """``docs`` without the lines of aligned common blocks that an earlier document holds.
 
     Documents are ordered by ``doc_id``. Two that share lines are aligned by patience diff, and a
     common block, lines that follow each other in both, of ``min_words`` words or more is deleted
-    from the later one; the first holder of a line keeps it. All columns stay and two are added:
-    ``n_lines``, the lines of the text, and ``lines_removed``, the numbers of the deleted ones.
+    from the later one; the first holder of a line keeps it. All columns stay and the struct ``into``
+    is added: ``n_lines``, the lines of the input text, and ``removed``, the numbers of the deleted ones.
 
     NULL text stays NULL with no line; lines without a word are never matched. Rows with a NULL id
     have no order and stay as they are. Rows that share an id are one document, and lose the same
     lines. An empty table gives no row.
     """
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
-    gone = materialize(aligned_lines(rows, min_words).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone")))
+    key, lost = fresh(docs, "_doc"), fresh(docs, "_gone")
+    gone = materialize(aligned_lines(rows, min_words).select(F.col("doc").alias(key), F.col("gone").alias(lost)))
     release(docs.sparkSession)
-    small = gone.agg(F.sum(F.size("_gone"))).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if small <= 1_000_000 else gone, F.col(doc_id) == F.col("_doc"), "left")
+    small = gone.agg(F.sum(F.size(lost))).first()[0] or 0
+    joined = docs.join(F.broadcast(gone) if small <= BROADCAST_LINES else gone, F.col(doc_id) == F.col(key), "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
-    keep = F.filter(
-        F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda x: ~F.array_contains("_gone", x["i"])
-    )
+    numbered = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
+    left = F.transform(F.filter(numbered, lambda x: ~F.array_contains(lost, x["i"])), lambda x: x["l"])
+    cut = F.when(F.col(lost).isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
     return joined.select(
-        *[F.when(F.col("_gone").isNull(), F.col(c)).otherwise(F.array_join(F.transform(keep, lambda x: x["l"]), "\n")).alias(c)
-          if c == text else F.col(c) for c in docs.columns],
-        F.size(F.when(F.col(text).isNotNull(), lines).otherwise(F.array())).alias("n_lines"),
-        F.coalesce("_gone", F.array().cast("array<int>")).alias("lines_removed"),
+        *[cut.alias(c) if c == text else F.col(c) for c in docs.columns],
+        F.struct(
+            F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),
+            F.coalesce(lost, F.array().cast("array<int>")).alias("removed"),
+        ).alias(into),
     )

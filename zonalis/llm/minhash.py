@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.scratch import materialize
 from zonalis.llm import shingles as S
-from zonalis.llm.neardup import link, only
+from zonalis.llm.names import fresh
+from zonalis.llm.neardup import BROADCAST_IDS, link, only, release
 
 #: Values per band. Unrelated texts share a few hundredths of their short shingles, so a band of
 #: five is hit by one such pair in ten million.
@@ -97,13 +98,11 @@ def near_duplicates(
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     signed = materialize(signatures(rows, size, similarity))
     named = signed.where("id IS NOT NULL AND digest IS NOT NULL")
-    classes = materialize(named.groupBy("digest").agg(F.min("id").alias("class")))
-    first = classes.select("digest", F.col("class").alias("id"))
-    bands = materialize(
-        named.select("id", "digest", "keys").join(first, ["id", "digest"])
-        .groupBy("id", "digest").agg(F.first("keys").alias("keys"))
-        .select("id", F.explode("keys").alias("key"))
-    )
+    # Equal sets have equal keys, so one aggregate names the classes and carries the keys of each.
+    keyed = named.groupBy("digest").agg(F.min("id").alias("id"), F.first("keys").alias("keys"))
+    bands = materialize(keyed.select("id", F.explode("keys").alias("key")).distinct())
+    classes = named.groupBy("digest").agg(F.min("id").alias("class"))
+    release(docs.sparkSession)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         # An id with several texts has several sets; the largest stands for it.
@@ -120,3 +119,23 @@ def near_duplicates(
         F.col("id").alias(doc_id), "n_shingles", "component_id",
         (F.col("id").isNull() | (F.col("id") == F.col("component_id"))).alias("kept"),
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, similarity: int = 80,
+) -> DataFrame:
+    """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
+
+    Of rows that share an id one stays. Rows with a NULL id stay.
+    """
+    judged = materialize(near_duplicates(docs, doc_id, text, size, similarity).select(
+        F.col(doc_id).alias(fresh(docs, "_gone")), "kept", F.col(doc_id).isNull().alias("unnamed")
+    ))
+    gone = judged.where("NOT kept").drop("kept", "unnamed")
+    key = gone.columns[0]
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    left = docs.join(few, F.col(doc_id) == F.col(key), "left_anti")
+    named = docs.where(F.col(doc_id).isNotNull()).select(doc_id).count()
+    if named > judged.where("NOT unnamed").count():
+        left = left.where(F.col(doc_id).isNull()).unionByName(left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
+    return left

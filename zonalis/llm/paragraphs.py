@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.scratch import materialize
 from zonalis.llm import shingles as S
+from zonalis.llm.names import fresh
 from zonalis.llm.neardup import link, only, release
 
 SHINGLE = 5
@@ -160,7 +161,8 @@ def without_paragraphs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id"
 
     All rows and columns stay; NULL text and texts without a removed paragraph are untouched.
     """
-    gone = found.where("NOT kept").groupBy(F.col(doc_id).alias("_doc")).agg(F.collect_set(F.struct("begin", "end")).alias("_gone"))
+    key, lost = fresh(docs, "_doc"), fresh(docs, "_gone")
+    gone = found.where("NOT kept").groupBy(F.col(doc_id).alias(key)).agg(F.collect_set(F.struct("begin", "end")).alias(lost))
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, gone: pa.Array) -> pa.Array:
@@ -175,5 +177,5 @@ def without_paragraphs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id"
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = docs.join(gone, F.col(doc_id) == F.col("_doc"), "left").withColumn(text, cut(F.col(text), F.col("_gone")))
+    joined = docs.join(gone, F.col(doc_id) == F.col(key), "left").withColumn(text, cut(F.col(text), F.col(lost)))
     return joined.select(*docs.columns)

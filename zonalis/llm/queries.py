@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import langid, lines, minhash, packing, paragraphs, quality, secrets, suffixes
+from zonalis.llm import decontaminate, langid, lines, minhash, packing, paragraphs, quality, secrets, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -82,7 +82,13 @@ def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_patience_line_dedup")
 def op5_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedupe_lines(documents(spark, sf_dir)).select(
-        "doc_id", "n_lines", F.size("lines_removed").alias("n_removed"),
-        F.concat_ws(",", F.col("lines_removed").cast("array<string>")).alias("lines_removed"),
+        "doc_id", "dedup.n_lines", F.size("dedup.removed").alias("n_removed"),
+        F.concat_ws(",", F.col("dedup.removed").cast("array<string>")).alias("lines_removed"),
         F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
     )
+
+
+@query("op3_pigeonhole_decontamination")
+def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places where documents hold a benchmark item; clean documents have no row."""
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
