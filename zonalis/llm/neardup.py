@@ -10,18 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.functions.scratch import materialize
+from zonalis.functions.scratch import discard, materialize
 from zonalis.llm.components import components
 from zonalis.llm.shingles import unpack
 
-#: Ids that a semi-join may broadcast: 16 MB of them. More are joined by key.
-BROADCAST_IDS = 2_000_000
-
 
 def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The ``rows`` whose ``key`` is among the written ``ids`` (one column ``id``)."""
-    small = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    return rows.join(small.withColumnRenamed("id", key), key, "left_semi")
+    return rows.join(ids.withColumnRenamed("id", key), key, "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -59,23 +55,30 @@ def link(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity
        tested against the members of every other. Only there can a link be left, so no link between
        different components of a bucket goes untested, whatever the bucket's size.
     """
+    spark = bands.sparkSession
     buckets = bands.groupBy("key").agg(
         F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("first")
     ).where("size > 1").select("key", F.col("first.id").alias("leader"))
     shared = materialize(bands.join(buckets, "key"))
+    discard(bands)
+    release(spark)
     sets = materialize(sets_of(materialize(shared.select("id").distinct())))
+    release(spark)
     stars = materialize(
         shared.where("id <> leader").groupBy(F.greatest("id", "leader").alias("a"), F.least("id", "leader").alias("b"))
         .agg(F.count(F.lit(1)).alias("weight"))
     )
     best = stars.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
-    links = materialize(confirm(best, sets, similarity))
-    placed = components(links)
     tested = materialize(best)
+    links = materialize(confirm(tested, sets, similarity))
+    placed = components(links)
+    release(spark)
 
-    open_ = across(stars, placed).join(tested, ["a", "b"], "left_anti")
-    links = materialize(links.unionByName(confirm(materialize(open_), sets, similarity)))
+    open_ = materialize(across(stars, placed).join(tested, ["a", "b"], "left_anti"))
+    links = materialize(links.unionByName(confirm(open_, sets, similarity)))
     placed = components(links)
+    discard(stars, tested, open_)
+    release(spark)
 
     member = shared.select("id", "key", "leader").join(placed, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
@@ -88,13 +91,14 @@ def link(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity
     minor = spread.where("component <> top").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), "leader")
     other = spread.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("top")).alias("major"))
     # Pairs with the leader are tested already; two minor members meet once.
-    rest = minor.join(other, "key").where("cx <> cy AND x <> leader AND y <> leader AND (major OR x > y)").select(
+    rest = materialize(minor.join(other, "key").where("cx <> cy AND x <> leader AND y <> leader AND (major OR x > y)").select(
         F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    ).distinct()
-    rest = materialize(rest)
+    ).distinct())
     if not rest.isEmpty():
         links = materialize(links.unionByName(confirm(rest, sets, similarity)))
         placed = components(links)
+    discard(shared, sets, spread, rest)
+    release(spark)
     return placed
 
 

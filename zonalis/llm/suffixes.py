@@ -15,8 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.functions.scratch import materialize
-from zonalis.llm.neardup import only
+from zonalis.functions.scratch import discard, materialize
+from zonalis.llm.neardup import only, release
 from zonalis.llm.shingles import Roller, buffer_of, mix
 
 #: Bytes of a long text that are looked at together.
@@ -111,23 +111,26 @@ def repeated_windows(named: DataFrame, threshold: int, reach: int) -> DataFrame:
     # with those that are not unique: 128 bytes, then 256, then the threshold and the bytes before.
     for following in ("second", None):
         again = rows.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("id"))
-        rows = only(rows, "rank", materialize(again))
+        alive = only(rows, "rank", again)
         if following:
-            rows = materialize(rows.withColumn("rank", F.xxhash64("rank", following)).drop(following))
-    rows = materialize(rows)
-    contexts = rows.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "left")).alias("row"))
-    contexts = materialize(contexts)
-    settled = rows.join(contexts.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select(
+            alive = alive.withColumn("rank", F.xxhash64("rank", following)).drop(following)
+        rows, done = materialize(alive), rows
+        discard(done)
+        release(named.sparkSession)
+    contexts = materialize(rows.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "left")).alias("row")))
+    settled = _merged(rows.join(contexts.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select(
         "id", (F.col("at") - F.col("left")).alias("begin"), (F.col("at") + threshold).alias("end")
-    )
+    ))
+    settled = materialize(settled)
     # A context of its own can still share some of its windows with the other contexts of its rank.
     mixed = contexts.groupBy("rank").agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("least")).where("k > 1 AND least = 1").select("rank")
-    unsettled = contexts.join(mixed, "rank").groupBy("row.id").agg(
+    unsettled = materialize(contexts.join(mixed, "rank").groupBy("row.id").agg(
         F.collect_list(F.struct(F.col("row.at").alias("at"), F.col("row.left").alias("left"), (F.col("n") == 1).alias("open"))).alias("spots")
-    )
-    unsettled = materialize(unsettled)
-    holders = only(named.select("id", "data"), "id", materialize(unsettled.select("id")))
-    return settled.unionByName(_open_windows(holders, unsettled, threshold))
+    ))
+    discard(rows, contexts)
+    release(named.sparkSession)
+    opened = _open_windows(named.select("id", "data"), unsettled, threshold)
+    return settled.select("id", F.inline("spans")).unionByName(opened)
 
 
 def _open_windows(named: DataFrame, spots: DataFrame, threshold: int) -> DataFrame:
@@ -166,11 +169,15 @@ def _open_windows(named: DataFrame, spots: DataFrame, threshold: int) -> DataFra
     windows = materialize(
         named.join(spots, "id").select("id", "data", "spots").mapInArrow(expand, "id bigint, begin bigint, open boolean, hash bigint")
     )
+    release(named.sparkSession)
     again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select(
         F.col("hash").alias("id")
     )
-    found = only(windows.where("open"), "hash", materialize(again))
-    return found.select("id", "begin", (F.col("begin") + threshold).alias("end"))
+    found = _merged(only(windows.where("open"), "hash", again).select("id", "begin", (F.col("begin") + threshold).alias("end")))
+    found = materialize(found)
+    discard(windows, spots)
+    release(named.sparkSession)
+    return found.select("id", F.inline("spans"))
 
 
 def _merged(found: DataFrame) -> DataFrame:
@@ -234,12 +241,7 @@ def remove_repeats(
                 ["doc", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    cuts = F.broadcast(spans) if _small(spans) else spans
-    return named.join(cuts, "id", "left").select("doc", "data", "spans").mapInArrow(
+    return named.join(spans, "id", "left").select("doc", "data", "spans").mapInArrow(
         cut, f"doc {kind}, n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
     ).select(F.col("doc").alias(doc_id), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "spans", "kept")
 
-
-def _small(spans: DataFrame) -> bool:
-    """At most a million spans, 16 MB, may be broadcast; more are joined by key."""
-    return (spans.agg(F.sum(F.size("spans"))).first()[0] or 0) <= 1_000_000
