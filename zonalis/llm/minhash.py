@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from zonalis.functions.scratch import materialize
 from zonalis.llm import shingles as S
 from zonalis.llm.names import fresh
-from zonalis.llm.neardup import BROADCAST_IDS, link, only, release
+from zonalis.llm.neardup import link, only, release
 
 #: Values per band. Unrelated texts share a few hundredths of their short shingles, so a band of
 #: five is hit by one such pair in ten million.
@@ -133,8 +133,7 @@ def without_near_duplicates(
     ))
     gone = judged.where("NOT kept").drop("kept", "unnamed")
     key = gone.columns[0]
-    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    left = docs.join(few, F.col(doc_id) == F.col(key), "left_anti")
+    left = docs.join(gone, F.col(doc_id) == F.col(key), "left_anti")
     named = docs.where(F.col(doc_id).isNotNull()).select(doc_id).count()
     if named > judged.where("NOT unnamed").count():
         left = left.where(F.col(doc_id).isNull()).unionByName(left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from zonalis.functions.scratch import materialize
 from zonalis.llm import shingles as S
 from zonalis.llm.names import fresh
-from zonalis.llm.neardup import link, only, release
+from zonalis.llm.neardup import link, release
 
 SHINGLE = 5
 #: Words below which a paragraph is too common a phrase to be a repeat.
@@ -139,8 +139,7 @@ def duplicate_paragraphs(
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(ids.groupBy("id.doc").agg(F.collect_list("id.unit").alias("units")))
-        few = only(rows_in, "doc", materialize(wanted.select(F.col("doc").alias("id"))))
-        return _sets(few, wanted, min_words)
+        return _sets(rows_in, wanted, min_words)
 
     placed = link(keys, sets_of, similarity)
     classes = units.groupBy(*same).agg(
