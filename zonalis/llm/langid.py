@@ -67,13 +67,14 @@ class ByteCNN:
             parts.append(z / z.sum(axis=1, keepdims=True))
         return np.concatenate(parts) if parts else np.zeros((0, len(self.langs)), np.float32)
 
-    def fit(self, windows: np.ndarray, labels: np.ndarray, epochs: int = 4, rate: float = 0.003, seed: int = 7) -> ByteCNN:
-        """Cross entropy by Adam; only the maxima's own bytes get a gradient."""
+    def fit(self, windows: np.ndarray, labels: np.ndarray, steps: int = 1000, rate: float = 0.003, seed: int = 7) -> ByteCNN:
+        """Cross entropy by Adam, in passes over the sample until ``steps`` batches have taught; only the
+        maxima's own bytes get a gradient."""
         rng = np.random.default_rng(seed)
         params = self.weights()
         first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         step = 0
-        for _ in range(epochs):
+        while step < steps:
             order = rng.permutation(len(windows))
             for i in range(0, len(order), 64):
                 x, y = windows[order[i:i + 64]], labels[order[i:i + 64]]
