@@ -18,8 +18,6 @@ RATE = 0.07
 MIN_BYTES = 25
 #: Bytes of items that are sent to the tasks at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 4_000_000
-#: Contaminated rows up to which their keys are broadcast (16 MB); more are joined by key.
-BROADCAST_ROWS = 2_000_000
 
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
@@ -206,5 +204,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
     leaks = find_leaks(keyed, benchmark, row, text, **options)
     bad = materialize(leaks.select(F.col(row).alias(bad_row)).distinct())
-    few = F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad
-    return keyed.join(few, F.col(row) == F.col(bad_row), "left_anti").drop(row)
+    return keyed.join(bad, F.col(row) == F.col(bad_row), "left_anti").drop(row)

@@ -16,8 +16,6 @@ from zonalis.llm.neardup import release
 
 #: Words that a deleted block has at least: shorter runs of equal lines are phrases, not copies.
 MIN_WORDS = 6
-#: Deleted lines, in all, up to which the decisions are broadcast (16 MB); more are joined by key.
-BROADCAST_LINES = 1_000_000
 
 
 def _word_count(line):
@@ -149,8 +147,7 @@ def dedupe_lines(
     key, lost = fresh(docs, "_doc"), fresh(docs, "_gone")
     gone = materialize(aligned_lines(rows, min_words).select(F.col("doc").alias(key), F.col("gone").alias(lost)))
     release(docs.sparkSession)
-    small = gone.agg(F.sum(F.size(lost))).first()[0] or 0
-    joined = docs.join(F.broadcast(gone) if small <= BROADCAST_LINES else gone, F.col(doc_id) == F.col(key), "left")
+    joined = docs.join(gone, F.col(doc_id) == F.col(key), "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     numbered = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
     left = F.transform(F.filter(numbered, lambda x: ~F.array_contains(lost, x["i"])), lambda x: x["l"])
