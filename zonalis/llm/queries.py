@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import decontaminate, langid, lines, minhash, packing, paragraphs, quality, secrets, suffixes
+from zonalis.llm import decontaminate, langid, lines, minhash, packing, paragraphs, pii, quality, secrets, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,3 +92,9 @@ def op5_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places where documents hold a benchmark item; clean documents have no row."""
     return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op1_surrogate_pii")
+def op1_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return pii.replace_entities(docs, key="corpus-surrogates").select("doc_id", "n_entities", "text")
