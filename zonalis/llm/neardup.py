@@ -56,11 +56,17 @@ def link(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity
        different components of a bucket goes untested, whatever the bucket's size.
     """
     spark = bands.sparkSession
-    buckets = bands.groupBy("key").agg(
-        F.count(F.lit(1)).alias("size"), F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("first")
-    ).where("size > 1").select("key", F.col("first.id").alias("leader"))
-    shared = materialize(bands.join(buckets, "key"))
-    discard(bands)
+    # Most keys are unique: counts of bare keys tell which, before any id is sent.
+    again = materialize(bands.groupBy("key").count().where("count > 1").select(F.col("key").alias("id")))
+    release(spark)
+    several = materialize(only(bands, "key", again))
+    discard(bands, again)
+    release(spark)
+    leaders = several.groupBy("key").agg(F.min(F.struct(F.xxhash64("id", "key").alias("h"), "id")).alias("first")).select(
+        "key", F.col("first.id").alias("leader")
+    )
+    shared = materialize(several.join(leaders, "key"))
+    discard(several)
     release(spark)
     sets = materialize(sets_of(materialize(shared.select("id").distinct())))
     release(spark)

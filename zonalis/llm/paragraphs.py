@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.functions.scratch import materialize
+from zonalis.functions.scratch import discard, materialize
 from zonalis.llm import shingles as S
 from zonalis.llm.names import fresh
 from zonalis.llm.neardup import link, release
@@ -131,11 +131,13 @@ def duplicate_paragraphs(
     """
     rows_in = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     bands, rows = tune(similarity / 100)
-    units = materialize(paragraph_table(rows_in, bands, rows, min_words))
+    read = materialize(paragraph_table(rows_in, bands, rows, min_words))
     same = ["one", "two", "n"]
-    keyed = units.groupBy(*same).agg(F.min(F.struct("doc", "unit")).alias("id"), F.first("keys").alias("keys"))
+    keyed = read.groupBy(*same).agg(F.min(F.struct("doc", "unit")).alias("id"), F.first("keys").alias("keys"))
     keys = materialize(keyed.select("id", F.explode("keys").alias("key")))
     release(docs.sparkSession)
+    units = materialize(read.drop("keys"))
+    discard(read)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(ids.groupBy("id.doc").agg(F.collect_list("id.unit").alias("units")))
@@ -147,7 +149,7 @@ def duplicate_paragraphs(
     ).join(placed, "id", "left").where("component IS NOT NULL OR id <> last").select(
         *same, F.coalesce("component", "id").alias("first")
     )
-    found = units.drop("keys").join(materialize(classes), same)
+    found = units.join(materialize(classes), same)
     return found.select(
         F.col("doc").alias(doc_id), F.col("unit").alias("paragraph"), "begin", "end",
         F.col("first.doc").alias("cluster_doc"), F.col("first.unit").alias("cluster_paragraph"),
