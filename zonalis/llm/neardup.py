@@ -14,6 +14,9 @@ from zonalis.functions.scratch import discard, materialize
 from zonalis.llm.components import components
 from zonalis.llm.shingles import unpack
 
+#: Members of a bucket that meet in one task, on either side.
+BLOCK = 500
+
 
 def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """The ``rows`` whose ``key`` is among the written ``ids`` (one column ``id``)."""
@@ -52,7 +55,7 @@ def link(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity
        band, so a set has a few leaders among its like. Its most promising leader is tested first.
     2. The candidates that are still in different components are tested.
     3. In a bucket that still holds several components, all members outside the largest one are
-       tested against the members of every other. Only there can a link be left, so no link between
+       held, in blocks, against all its members. Only there can a link be left, so no link between
        different components of a bucket goes untested, whatever the bucket's size.
     """
     spark = bands.sparkSession
@@ -86,28 +89,73 @@ def link(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity
     discard(stars, tested, open_)
     release(spark)
 
-    member = shared.select("id", "key", "leader").join(placed, "id", "left").withColumn(
+    member = shared.select("id", "key").join(placed, "id", "left").withColumn(
         "component", F.coalesce("component", "id")
     )
     per = member.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     mixed = per.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")
-    ).where("parts > 1").select("key", F.col("top.component").alias("top"))
-    spread = materialize(member.join(mixed, "key"))
-    minor = spread.where("component <> top").select("key", F.col("id").alias("x"), F.col("component").alias("cx"), "leader")
-    other = spread.select("key", F.col("id").alias("y"), F.col("component").alias("cy"), (F.col("component") == F.col("top")).alias("major"))
-    # Pairs with the leader are tested already; two minor members meet once.
-    rest = materialize(minor.join(other, "key").where("cx <> cy AND x <> leader AND y <> leader AND (major OR x > y)").select(
-        F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")
-    ).distinct())
-    if not rest.isEmpty():
-        links = materialize(links.unionByName(confirm(rest, sets, similarity)))
+        F.count(F.lit(1)).alias("parts"), F.sum("n").alias("size"), F.max(F.struct("n", "component")).alias("top")
+    ).where("parts > 1").select("key", "size", (F.col("size") - F.col("top.n")).alias("few"), F.col("top.component").alias("top"))
+    spread = materialize(member.select("id", "key", "component").join(mixed, "key"))
+    if not spread.isEmpty():
+        links = materialize(links.unionByName(_within(spread, sets, similarity)))
         placed = components(links)
-    discard(shared, sets, spread, rest)
+    discard(shared, sets, spread)
     release(spark)
     return placed
 
 
+def _within(spread: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) between members of different components of a bucket.
+
+    ``spread`` (key, id, component, size, few, top) holds buckets of several components, ``few`` of
+    whose ``size`` members are outside the component ``top``. Those few are the queries and all
+    members the rows that they are held against, both in blocks: a task has ``BLOCK`` of each at most
+    and counts overlaps by an inverted index, so no pair becomes a row. One link per query and
+    component is enough.
+    """
+    blocks = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    own = lambda n: F.pmod(F.xxhash64("id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    rows = spread.withColumns({"wide": blocks("size"), "deep": blocks("few")})
+    asked = rows.where("component <> top").select(
+        "key", own(F.col("deep")).alias("query"), every(F.col("wide")).alias("block"), F.lit(True).alias("asks"), "id", "component"
+    )
+    there = rows.select(
+        "key", every(F.col("deep")).alias("query"), own(F.col("wide")).alias("block"), F.lit(False).alias("asks"), "id", "component"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        asks = table["asks"].to_numpy(zero_copy_only=False)
+        queries, members = np.flatnonzero(asks), np.flatnonzero(~asks)
+        packed = table["members"].to_pylist()
+        sizes = table["n"].to_numpy()
+        _, component = np.unique(np.array([str(c) for c in table["component"].to_pylist()]), return_inverse=True)
+        held = [unpack(packed[k]) for k in members]
+        values = np.concatenate(held) if held else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(members)), [len(h) for h in held])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        left, right = [], []
+        for q in queries:
+            own_values = unpack(packed[q])
+            low, high = np.searchsorted(values, own_values), np.searchsorted(values, own_values, "right")
+            count = high - low
+            at = np.repeat(low - np.cumsum(count) + count, count) + np.arange(count.sum())
+            both = np.bincount(owner[at], minlength=len(members))
+            union = sizes[q] + sizes[members] - both
+            near = np.flatnonzero((100 * both >= similarity * union) & (component[members] != component[q]))
+            _, one = np.unique(component[members[near]], return_index=True)
+            left.extend([q] * len(one))
+            right.extend(members[near[one]])
+        ids = table["id"].combine_chunks()
+        return pa.table({"a": ids.take(pa.array(left, pa.int64())), "b": ids.take(pa.array(right, pa.int64()))})
+
+    kind = dict(spread.dtypes)["id"]
+    return asked.unionByName(there).join(sets, "id").groupBy("key", "query", "block").applyInArrow(compare, f"a {kind}, b {kind}")
+
+
 def across(pairs: DataFrame, placed: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components."""
     at = lambda c: placed.select(F.col("id").alias(c), F.col("component").alias(f"c_{c}"))
