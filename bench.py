@@ -13,7 +13,7 @@ from checks import QUERIES  # noqa: E402
 
 HEADLINE = (
     "class_fractions", "slope", "dtm", "proximity", "median_dist", "building_components", "building_summary",
-    "component_edges", "zonal_median", "zonal_majority", "cell_profile", "mosaic", "lcz_scores", "lcz_classify", "lcz_grid",
+    "component_edges", "component_rings", "component_wkt", "zonal_median", "zonal_majority", "cell_profile", "mosaic", "lcz_scores", "lcz_contributions", "lcz_matches", "lcz_classify", "lcz_grid",
 )
 
 

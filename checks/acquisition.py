@@ -48,13 +48,15 @@ def aoi_tiles(spark, sf):
     return rounded(_tiles(spark, sf))
 
 
-@query("aoi_coordinate_text", f"""WITH {TILE_CTE} SELECT aoi_id, CAST(0 AS BIGINT) AS part, 'getCoordinate: ' ||
+@query("aoi_coordinate_text", f"""WITH {TILE_CTE} SELECT aoi_id, min(tile_ord) AS part,
+    CASE WHEN min(tile_ord) = 0 THEN 'getCoordinate: ' ELSE '; ' END ||
     string_agg(printf('%.5f,%.5f', center_lat, center_lng), '; ' ORDER BY tile_ord) AS coordinate_text
-    FROM tile GROUP BY aoi_id""")
+    FROM tile GROUP BY aoi_id, top""")
 def aoi_coordinate_text(spark, sf):
     return acquisition.aoi_coordinate_text(_tiles(spark, sf))
 
 
+# Fixed value: the request's parameter text.
 URL_SQL = f"""'{ENDPOINT}?location.latitude=' || regexp_replace(CAST(center_lat AS VARCHAR), '\\.0$', '')
     || '&location.longitude=' || regexp_replace(CAST(center_lng AS VARCHAR), '\\.0$', '')
     || '&radiusMeters=100&view=FULL_LAYERS&requiredQuality=HIGH&pixelSizeMeters=0.5&key={KEY}'"""

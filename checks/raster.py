@@ -1,12 +1,19 @@
 """Map algebra, focal operators, regions, polygons, grid and zonal statistics."""
 
+import uuid
+from dataclasses import replace
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from checks.fixtures import CELL_UNEVEN, POLY, PX, PX_HOLES, WIDTH, grid_over, raster, read, sql
 from checks.registry import query, r6, rounded
 from zonalis.operators import algebra, derive, focal, grid, polygons, regions, zonal
 from zonalis.operators.proximity import proximity
+from zonalis.functions.scratch import scratch_dir
 from zonalis.plans import pipeline
+from zonalis.schemas import GridSpec, ensure_column, require_columns
+from zonalis.sources import tiles
 
 PX_CTE = f"px AS MATERIALIZED ({sql(PX)})"
 HOLES_CTE = f"px AS MATERIALIZED ({sql(PX_HOLES)})"
@@ -223,17 +230,34 @@ def component_rings(spark, sf):
     return regions.component_rings(regions.component_edges(regions.components(_buildings(px), geo.n_cols)))
 
 
-@query("component_wkt", f"""WITH RECURSIVE {PX_CTE}, {REGION_CTE}, {EDGE_CTE}, {RING_CTE},
-    spot AS (SELECT component_id, ring_id, seq, regexp_replace(CAST(500000 + x * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') || ' '
+def _wkt_sql(page):
+    return f"""WITH RECURSIVE {PX_CTE}, {REGION_CTE}, {EDGE_CTE}, {RING_CTE},
+    spot AS (SELECT component_id, ring_id, seq, seq // {page} AS page,
+        regexp_replace(CAST(500000 + x * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') || ' '
         || regexp_replace(CAST(4750000 - y * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') AS t FROM corner),
-    line AS (SELECT component_id, ring_id, '(' || string_agg(t, ', ' ORDER BY seq) || ', ' || min_by(t, seq) || ')' AS text
-        FROM spot GROUP BY component_id, ring_id)
-    SELECT component_id, CAST(0 AS BIGINT) AS part, 'POLYGON (' || string_agg(text, ', ' ORDER BY ring_id) || ')' AS wkt
-    FROM line GROUP BY component_id""")
-def component_wkt(spark, sf):
+    piece AS (SELECT component_id, ring_id, page, string_agg(t, ', ' ORDER BY seq) AS text, min_by(t, seq) AS head
+        FROM spot GROUP BY component_id, ring_id, page)
+    SELECT component_id, ring_id, row_number() OVER ring - 1 AS part,
+        ring_id <> min(ring_id) OVER (PARTITION BY component_id) AS hole,
+        'LINESTRING (' || text || ', ' || coalesce(lead(head) OVER ring, first_value(head) OVER ring) || ')' AS wkt
+    FROM piece WINDOW ring AS (PARTITION BY component_id, ring_id ORDER BY page)"""
+
+
+def _wkt(spark, sf, **page):
     px, geo = raster(spark, sf)
     labelled = regions.components(_buildings(px), geo.n_cols)
-    return regions.component_wkt(regions.component_rings(regions.component_edges(labelled)), geo)
+    return regions.component_wkt(regions.component_rings(regions.component_edges(labelled)), geo, **page)
+
+
+@query("component_wkt", _wkt_sql(10_000))
+def component_wkt(spark, sf):
+    return _wkt(spark, sf)
+
+
+@query("component_wkt_pages", _wkt_sql(4))
+def component_wkt_pages(spark, sf):
+    """The same outlines cut after every four unit edges."""
+    return _wkt(spark, sf, page=4)
 
 
 INSIDE_CTE = f"""
@@ -258,13 +282,29 @@ def _fractions(zone, source):
             f"FROM {source} GROUP BY {zone}")
 
 
-@query("zonal_polygons", f"""WITH {PX_CTE}, {INSIDE_CTE}, v AS (SELECT i.polygon_id, {SURFACE} AS surface
-    FROM inside i JOIN px USING (row_idx, col_idx)) {_fractions('polygon_id', 'v')}""")
+def _zonal_sql(inside):
+    return f"""WITH {PX_CTE}, {inside}, v AS (SELECT i.polygon_id, {SURFACE} AS surface
+    FROM inside i JOIN px USING (row_idx, col_idx)), f AS ({_fractions('polygon_id', 'v')})
+    SELECT polygon_id, perc_impervious, perc_pervious, perc_buildings
+    FROM (SELECT DISTINCT polygon_id FROM poly) p LEFT JOIN f USING (polygon_id)"""
+
+
+@query("zonal_polygons", _zonal_sql(INSIDE_CTE))
 def zonal_polygons(spark, sf):
     px, geo = raster(spark, sf)
     return rounded(polygons.zonal_polygons(read(spark, sf, POLY), _surface(px), geo))
 
 
+# A tenth of the size: most of these lie between pixel centres and have no pixel.
+TINY = f"""SELECT polygon_id, edge, x1 / 10 AS x1, y1 / 10 AS y1, x2 / 10 AS x2, y2 / 10 AS y2 FROM ({POLY}) big"""
+
+
+@query("zonal_polygons_tiny", _zonal_sql(INSIDE_CTE.replace(sql(POLY), sql(TINY))))
+def zonal_polygons_tiny(spark, sf):
+    px, geo = raster(spark, sf)
+    return rounded(polygons.zonal_polygons(read(spark, sf, TINY), _surface(px), geo))
+
+
 # --- grid --------------------------------------------------------------------------------------
 
 @query("make_grid", f"""WITH {PX_CTE}, n AS (SELECT CAST(ceil((max(row_idx) + 1) * 0.5 / 3.5) AS BIGINT) AS r FROM px)
@@ -277,6 +317,47 @@ def make_grid(spark, sf):
     return rounded(grid.make_grid(spark, grid_over(geo, CELL_UNEVEN)))
 
 
+@query("make_grid_tenths", f"""WITH {PX_CTE}, n AS (SELECT (max(row_idx) + 3) // 3 AS r FROM px)
+    SELECT i * 34 + j AS cell_id, i AS cell_row, j AS cell_col
+    FROM (SELECT unnest(range(r)) AS i FROM n) a, range(34) b(j)""")
+def make_grid_tenths(spark, sf):
+    """Pixels of 0.1 in cells of 0.3: three to a side, though neither number is exact in binary."""
+    _, geo = raster(spark, sf)
+    tenths = replace(geo, px_x=0.1, px_y=0.1)
+    return grid.make_grid(spark, GridSpec.over(tenths, 0.3)).select("cell_id", "cell_row", "cell_col")
+
+
+@query("assign_cells_tenths", f"WITH {PX_CTE} SELECT row_idx, col_idx, row_idx // 3 * 34 + col_idx // 3 AS cell_id FROM px")
+def assign_cells_tenths(spark, sf):
+    px, geo = raster(spark, sf)
+    tenths = replace(geo, px_x=0.1, px_y=0.1)
+    return grid.assign_cells(px.select("row_idx", "col_idx"), tenths, GridSpec.over(tenths, 0.3))
+
+
+@query("grid_sink", f"""WITH {PX_CTE}, n AS (SELECT CAST(ceil((max(row_idx) + 1) * 0.5 / 3.5) AS BIGINT) AS r FROM px)
+    SELECT i * 15 + j AS cell_id, true AS refused FROM (SELECT unnest(range(r)) AS i FROM n) a, range(15) b(j)""")
+def grid_sink(spark, sf):
+    """A grid as it is read back after a second write to its place was refused."""
+    _, geo = raster(spark, sf)
+    path = f"{scratch_dir(spark)}/grid-{uuid.uuid4().hex}"
+    cells = grid.make_grid(spark, grid_over(geo, CELL_UNEVEN)).select("cell_id")
+    tiles.write_grid(cells, path)
+    try:
+        tiles.write_grid(cells.limit(1), path)
+        refused = False
+    except AnalysisException:
+        refused = True
+    return spark.read.parquet(path).withColumn("refused", F.lit(refused))
+
+
+@query("ensured_fields", f"WITH {PX_CTE} SELECT row_idx, col_idx, mask, CAST(NULL AS DOUBLE) AS note FROM px")
+def ensured_fields(spark, sf):
+    """A missing field is added as NULL, a present one stays, and a required one is there."""
+    px, _ = raster(spark, sf)
+    both = ensure_column(ensure_column(px.select("row_idx", "col_idx", "mask"), "mask", "INT"), "note", "DOUBLE")
+    return require_columns(both, "mask", "note")
+
+
 @query("layer_extent", f"""WITH {PX_CTE}, l AS (SELECT 'dsm' AS layer, row_idx, col_idx FROM px UNION ALL
         SELECT 'mask', row_idx, col_idx FROM px WHERE mask = 1 UNION ALL SELECT 'class', row_idx, col_idx FROM px)
     SELECT layer, 500000 + min(col_idx) * 0.5::DOUBLE AS x_min, 4750000 - (max(row_idx) + 1) * 0.5::DOUBLE AS y_min,

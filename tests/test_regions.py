@@ -2,6 +2,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from zonalis.functions import skew
 from zonalis.operators import regions
@@ -108,14 +109,37 @@ def test_long_outlines_come_in_parts(raster):
     geo = Georef(100.0, 50.0, 0.5, 0.5, 5, 5)
     rings = regions.component_rings(regions.component_edges(regions.components(mask, 5)))
     whole = regions.component_wkt(rings, geo).collect()
-    assert [(r.component_id, r.part) for r in whole] == [(6, 0)]
-    assert whole[0].wkt == ("POLYGON ((100.5 49.5, 102 49.5, 102 48, 100.5 48, 100.5 49.5), "
-                            "(101.5 49, 101 49, 101 48.5, 101.5 48.5, 101.5 49))")
-    parts = [r.wkt for r in regions.component_wkt(rings, geo, max_points=5).orderBy("part").collect()]
-    assert parts[0].startswith("LINESTRING (100.5 49.5, 102 49.5")
-    lines = [p.removeprefix("LINESTRING (").removesuffix(")").split(", ") for p in parts]
-    assert sum(len(line) - 1 for line in lines) == 8
-    assert lines[0][-1] == lines[1][0]
+    assert {(r.component_id, r.part, r.hole, r.wkt) for r in whole} == {
+        (6, 0, False, "LINESTRING (100.5 49.5, 102 49.5, 102 48, 100.5 48, 100.5 49.5)"),
+        (6, 0, True, "LINESTRING (101.5 49, 101 49, 101 48.5, 101.5 48.5, 101.5 49)")}
+    joined = {}
+    for r in regions.component_wkt(rings, geo, page=2).orderBy("ring_id", "part").collect():
+        line = r.wkt.removeprefix("LINESTRING (").removesuffix(")").split(", ")
+        before = joined.setdefault(r.ring_id, line[:1])
+        assert before[-1] == line[0]
+        before.extend(line[1:])
+    assert joined == {r.ring_id: r.wkt.removeprefix("LINESTRING (").removesuffix(")").split(", ") for r in whole}
+
+
+def test_unmatched_hot_key_is_spread(spark):
+    left = spark.range(20_000).select("id", F.when(F.col("id") % 10 > 0, -1).otherwise(F.col("id")).alias("k"))
+    right = spark.range(0, 20_000, 10).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = skew.lookup(left, "k", right, 20_000, hot_rows=500)
+    assert {(r.id, r.k, r.v) for r in joined.collect()} == {
+        (i, i if i % 10 == 0 else -1, 2 * i if i % 10 == 0 else None) for i in range(20_000)}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in skew.lookup(left, "k", right, 20_000, hot_rows=500).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert max(sizes) < 2 * 20_000 / 4
+
+
+def test_plan_of_connect_stays_flat(spark):
+    path = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    done = regions.connect(path, hot_rows=3, small=0)
+    assert {r.component for r in done.collect()} == {0}
+    assert len(done._jdf.queryExecution().analyzed().toString().split("\n")) < 80
 
 
 def test_rasterize_clips_and_takes_pixel_centres(spark):

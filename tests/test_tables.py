@@ -143,10 +143,16 @@ def test_number_text(spark):
 def test_long_coordinate_text_continues_in_parts(spark):
     aoi = spark.createDataFrame([(1, 40.0, 39.99, 10.0, 10.012)], "aoi_id BIGINT, north DOUBLE, south DOUBLE, west DOUBLE, east DOUBLE")
     found = acquisition.aoi_tiles(aoi)
-    whole = acquisition.aoi_coordinate_text(found).first().coordinate_text
-    parts = acquisition.aoi_coordinate_text(found, chunk=7).orderBy("part").collect()
-    assert len(parts) == -(-found.count() // 7) and "".join(p.coordinate_text for p in parts) == whole
-    assert whole.startswith("getCoordinate: 39.99912,")
+    centres = [f"{r.center_lat:.5f},{r.center_lng:.5f}" for r in found.orderBy("tile_ord").collect()]
+    parts = acquisition.aoi_coordinate_text(found).orderBy("part").collect()
+    assert len(parts) == found.select("top").distinct().count() > 1
+    assert "".join(p.coordinate_text for p in parts) == "getCoordinate: " + "; ".join(centres)
+
+
+def test_large_area_is_spread(spark):
+    aoi = spark.createDataFrame([(1, 41.0, 40.0, 10.0, 10.3)], "aoi_id BIGINT, north DOUBLE, south DOUBLE, west DOUBLE, east DOUBLE")
+    sizes = [r["count"] for r in acquisition.aoi_tiles(aoi).groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(sizes) < 2 * sum(sizes) / len(sizes)
 
 
 def test_required_layers(spark):
@@ -164,19 +170,23 @@ def test_required_layers(spark):
 def test_materialize_uses_the_session_folder(spark):
     folder = scratch.scratch_dir(spark)
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert folder == (named or spark.sparkContext.getCheckpointDir())
+    assert folder == (named or spark.sparkContext.getCheckpointDir() or scratch.scratch_dir(spark))
     table = scratch.materialize(spark.range(5))
     assert table.count() == 5
     assert all(folder in path for path in table.inputFiles())
+    scratch.discard(table)
+    with pytest.raises(Exception):
+        spark.read.schema(table.schema).parquet(table.scratch_path).count()
 
 
 def test_live_progress(spark, tmp_path):
     source = tmp_path / "in"
-    names = ["dsm_1.5_2.5.tif", "rgb_1.5_2.5.tif", "dsm_1.5_2.5.tif", "notes.txt"]
+    names = ["dsm_1.5_2.5.tif", "rgb_1.5_2.5.tif", "dsm_1.5_2.5.tif", "notes.txt", "dsm_9.5_9.5.tif"]
     spark.createDataFrame([(1, n) for n in names], "aoi_id BIGINT, file_name STRING").write.json(str(source))
     arrivals = spark.readStream.schema("aoi_id BIGINT, file_name STRING").json(str(source))
-    totals = spark.createDataFrame([(1, 2)], "aoi_id BIGINT, n_tiles BIGINT")
-    q = (live_progress(arrivals, totals).writeStream.outputMode("complete").format("memory").queryName("progress")
+    expected = [f"{layer}_{at}.tif" for layer in ("dsm", "rgb", "mask") for at in ("1.5_2.5", "1.5_3.5")]
+    manifest = spark.createDataFrame([(1, n) for n in expected], "aoi_id BIGINT, file_name STRING")
+    q = (live_progress(arrivals, manifest).writeStream.outputMode("complete").format("memory").queryName("progress")
          .option("checkpointLocation", str(tmp_path / "cp")).start())
     q.processAllAvailable()
     q.stop()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions.scratch import materialize
+
 HOT_ROWS = 1_000_000
-HOT_KEYS = 1000
 BROADCAST_KEYS = 1_000_000
 
 
@@ -14,29 +15,19 @@ def lookup(left: DataFrame, key: str, right: DataFrame, n_left: int, hot_rows: i
     """Left join to ``right``, which has one row per ``key``.
 
     A key can only be hot when ``left`` has more than ``hot_rows`` rows; below that this is a plain
-    join. Above it, the at most ``HOT_KEYS`` most frequent keys are answered by a broadcast of just
-    their rows, and all the others by a shuffle join in which the hot rows are spread at random.
+    join. Above it, every key with more than ``hot_rows`` rows, whether ``right`` has it or not, is
+    spread over as many salts as it has times that, and its row in ``right`` is repeated for each.
+    There are at most ``n_left / hot_rows`` such keys, which bounds the table that is broadcast.
     """
     if n_left <= hot_rows:
         return left.join(right, key, "left")
+    hot = materialize(left.groupBy(key).count().where(F.col("count") > hot_rows).select(
+        key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_salts")))
+    mark = lambda df: df.join(F.broadcast(hot), key, "left").withColumn("_salts", F.coalesce("_salts", F.lit(1)))
+    tagged = mark(left).withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.col("_salts")).cast("int"))
+    spread = mark(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     values = [c for c in right.columns if c != key]
-    hot = (
-        left.groupBy(key).count().where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count")).limit(HOT_KEYS)
-        .join(right, key)
-        .select(key, F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
-    )
-    spread = F.xxhash64(*left.columns) % HOT_KEYS
-    tagged = left.join(F.broadcast(hot), key, "left").withColumns({
-        "_is_hot": F.coalesce("_hot", F.lit(False)),
-        "_salt": F.when(F.col("_hot"), spread).otherwise(F.lit(0)),
-    })
-    cold = right.withColumns({"_is_hot": F.lit(False), "_salt": F.lit(0).cast("bigint")})
-    joined = tagged.join(cold, [key, "_is_hot", "_salt"], "left")
-    return joined.select(
-        *left.columns,
-        *[F.when(F.col("_is_hot"), F.col(f"_hot_{v}")).otherwise(F.col(v)).alias(v) for v in values],
-    )
+    return tagged.join(spread, [key, "_salt"], "left").select(*left.columns, *values)
 
 
 def split_median(df: DataFrame, key: str, value: Column, name: str, n_keys: int) -> DataFrame:

@@ -14,6 +14,9 @@ BUILDING_CODE = 2
 GROUND_SLOPE = 5.71
 ALBEDO_SCALE = 10000.0
 
+# Ranges that a table may hold.
+MAX_RANGES = 1000
+
 
 def align_layers(pixels: DataFrame, layers, band: int = 1, how: str = "inner") -> DataFrame:
     """One row per position with a column per layer, in a single shuffle for any number of layers.
@@ -50,8 +53,11 @@ def reclassify(value: Column, ranges=SURFACE_RANGES) -> Column:
 def reclassify_by_table(pixels: DataFrame, ranges: DataFrame, value: str, name: str) -> DataFrame:
     """The same with ranges from a table (lo, hi, new_val), gathered into one array of rows.
 
-    The range table describes classes, not pixels, and is read once as a scalar.
+    The range table describes classes, not pixels, and is read once as a scalar; more than
+    ``MAX_RANGES`` rows are refused, because every pixel looks through them.
     """
+    if ranges.count() > MAX_RANGES:
+        raise ValueError(f"more than {MAX_RANGES} ranges")
     table = ranges.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "new_val"))).alias("t")).scalar()
     v = F.col(value).cast("double")
     hit = F.get(F.filter("_ranges", lambda r: (v > r.lo) & (v <= r.hi)), F.lit(0))

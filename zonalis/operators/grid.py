@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from zonalis.functions.ranges import lattice
-from zonalis.schemas import Georef, GridSpec
+from zonalis.schemas import Georef, GridSpec, exact
 
 
 def make_grid(spark: SparkSession, grid: GridSpec) -> DataFrame:
@@ -36,11 +38,20 @@ def assign_cells(pixels: DataFrame, geo: Georef, grid: GridSpec) -> DataFrame:
 
     The cell follows from the indices by arithmetic, so this is a projection, not a spatial join.
     """
-    down = F.lit(grid.y_max - geo.y_max) + (F.col("row_idx") + F.lit(0.5)) * F.lit(geo.px_y)
-    across = F.lit(geo.x_min - grid.x_min) + (F.col("col_idx") + F.lit(0.5)) * F.lit(geo.px_x)
+
+    def cell(index: str, start: float, pixel: float) -> Column:
+        # floor((start + (index + 1/2) * pixel) / size) in whole numbers, so that a centre on a border
+        # falls on the same side as in the count of the grid's cells.
+        size, step, first = exact(grid.size), exact(pixel), exact(start)
+        unit = math.lcm(size.denominator, step.denominator, first.denominator)
+        a, b, c = (int(v * unit) for v in (step, 2 * first, 2 * size))
+        place = f"((2 * {index} + 1) * {a}L + {b}L)"
+        return F.expr(f"({place} - pmod({place}, {c}L)) div {c}L")
+
     return (
         pixels.withColumns({
-            "cell_row": F.floor(down / grid.size), "cell_col": F.floor(across / grid.size)})
+            "cell_row": cell("row_idx", grid.y_max - geo.y_max, geo.px_y),
+            "cell_col": cell("col_idx", geo.x_min - grid.x_min, geo.px_x)})
         .where(F.col("cell_row").between(0, grid.n_rows - 1) & F.col("cell_col").between(0, grid.n_cols - 1))
         .withColumn("cell_id", F.col("cell_row") * grid.n_cols + F.col("cell_col"))
         .drop("cell_row", "cell_col")

@@ -67,22 +67,6 @@ def lcz_ranges(spark: SparkSession) -> DataFrame:
         rows, "lcz_class STRING, class_ord INT, description STRING, param STRING, min_val DOUBLE, max_val DOUBLE")
 
 
-def input_status(tolerance: float = 0.0) -> Column:
-    """Whether a cell can be classified: the building share is known and the shares add up to 100."""
-    building, impervious, pervious = (F.col(c) for c in SUM_ORDER)
-    return (
-        F.when(building.isNull(), "missing_building")
-        .when(impervious.isNull() | pervious.isNull(), "missing_fraction")
-        .when(F.abs(building + impervious + pervious - WHOLE) > tolerance, "bad_sum")
-        .otherwise("ok")
-    )
-
-
-def available_params() -> Column:
-    """How many of the ten parameters are known."""
-    return reduce(add, [F.col(p).isNotNull().cast("int") for p in PARAMETERS])
-
-
 def _number(x: float) -> str:
     return "CAST('Infinity' AS DOUBLE)" if x == float("inf") else f"{x!r}D"
 

@@ -45,6 +45,14 @@ def rasterize_polygons(edges: DataFrame, geo: Georef, burn: int = BURN_VALUE) ->
 
 
 def zonal_polygons(edges: DataFrame, pixels: DataFrame, geo: Georef, code: str = "surface") -> DataFrame:
-    """Class fractions per polygon of any shape. Polygons may overlap."""
-    inside = polygon_pixels(edges, geo).join(pixels.select("row_idx", "col_idx", code), ["row_idx", "col_idx"])
-    return class_fractions(inside, code, "polygon_id")
+    """Class fractions per polygon of any shape. Polygons may overlap; one without a pixel has NULLs.
+
+    Only pixels within the extent of all polygons, one row of figures, are shuffled.
+    """
+    extent = edges.agg(
+        F.floor(F.min(F.least("y1", "y2")) - 1).alias("_r0"), F.ceil(F.max(F.greatest("y1", "y2"))).alias("_r1"),
+        F.floor(F.min(F.least("x1", "x2")) - 1).alias("_c0"), F.ceil(F.max(F.greatest("x1", "x2"))).alias("_c1"))
+    near = pixels.select("row_idx", "col_idx", code).join(
+        F.broadcast(extent), F.expr("row_idx BETWEEN _r0 AND _r1 AND col_idx BETWEEN _c0 AND _c1"))
+    inside = polygon_pixels(edges, geo).join(near.drop("_r0", "_r1", "_c0", "_c1"), ["row_idx", "col_idx"])
+    return edges.select("polygon_id").distinct().join(class_fractions(inside, code, "polygon_id"), "polygon_id", "left")

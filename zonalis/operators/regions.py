@@ -112,9 +112,9 @@ def connect(pairs: DataFrame, hot_rows: int = HOT_ROWS, small: int = SMALL_GRAPH
     n_labels = moves[0].count()
     place = moves[0].select(F.col("v").alias("label"), F.col("to").alias("at"))
     for step in moves[1:]:
-        place = lookup(place, "at", step.withColumnsRenamed({"v": "at", "to": "next"}), n_labels, hot_rows).select(
-            "label", F.coalesce("next", "at").alias("at"))
-    place = materialize(place)
+        # Written in each round: a plan that used its input twice per round would double.
+        place = materialize(lookup(place, "at", step.withColumnsRenamed({"v": "at", "to": "next"}), n_labels, hot_rows).select(
+            "label", F.coalesce("next", "at").alias("at")))
     smallest = place.groupBy("at").agg(F.min("label").alias("component"))
     return lookup(place, "at", smallest, n_labels, hot_rows).select("label", "component")
 
@@ -261,36 +261,27 @@ def component_rings(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame
         "component_id", "ring_id", "seq", "x", "y")
 
 
-def component_wkt(rings: DataFrame, geo: Georef, max_points: int = 10_000) -> DataFrame:
-    """Outlines as text in map coordinates: (component_id, part, wkt).
+def component_wkt(rings: DataFrame, geo: Georef, page: int = 10_000) -> DataFrame:
+    """Outlines as text in map coordinates: (component_id, ring_id, part, hole, wkt).
 
-    A region with at most ``max_points`` corners is one POLYGON, its outer ring first. A larger one
-    is given in full as LINESTRING parts that join end to end, each from a stretch of ``max_points``
-    unit edges of one ring, so no row is built from more than that.
+    Every region has the same form, whatever its size: each ring is a LINESTRING for each stretch of
+    ``page`` unit edges, numbered by ``part``, that begins where the part before ended; the last one
+    ends where the first began. So no row grows with the region, and joining the parts of a ring
+    gives the same closed ring for every ``page``. The outer ring comes first by ``ring_id``; the
+    others are holes.
     """
     point = F.concat_ws(" ", number_text(F.lit(geo.x_min) + F.col("x") * geo.px_x),
                         number_text(F.lit(geo.y_max) - F.col("y") * geo.px_y))
-    stretch = F.expr(f"seq div {max_points}").alias("stretch")
+    stretch = F.expr(f"seq div {page}").alias("stretch")
     pieces = rings.groupBy("component_id", "ring_id", stretch).agg(
         F.sort_array(F.collect_list(F.struct("seq", point.alias("t"))))["t"].alias("points"))
-    ring = Window.partitionBy("ring_id").orderBy("stretch")
-    # A piece ends where the next one starts, the last piece where the ring started.
+    ring = Window.partitionBy("component_id", "ring_id").orderBy("stretch")
     start = F.element_at("points", 1)
-    last_row = F.lead("stretch").over(ring).isNull()
-    back = F.first(start).over(ring.rowsBetween(Window.unboundedPreceding, 0))
     closed = pieces.withColumns({
-        "end": F.when(last_row, back).otherwise(F.lead(start).over(ring)), "size": F.size("points")})
-    text = F.concat(F.lit("("), F.array_join(F.concat("points", F.array("end")), ", "), F.lit(")"))
-    lines = materialize(closed.select("component_id", "ring_id", "stretch", "size", text.alias("text")))
-    sizes = lines.groupBy("component_id").agg(F.sum("size").alias("n"), F.max("stretch").alias("s"))
-    small = sizes.where((F.col("n") <= max_points) & (F.col("s") == 0)).select("component_id")
+        "part": (F.row_number().over(ring) - 1).cast("bigint"),
+        "end": F.coalesce(F.lead(start).over(ring), F.first(start).over(ring.rowsBetween(Window.unboundedPreceding, 0)))})
     # Reading order makes the first edge of a region part of its outer ring.
-    polygons = lines.join(small, "component_id", "left_semi").groupBy("component_id").agg(
-        F.sort_array(F.collect_list(F.struct("ring_id", "text")))["text"].alias("r")).select(
-        "component_id", F.lit(0).cast("bigint").alias("part"),
-        F.concat(F.lit("POLYGON ("), F.array_join("r", ", "), F.lit(")")).alias("wkt"))
-    order = Window.partitionBy("component_id").orderBy("ring_id", "stretch")
-    parts = lines.join(small, "component_id", "left_anti").select(
-        "component_id", (F.row_number().over(order) - 1).cast("bigint").alias("part"),
-        F.concat(F.lit("LINESTRING "), "text").alias("wkt"))
-    return polygons.unionByName(parts)
+    outer = rings.groupBy("component_id").agg(F.min("ring_id").alias("outer"))
+    text = F.concat(F.lit("LINESTRING ("), F.array_join(F.concat("points", F.array("end")), ", "), F.lit(")"))
+    return closed.join(outer, "component_id").select(
+        "component_id", "ring_id", "part", (F.col("ring_id") != F.col("outer")).alias("hole"), text.alias("wkt"))

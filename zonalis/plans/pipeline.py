@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.blocks import BLOCK
+from zonalis.functions.scratch import materialize
 from zonalis.operators import algebra, derive, focal, grid as cell_grid, lcz, proximity, zonal
 from zonalis.schemas import Georef, GridSpec, require_columns
 
@@ -28,9 +29,11 @@ def cell_statistics(pixels: DataFrame, geo: Georef, grid: GridSpec, block: int =
     """All cell attributes from aligned pixels (row_idx, col_idx, dsm, mask, class, albedo).
 
     Pixels are shuffled to their block for the slope, and to their block for the distance. The two
-    results meet per cell, not per pixel.
+    results meet per cell, not per pixel. The aligned pixels are written once, so that no reader
+    repeats the mosaic and the alignment behind them.
     """
     require_columns(pixels, "row_idx", "col_idx", "dsm", "mask", "class", "albedo")
+    pixels = materialize(pixels.select("row_idx", "col_idx", "dsm", "mask", "class", "albedo"))
     limit, n_cells = grid.max_pixels_per_cell(geo), grid.n_rows * grid.n_cols
     ready = pixels.select("row_idx", "col_idx", "dsm", "mask", "albedo", surface_code().alias("surface"))
     ground = focal.dtm(ready, geo.px_x, geo.px_y, masked="null", block=block)

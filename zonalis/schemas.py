@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from fractions import Fraction
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,11 @@ CELLS = (
 NODATA = -9999.0
 
 
+def exact(x: float) -> Fraction:
+    """The decimal number that was meant by ``x``, up to six places: 0.3 is three tenths."""
+    return Fraction(str(float(x))).limit_denominator(10**6)
+
+
 @dataclass(frozen=True)
 class Georef:
     """Placement of a raster: upper-left corner, pixel size, shape and CRS text."""
@@ -56,8 +62,8 @@ class GridSpec:
             geo.x_min,
             geo.y_max,
             size,
-            math.ceil(geo.n_rows * geo.px_y / size),
-            math.ceil(geo.n_cols * geo.px_x / size),
+            math.ceil(geo.n_rows * exact(geo.px_y) / exact(size)),
+            math.ceil(geo.n_cols * exact(geo.px_x) / exact(size)),
         )
 
     def max_pixels_per_cell(self, geo: Georef) -> int:

@@ -42,7 +42,9 @@ def aoi_tiles(aoi: DataFrame, size_m: float = TILE_SIDE_M) -> DataFrame:
         "n_lng": F.ceil((F.col("east") - F.col("west")) / F.col("d_lng")),
     })
     # One area may own most tiles: its rows of tiles are spread before they are expanded.
-    rows = explode_range(boxes, "lat_idx", F.lit(0), F.col("n_lat") - 1).repartition("aoi_id", "lat_idx")
+    # A count of partitions is given because adaptive execution would merge the short rows again.
+    tasks = int(aoi.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = explode_range(boxes, "lat_idx", F.lit(0), F.col("n_lat") - 1).repartition(tasks, "aoi_id", "lat_idx")
     tiles = explode_range(rows, "lng_idx", F.lit(0), F.col("n_lng") - 1)
     top = F.col("north") - F.col("lat_idx") * F.col("d_lat")
     left = F.col("west") + F.col("lng_idx") * F.col("d_lng")
@@ -56,16 +58,15 @@ def aoi_tiles(aoi: DataFrame, size_m: float = TILE_SIDE_M) -> DataFrame:
     )
 
 
-def aoi_coordinate_text(tiles: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """The area's centre coordinates as one line of text, five decimals each.
+def aoi_coordinate_text(tiles: DataFrame) -> DataFrame:
+    """The area's centre coordinates as one line of text, five decimals each, in parts.
 
-    An area with more than ``chunk`` tiles continues in further parts; joining the parts in order
-    gives the whole line.
+    Every area has one part per row of its tiles, named by the number of the row's first tile;
+    joining the parts in that order gives the whole line.
     """
-    part = F.floor(F.col("tile_ord") / chunk).cast("bigint")
     grouped = (
-        tiles.groupBy("aoi_id", part.alias("part"))
-        .agg(F.sort_array(F.collect_list(F.struct(
+        tiles.groupBy("aoi_id", "top")
+        .agg(F.min("tile_ord").alias("part"), F.sort_array(F.collect_list(F.struct(
             "tile_ord", F.format_string("%.5f,%.5f", "center_lat", "center_lng").alias("s")))).alias("c"))
     )
     lead = F.when(F.col("part") == 0, F.lit(COORDINATE_PREFIX)).otherwise(F.lit("; "))

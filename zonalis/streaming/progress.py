@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.text import percent_text
-from zonalis.sources.acquisition import FILES_PER_TILE, parse_tile_names
 
 
-def live_progress(arrivals: DataFrame, totals: DataFrame) -> DataFrame:
+def live_progress(arrivals: DataFrame, manifest: DataFrame) -> DataFrame:
     """Percentage of files received per area, from a stream of (aoi_id, file_name).
 
-    ``totals`` is the static table (aoi_id, n_tiles). A file that is reported twice counts once;
-    names that are no tile files do not count. The state holds one row per file and grows only with
-    the manifest.
+    ``manifest`` is the static table (aoi_id, file_name) of the files to come. Only its files count,
+    and each once, so the percentage ends at 100 and the state holds at most one row per manifest row.
     """
-    files = parse_tile_names(arrivals).select("aoi_id", "file_name").dropDuplicates(["aoi_id", "file_name"])
-    done = files.join(totals, "aoi_id").groupBy("aoi_id", "n_tiles").agg(F.count("*").alias("processed_files"))
-    total = F.col("n_tiles") * FILES_PER_TILE
+    totals = manifest.groupBy("aoi_id").agg(F.count("*").alias("total_files"))
+    known = arrivals.select("aoi_id", "file_name").join(manifest.select("aoi_id", "file_name"), ["aoi_id", "file_name"])
+    done = known.dropDuplicates(["aoi_id", "file_name"]).join(totals, "aoi_id").groupBy("aoi_id", "total_files").agg(
+        F.count("*").alias("processed_files"))
     return done.select(
-        "aoi_id", "processed_files", total.alias("total_files"),
-        percent_text(F.col("processed_files"), total).alias("progress_text"))
+        "aoi_id", "processed_files", "total_files",
+        percent_text(F.col("processed_files"), F.col("total_files")).alias("progress_text"))
