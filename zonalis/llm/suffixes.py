@@ -49,10 +49,10 @@ def selected(data: np.ndarray, roll: Roller, reach: int) -> np.ndarray:
 
 
 def _ranked(data: np.ndarray, threshold: int, reach: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """(position, left, first, second, whole) of the selected positions, segment by segment.
+    """(position, left, rank, whole) of the selected positions, segment by segment.
 
-    ``left`` bytes before a position have it as their first selected one. ``first`` and ``second``
-    name its first and next ``reach`` bytes, ``whole`` the left bytes and ``threshold`` bytes on.
+    ``left`` bytes before a position have it as their first selected one. ``rank`` names its first
+    2 * ``reach`` bytes, on which its selection rests, ``whole`` the left bytes and ``threshold`` bytes on.
     """
     n = len(data)
     for a in range(0, n, SEGMENT):
@@ -70,7 +70,7 @@ def _ranked(data: np.ndarray, threshold: int, reach: int) -> Iterator[tuple[np.n
         if len(s):
             end = np.minimum(s + threshold, len(part))
             whole = mix(roll(s - left, end) + left.astype(np.uint64))
-            yield s + low, left, roll(s, s + reach), roll(s + reach, s + 2 * reach), whole
+            yield s + low, left, roll(s, s + 2 * reach), whole
 
 
 def _named(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -98,25 +98,22 @@ def repeated_windows(named: DataFrame, threshold: int, reach: int) -> DataFrame:
                 yield table(held)
 
     def table(held: list) -> pa.RecordBatch:
-        ids, at, left, first, second, whole = (np.concatenate(c) for c in zip(*held))
+        ids, at, left, rank, whole = (np.concatenate(c) for c in zip(*held))
         return pa.RecordBatch.from_arrays(
-            [pa.array(ids), pa.array(at), pa.array(left.astype(np.int32)), *[pa.array(c.view(np.int64)) for c in (first, second, whole)]],
-            ["id", "at", "left", "rank", "second", "whole"],
+            [pa.array(ids), pa.array(at), pa.array(left.astype(np.int32)), *[pa.array(c.view(np.int64)) for c in (rank, whole)]],
+            ["id", "at", "left", "rank", "whole"],
         )
 
     rows = materialize(named.where(F.octet_length("data") >= threshold).select("id", "data").mapInArrow(
-        rank, "id bigint, at bigint, left int, rank bigint, second bigint, whole bigint"
+        rank, "id bigint, at bigint, left int, rank bigint, whole bigint"
     ))
-    # Each round joins a position's rank with the rank of what follows, counts the pairs and goes on
-    # with those that are not unique: 128 bytes, then 256, then the threshold and the bytes before.
-    for following in ("second", None):
-        again = rows.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("id"))
-        alive = only(rows, "rank", again)
-        if following:
-            alive = alive.withColumn("rank", F.xxhash64("rank", following)).drop(following)
-        rows, done = materialize(alive), rows
-        discard(done)
-        release(named.sparkSession)
+    # Each round pairs a position's rank with the rank at a growing offset, counts equal pairs and goes
+    # on with those that are not unique: 256 bytes, then twice as many and past the threshold with
+    # the bytes before, then single windows.
+    again = rows.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("id"))
+    rows, done = materialize(only(rows, "rank", again)), rows
+    discard(done)
+    release(named.sparkSession)
     contexts = materialize(rows.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "left")).alias("row")))
     settled = _merged(rows.join(contexts.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select(
         "id", (F.col("at") - F.col("left")).alias("begin"), (F.col("at") + threshold).alias("end")
@@ -241,7 +238,8 @@ def remove_repeats(
                 ["doc", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    return named.join(spans, "id", "left").select("doc", "data", "spans").mapInArrow(
+    # By key at every size: at scale the spans are too many for a broadcast.
+    return named.join(spans.hint("merge"), "id", "left").select("doc", "data", "spans").mapInArrow(
         cut, f"doc {kind}, n_bytes bigint, n_removed bigint, spans array<struct<begin:bigint,end:bigint>>, kept binary"
     ).select(F.col("doc").alias(doc_id), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"), "spans", "kept")
 
