@@ -13,7 +13,7 @@ from zonalis.functions.scratch import materialize
 from zonalis.llm.names import fresh
 
 #: Edits allowed per byte of a normalized item.
-RATE = 0.07
+RATE = 0.08
 #: Normalized bytes below which an item is a phrase that anyone may write.
 MIN_BYTES = 25
 #: Bytes of items that are sent to the tasks at once; a larger benchmark is searched in blocks.
