@@ -147,7 +147,7 @@ def dedupe_lines(
     key, lost = fresh(docs, "_doc"), fresh(docs, "_gone")
     gone = materialize(aligned_lines(rows, min_words).select(F.col("doc").alias(key), F.col("gone").alias(lost)))
     release(docs.sparkSession)
-    joined = docs.join(gone, F.col(doc_id) == F.col(key), "left")
+    joined = docs.join(gone.hint("merge"), F.col(doc_id) == F.col(key), "left")
     lines = F.split(F.col(text).cast("string"), "\n", -1)
     numbered = F.transform(lines, lambda l, i: F.struct(l.alias("l"), i.alias("i")))
     left = F.transform(F.filter(numbered, lambda x: ~F.array_contains(lost, x["i"])), lambda x: x["l"])
