@@ -204,4 +204,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
     leaks = find_leaks(keyed, benchmark, row, text, **options)
     bad = materialize(leaks.select(F.col(row).alias(bad_row)).distinct())
-    return keyed.join(bad, F.col(row) == F.col(bad_row), "left_anti").drop(row)
+    return keyed.join(bad.hint("merge"), F.col(row) == F.col(bad_row), "left_anti").drop(row)

@@ -133,7 +133,7 @@ def without_near_duplicates(
     ))
     gone = judged.where("NOT kept").drop("kept", "unnamed")
     key = gone.columns[0]
-    left = docs.join(gone, F.col(doc_id) == F.col(key), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col(doc_id) == F.col(key), "left_anti")
     named = docs.where(F.col(doc_id).isNotNull()).select(doc_id).count()
     if named > judged.where("NOT unnamed").count():
         left = left.where(F.col(doc_id).isNull()).unionByName(left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))

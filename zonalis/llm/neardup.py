@@ -19,8 +19,12 @@ BLOCK = 500
 
 
 def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
-    """The ``rows`` whose ``key`` is among the written ``ids`` (one column ``id``)."""
-    return rows.join(ids.withColumnRenamed("id", key), key, "left_semi")
+    """The ``rows`` whose ``key`` is among ``ids`` (one column ``id``).
+
+    Like every join of texts with decisions here it is a join by key at every size, because at scale
+    the decisions are too many for a broadcast: what is measured on small tables then holds for large ones.
+    """
+    return rows.join(ids.withColumnRenamed("id", key).hint("merge"), key, "left_semi")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:

@@ -107,7 +107,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
                     ["doc", "unit", "n", "members"],
                 )
 
-    return docs.join(wanted, "doc").select("doc", "text", "units").mapInArrow(
+    return docs.join(wanted.hint("merge"), "doc").select("doc", "text", "units").mapInArrow(
         read, f"doc {kind}, unit int, n bigint, members binary"
     ).groupBy(F.struct("doc", "unit").alias("id")).agg(F.max(F.struct("n", "members")).alias("s")).select("id", "s.n", "s.members")
 
@@ -178,5 +178,5 @@ def without_paragraphs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id"
             out.append(t)
         return pa.array(out, pa.string())
 
-    joined = docs.join(gone, F.col(doc_id) == F.col(key), "left").withColumn(text, cut(F.col(text), F.col(lost)))
+    joined = docs.join(gone.hint("merge"), F.col(doc_id) == F.col(key), "left").withColumn(text, cut(F.col(text), F.col(lost)))
     return joined.select(*docs.columns)

@@ -164,7 +164,7 @@ def _open_windows(named: DataFrame, spots: DataFrame, threshold: int) -> DataFra
         )
 
     windows = materialize(
-        named.join(spots, "id").select("id", "data", "spots").mapInArrow(expand, "id bigint, begin bigint, open boolean, hash bigint")
+        named.join(spots.hint("merge"), "id").select("id", "data", "spots").mapInArrow(expand, "id bigint, begin bigint, open boolean, hash bigint")
     )
     release(named.sparkSession)
     again = windows.groupBy("hash").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("open")).where("n > 1 AND open").select(
