@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import decontaminate, langid, lines, minhash, packing, paragraphs, pii, quality, secrets, suffixes
+from zonalis.llm import decontaminate, langid, lines, minhash, oracles, packing, paragraphs, pii, quality, secrets, suffixes
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -62,12 +62,12 @@ def op7_byte_cnn_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("op9_min_max_near_dedup")
+@query("op9_min_max_near_dedup", oracles.NEAR_DUPLICATES)
 def op9_min_max_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir), size=2)
 
 
-@query("op8_prefix_doubling_dedup")
+@query("op8_prefix_doubling_dedup", oracles.REPEATS)
 def op8_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.remove_repeats(documents(spark, sf_dir), threshold=400).select(
         "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")
