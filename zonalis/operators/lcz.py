@@ -7,6 +7,8 @@ shuffle. Long results repeat the row beside the 17 entries.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +101,12 @@ def _contribution(c: str, p: str) -> str:
             f"ELSE {error} * {error} END")
 
 
+#: The same for one gathered entry (value, min_val, max_val, target) with a known value.
+_ENTRY_CONTRIBUTION = (
+    f"CASE WHEN value >= min_val AND value <= max_val THEN 0D WHEN target = 0D THEN {_number(float('inf'))} "
+    "ELSE ((value - target) / target) * ((value - target) / target) END")
+
+
 def _tally(c: str, denominator: str) -> tuple[str, str]:
     """Counts and summed squared errors over the ten parameters of one class.
 
@@ -181,12 +189,15 @@ def lcz_eligible(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
 
 def lcz_contributions(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per cell, eligible class and known parameter: inside the range or not, and the contribution."""
+    # The ten entries only gather values; what is computed from them is written once, after the
+    # explode, so that the generated method stays within the size that the JVM compiles.
     entries = ", ".join(
-        f"struct({i} AS param_ord, '{p}' AS param, {p} AS value, _c.{p}_low AS min_val, _c.{p}_high AS max_val, "
-        f"{_inside('_c', p)} AS matched, {_contribution('_c', p)} AS contribution)"
+        f"struct({i} AS param_ord, '{p}' AS param, {p} AS value, _c.{p}_low AS min_val, _c.{p}_high AS max_val, _c.{p}_target AS target)"
         for i, p in enumerate(PARAMETERS, 1))
     rows = _by_class(cells, tolerance, f"explode(array({entries})) AS p").where("eligible AND NOT isnan(p.value)")
-    return rows.select("cell_id", "class_ord", "lcz_class", "p.*")
+    return rows.select("cell_id", "class_ord", "lcz_class", "p.*").selectExpr(
+        "cell_id", "class_ord", "lcz_class", "param_ord", "param", "value", "min_val", "max_val",
+        "value >= min_val AND value <= max_val AS matched", f"{_ENTRY_CONTRIBUTION} AS contribution")
 
 
 def lcz_matches(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
@@ -214,9 +225,15 @@ def lcz_scores(cells: DataFrame, tolerance: float = 0.0, denominator: str = "val
 
     ``denominator`` says whether an error is relative to the cell's ``value`` or the class ``target``.
     """
-    total = " + ".join(_contribution("_c", p) for p in PARAMETERS)
-    mean = f"sqrt(({total}) / CAST(available_params AS DOUBLE) * 100) AS mean_contribution"
-    return _scored(cells, tolerance, denominator, mean).where("eligible").drop("eligible")
+    entries = ", ".join(
+        f"struct({p} AS value, _c.{p}_low AS min_val, _c.{p}_high AS max_val, _c.{p}_target AS target)" for p in PARAMETERS)
+    scored = _scored(cells, tolerance, denominator, f"array({entries}) AS _p").where("eligible")
+    # One lambda over ten entries instead of ten expressions, which the JVM would not compile.
+    step = _ENTRY_CONTRIBUTION
+    for field in ("value", "min_val", "max_val", "target"):
+        step = re.sub(rf"\b{field}\b", f"x.{field}", step)
+    total = f"aggregate(_p, 0D, (a, x) -> a + IF(isnan(x.value), 0D, {step}))"
+    return scored.withColumn("mean_contribution", F.expr(f"sqrt({total} / CAST(available_params AS DOUBLE) * 100)")).drop("eligible", "_p")
 
 
 def lcz_all_results(cells: DataFrame, tolerance: float = 0.0, denominator: str = "value") -> DataFrame:
