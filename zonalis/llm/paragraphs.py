@@ -15,7 +15,7 @@ from zonalis.llm.names import fresh
 from zonalis.llm.neardup import link, release
 
 SHINGLE = 5
-#: Words below which a paragraph is too common a phrase to be a repeat.
+#: Words below which a part of a line is too common a phrase to be a repeat.
 MIN_WORDS = 8
 
 
@@ -30,27 +30,15 @@ def tune(similarity: float, background: float = 0.01, miss: float = 1e-3, false_
         rows += 1
 
 
-def _units(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
-    """Row, number in the row, byte range, and shingle sets of each paragraph with enough words.
-
-    A paragraph ends at a line feed, and at a word that ends with a full stop, an exclamation or a
-    question mark: a passage pasted into a line is a run of whole paragraphs then.
-    """
-    data, offsets = S.buffer_of(texts)
-    hashes, starts, ends = S.words(data, offsets)
-    if not len(hashes):
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    closing = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-    head = np.ones(len(hashes), bool)
-    head[1:] = closing[:-1] | (lines[starts[1:]] > lines[ends[:-1]]) | (row[1:] != row[:-1])
+def _level(row: np.ndarray, line: np.ndarray, words: tuple[np.ndarray, ...], head: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+    """Row, number in the row, line, byte range in the data, and shingle sets of the units that begin
+    at the words ``head`` and have ``least`` words or more."""
+    hashes, starts, ends = words
     first = np.append(np.flatnonzero(head), len(hashes))
     unit_row = row[first[:-1]]
     number = np.arange(len(unit_row)) - np.searchsorted(unit_row, unit_row)
     values, unit = S.shingle(hashes, first, SHINGLE)
-    long = np.diff(first) >= min_words
+    long = np.diff(first) >= least
     use = long[unit]
     values, unit = values[use], unit[use]
     order = np.lexsort((values, unit))
@@ -59,50 +47,86 @@ def _units(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
     fresh[1:] = (values[1:] != values[:-1]) | (unit[1:] != unit[:-1])
     values, unit = values[fresh], unit[fresh]
     at = np.flatnonzero(long)
-    bounds = np.append(np.searchsorted(unit, at), len(unit))
-    base = offsets[unit_row[at]]
-    return unit_row[at], number[at], starts[first[at]] - base, ends[first[at + 1] - 1] - base, values, bounds
+    return unit_row[at], number[at], line[first[at]], starts[first[at]], ends[first[at + 1] - 1], values, np.searchsorted(unit, at)
 
 
-def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int) -> DataFrame:
-    """One row per paragraph of ``docs`` (doc, text) with its range, set size, set identity and band keys."""
+def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.ndarray, ...]:
+    """Row, code, line, byte range, and shingle sets of each paragraph with enough words.
+
+    A paragraph is a line as a whole, and also each part of it up to a word that ends with a full
+    stop, an exclamation or a question mark: a passage pasted into a line is a run of such parts.
+    The code is twice the number in the row, plus 1 for a whole line.
+    """
+    data, offsets = S.buffer_of(texts)
+    hashes, starts, ends = words = S.words(data, offsets)
+    if not len(hashes):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
+    row = np.searchsorted(offsets, starts, "right") - 1
+    feeds = np.concatenate([[0], np.cumsum(data == 10)])
+    closing = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
+    whole = np.ones(len(hashes), bool)
+    whole[1:] = (feeds[starts[1:]] > feeds[ends[:-1]]) | (row[1:] != row[:-1])
+    part = whole.copy()
+    part[1:] |= closing[:-1]
+    line = np.cumsum(whole) - 1
+    line -= line[np.searchsorted(row, row)]
+    parts = _level(row, line, words, part, min_words)
+    wholes = _level(row, line, words, whole, min_line_words)
+    of, number, line, begin, end, values = (np.concatenate(x) for x in zip(parts[:6], wholes[:6]))
+    code = 2 * number
+    code[len(parts[0]):] += 1
+    bounds = np.concatenate([parts[6], wholes[6] + len(parts[5]), [len(values)]])
+    return of, code, line, begin - offsets[of], end - offsets[of], values, bounds
+
+
+def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, min_line_words: int, similarity: int) -> DataFrame:
+    """One row per paragraph of ``docs`` (doc, text) with its range, set size, set identity and band keys.
+
+    Parts and whole lines differ in identity and keys, so a line never meets a part of itself. A set
+    too small to be like any but an equal one has no keys.
+    """
     kind = docs.schema["doc"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in S.pieces(batch.column(1)):
-                row, number, begin, end, values, bounds = _units(texts, min_words)
+                row, code, line, begin, end, values, bounds = _units(texts, min_words, min_line_words)
                 if not len(row):
                     continue
-                keys = S.band_keys(S.min_max(values, bounds[:-1], bands * rows, both=False), rows)
-                one, two = (np.add.reduceat(S.mix(values * np.uint64(c)), bounds[:-1]).view(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+                n = np.diff(bounds)
+                level = (code & 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                one, two = ((np.add.reduceat(S.mix(values * np.uint64(c)), bounds[:-1]) + level).view(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+                banded = n * (100 - similarity) >= similarity
+                keys = S.band_keys(S.min_max(values, bounds[:-1], bands * rows, both=False), rows).view(np.uint64) + level[:, None]
+                widths = np.concatenate([[0], banded * bands]).astype(np.int32)
                 names = batch.column(0).slice(at, len(texts)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(number.astype(np.int32)), pa.array(begin), pa.array(end), pa.array(np.diff(bounds)),
+                    [names, pa.array(code.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(begin), pa.array(end), pa.array(n),
                      pa.array(one), pa.array(two),
-                     pa.ListArray.from_arrays(pa.array((np.arange(len(row) + 1) * bands).astype(np.int32)), pa.array(keys.reshape(-1)))],
-                    ["doc", "unit", "begin", "end", "n", "one", "two", "keys"],
+                     pa.ListArray.from_arrays(pa.array(np.cumsum(widths, dtype=np.int32)), pa.array(keys[banded].view(np.int64).reshape(-1)))],
+                    ["doc", "unit", "line", "begin", "end", "n", "one", "two", "keys"],
                 )
 
     return docs.select("doc", "text").mapInArrow(
-        read, f"doc {kind}, unit int, begin bigint, end bigint, n bigint, one bigint, two bigint, keys array<bigint>"
+        read, f"doc {kind}, unit int, line int, begin bigint, end bigint, n bigint, one bigint, two bigint, keys array<bigint>"
     )
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     """(id, n, members) of the ``wanted`` (doc, units) paragraphs."""
     kind = docs.schema["doc"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in S.pieces(batch.column(1)):
-                row, number, _, _, values, bounds = _units(texts, min_words)
+                row, code, _, _, _, values, bounds = _units(texts, min_words, min_line_words)
                 units = batch.column(2).slice(at, len(texts))
                 asked = [set(u.as_py()) for u in units]
-                use = [k for k in range(len(row)) if int(number[k]) in asked[row[k]]]
+                use = [k for k in range(len(row)) if int(code[k]) in asked[row[k]]]
                 names = batch.column(0).slice(at, len(texts)).take(pa.array(row[use], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(number[use].astype(np.int32)), pa.array(np.diff(bounds)[use]),
+                    [names, pa.array(code[use].astype(np.int32)), pa.array(np.diff(bounds)[use]),
                      pa.array([S.pack(values[bounds[k]:bounds[k + 1]]) for k in use], pa.binary())],
                     ["doc", "unit", "n", "members"],
                 )
@@ -114,24 +138,29 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
 
 def duplicate_paragraphs(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 80, min_words: int = MIN_WORDS,
+    min_line_words: int = MIN_WORDS,
 ) -> DataFrame:
     """One row per paragraph that has a near-duplicate, in another document or the same one.
 
-    Columns: ``doc_id``, ``paragraph`` (number in the document), ``begin``, ``end`` (bytes of the
-    UTF-8 text), ``cluster_doc``, ``cluster_paragraph`` (the cluster's first paragraph by id and
-    number) and ``kept``, true for that first one: the others are to be removed. Paragraphs with a
+    Paragraphs are whole lines of ``min_line_words`` words or more, and parts of lines up to a
+    sentence end of ``min_words`` or more; each kind is linked among its like, and both are reported.
+
+    Columns: ``doc_id``, ``whole`` (true for a line), ``paragraph`` (number in the document, of its
+    kind), ``begin``, ``end`` (bytes of the UTF-8 text), ``cluster_doc``, ``cluster_paragraph`` (the
+    cluster's first paragraph by id and number, parts of lines that go as a whole coming last) and
+    ``kept``, true for that first one: the others are to be removed. Paragraphs with a
     Jaccard similarity of ``similarity`` percent or more over five-word shingles are linked and
     clusters are connected components. Bands are tuned so that a pair at the threshold is missed
     once in a thousand; every link is confirmed on the full sets. Equal paragraphs are one class
-    first, so their number costs nothing further.
+    first, so their number costs nothing further. A paragraph of fewer than five words is one shingle.
 
-    Paragraphs of fewer than ``min_words`` words take no part, so NULL, empty and wordless texts give
+    Shorter paragraphs take no part, so NULL, empty and wordless texts give
     no row; neither do rows with a NULL id, which could not be named. Rows repeated as a whole count
     once. Other columns are ignored; an empty table gives no row.
     """
     rows_in = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     bands, rows = tune(similarity / 100)
-    read = materialize(paragraph_table(rows_in, bands, rows, min_words))
+    read = materialize(paragraph_table(rows_in, bands, rows, min_words, min_line_words, similarity))
     same = ["one", "two", "n"]
     keyed = read.groupBy(*same).agg(F.min(F.struct("doc", "unit")).alias("id"), F.first("keys").alias("keys"))
     keys = materialize(keyed.select("id", F.explode("keys").alias("key")))
@@ -141,7 +170,7 @@ def duplicate_paragraphs(
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(ids.groupBy("id.doc").agg(F.collect_list("id.unit").alias("units")))
-        return _sets(rows_in, wanted, min_words)
+        return _sets(rows_in, wanted, min_words, min_line_words)
 
     placed = link(keys, sets_of, similarity)
     classes = units.groupBy(*same).agg(
@@ -149,12 +178,22 @@ def duplicate_paragraphs(
     ).join(placed, "id", "left").where("component IS NOT NULL OR id <> last").select(
         *same, F.coalesce("component", "id").alias("first")
     )
-    found = units.join(materialize(classes), same)
-    return found.select(
-        F.col("doc").alias(doc_id), F.col("unit").alias("paragraph"), "begin", "end",
-        F.col("first.doc").alias("cluster_doc"), F.col("first.unit").alias("cluster_paragraph"),
+    found = materialize(units.join(materialize(classes), same).select("doc", "unit", "line", "begin", "end", "first").distinct())
+    discard(units)
+    # A part that goes with its line cannot stand for its cluster while one elsewhere can.
+    lines = found.where("unit % 2 = 1 AND first <> struct(doc, unit)").select("doc", "line").distinct()
+    parts = found.where("unit % 2 = 0").select("doc", "unit", "line", "first")
+    gone = parts.join(lines, ["doc", "line"], "left_semi").where("first = struct(doc, unit)").select("first")
+    moved = materialize(
+        parts.join(materialize(gone), "first", "left_semi").join(lines, ["doc", "line"], "left_anti")
+        .groupBy("first").agg(F.min(F.struct("doc", "unit")).alias("instead"))
+    )
+    named = found.join(moved, "first", "left").withColumn("first", F.coalesce("instead", "first"))
+    return named.select(
+        F.col("doc").alias(doc_id), (F.col("unit") % 2 == 1).alias("whole"), F.shiftright("unit", 1).alias("paragraph"), "begin", "end",
+        F.col("first.doc").alias("cluster_doc"), F.shiftright("first.unit", 1).alias("cluster_paragraph"),
         ((F.col("first.doc") == F.col("doc")) & (F.col("first.unit") == F.col("unit"))).alias("kept"),
-    ).distinct()
+    )
 
 
 def without_paragraphs(docs: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

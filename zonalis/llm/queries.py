@@ -76,7 +76,8 @@ def op8_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_paragraph_minhash")
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.duplicate_paragraphs(documents(spark, sf_dir))
+    """Parts of lines of eight words or more, and whole lines of any length."""
+    return paragraphs.duplicate_paragraphs(documents(spark, sf_dir), min_line_words=1)
 
 
 @query("op5_patience_line_dedup")
