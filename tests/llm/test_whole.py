@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 from tests.llm import reference as R
-from zonalis.llm import paragraphs
+from zonalis.llm import lines, paragraphs
 from zonalis.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -65,3 +65,36 @@ def test_no_copy_of_a_part_is_lost(spark):
     df = spark.createDataFrame([(1, f"{body}. {first}"), (2, f"{body}. {second}"), (3, f"Something else. {second}")], "doc_id BIGINT, text STRING")
     left = {r.doc_id: r.text for r in paragraphs.without_paragraphs(df, paragraphs.duplicate_paragraphs(df)).collect()}
     assert left[2] == "" and second in left[3] and left[1] == f"{body}. {first}"
+
+
+def every_earlier(texts):
+    """Lines that go when each document is aligned with all earlier ones."""
+    own = {i: [(k, x, len(R.WORD.findall(x))) for k, x in enumerate(t.split("\n")) if R.WORD.search(x)] for i, t in texts.items()}
+    holders = {}
+    for i, some in own.items():
+        for _, x, _ in some:
+            holders.setdefault(x, set()).add(i)
+    own = {i: [x for x in some if len(holders[x[1]]) > 1] for i, some in own.items()}
+    gone = {i: set() for i in texts}
+    for i in own:
+        for j in {j for _, x, _ in own[i] for j in holders[x] if j < i}:
+            a, b = own[i], own[j]
+            for run in lines.blocks(lines.patience([x[1] for x in a], [x[1] for x in b]), [x[0] for x in a], [x[0] for x in b]):
+                if sum(a[k][2] for k in run) >= lines.MIN_WORDS:
+                    gone[i] |= {a[k][0] for k in run}
+    return gone
+
+
+@tables
+def test_op5_every_earlier_document(spark, texts):
+    got = {r.doc_id: r.lines_removed for r in QUERIES["op5_patience_line_dedup"](spark, SMALL).collect()}
+    assert got == {i: ",".join(map(str, sorted(g))) for i, g in every_earlier(texts).items()}
+
+
+def test_blocks_of_later_holders(spark):
+    """A block whose lines were met apart before, and lines that the first holder or the later document repeats."""
+    long = "a line of more than six words here"
+    texts = {1: "one two\nalone", 2: "three four\nother", 3: "five six\nmore", 4: "p\none two\nthree four\nfive six", 5: "q\none two\nthree four\nfive six\nr",
+             6: f"{long}\nalone\n{long}", 7: f"{long}\nx y", 8: f"other\n{long}\nx y", 9: f"more\n{long}\nalone\n{long}\np"}
+    got = {r.doc_id: set(r.dedup.removed) for r in lines.dedupe_lines(spark.createDataFrame(list(texts.items()), "doc_id BIGINT, text STRING")).collect()}
+    assert got == every_earlier(texts) and got[5] == {1, 2, 3} and got[8]

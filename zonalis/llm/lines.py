@@ -1,4 +1,4 @@
-"""Line deduplication by pairwise alignment of documents that share rare lines."""
+"""Line deduplication by pairwise alignment of documents that share runs of lines."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.functions.scratch import materialize
+from zonalis.functions.scratch import discard, materialize
 from zonalis.llm.names import fresh
 from zonalis.llm.neardup import release
 
@@ -86,26 +86,48 @@ def blocks(matches: list[tuple[int, int]], at_left: list[int], at_right: list[in
         yield run
 
 
-def aligned_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc, gone): the numbers of the lines of ``docs`` (doc, text) that an earlier document holds.
+def least_runs(at: list[int], lines: list[int], words: list[int], min_words: int) -> set[tuple[int, int, int]]:
+    """(first, last, hash) of the shortest runs of neighbouring lines with ``min_words`` words, from and to each line.
 
-    A line hash is linked from each document to the first document that has it, so a line of any
-    frequency gives one candidate per document and no pairs among its holders. A document is aligned
-    with the first holders of its lines, which its rare lines tell apart. Only lines that occur in
-    several documents are sent to the alignment, with their place.
+    Each line of a common block of ``min_words`` words is in such a run inside the block.
     """
-    lines = materialize(line_table(docs).groupBy("doc", "at").agg(F.min("line").alias("line"), F.max("words").alias("words")))
-    holders = lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("line", "first")
-    shared = materialize(lines.join(holders, "line"))
-    # Copies of a whole document have the same shared lines; each is aligned, in its own pair.
-    pairs = shared.where("doc <> first").groupBy("doc", "first").agg(F.sum("words").alias("words"))
-    sequences = materialize(shared.groupBy("doc").agg(
-        F.sort_array(F.collect_list(F.struct("at", "line", "words"))).alias("lines")
-    ))
+    out = set()
+    for k in range(len(at)):
+        for step in (1, -1):
+            end, n = k, words[k]
+            while n < min_words and 0 <= end + step < len(at) and at[end + step] == at[end] + step:
+                end += step
+                n += words[end]
+            if n >= min_words:
+                low, high, name = min(k, end), max(k, end), 0
+                for x in lines[low:high + 1]:
+                    name = (name * 0x9E3779B97F4A7C15 + x) % (1 << 64)
+                out.add((at[low], at[high], name - (1 << 63)))
+    return out
+
+
+def _run_table(sequences: DataFrame, min_words: int) -> DataFrame:
+    """(doc, begin, end, run) of the least runs of ``sequences`` (doc, lines)."""
+    kind = sequences.schema["doc"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, found = [], []
+            for k in range(batch.num_rows):
+                own = batch.column(1)[k].values
+                some = least_runs(*(own.field(f).to_pylist() for f in ("at", "line", "words")), min_words)
+                row.extend([k] * len(some))
+                found.extend(some)
+            begin, end, run = (pa.array([x[f] for x in found], t) for f, t in enumerate((pa.int32(), pa.int32(), pa.int64())))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), begin, end, run], ["doc", "begin", "end", "run"])
+
+    return sequences.mapInArrow(read, f"doc {kind}, begin int, end int, run bigint")
+
+
+def _align(pairs: DataFrame, sequences: DataFrame, min_words: int) -> DataFrame:
+    """(doc, gone): the numbers of the lines in common blocks of each pair (doc, other)."""
     side = lambda c, name: sequences.select(F.col("doc").alias(c), F.col("lines").alias(name))
-    # All matching lines together must reach a block's least size.
-    both = pairs.where(F.col("words") > 0).join(side("doc", "own"), "doc").join(side("first", "other"), "first")
-    kind = docs.schema["doc"].dataType.simpleString()
+    kind = sequences.schema["doc"].dataType.simpleString()
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,8 +147,61 @@ def aligned_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
                 [batch.column(0).take(pa.array(docs_out, pa.int64())), pa.array(gone, pa.list_(pa.int32()))], ["doc", "gone"]
             )
 
-    found = both.select("doc", "own", "other").mapInArrow(align, f"doc {kind}, gone array<int>")
-    return found.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone"))
+    both = pairs.join(side("doc", "own"), "doc").join(side("other", "theirs"), "other")
+    return both.select("doc", "own", "theirs").mapInArrow(align, f"doc {kind}, gone array<int>")
+
+
+def aligned_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc, gone): the numbers of the lines of ``docs`` (doc, text) that an earlier document holds.
+
+    The result is that of an alignment with every earlier document. A common block holds a least run
+    of lines with ``min_words`` words, so only holders of a common run are aligned: first with the
+    first holder of each run, and then, for the runs that are not gone as a whole, with one, two, four
+    and so on of the other holders, until a run is gone or has no earlier holder left. Only lines that
+    occur in several documents are sent to the alignment, with their place.
+    """
+    spark = docs.sparkSession
+    lines = materialize(line_table(docs).groupBy("doc", "at").agg(F.min("line").alias("line"), F.max("words").alias("words")))
+    holders = lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("line")
+    sequences = materialize(lines.join(holders, "line").groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.struct("at", "line", "words"))).alias("lines")
+    ))
+    discard(lines)
+    release(spark)
+    runs = materialize(_run_table(sequences, min_words))
+    several = runs.groupBy("run").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("run", "first")
+    left = materialize(runs.join(several, "run").where("doc > first"))
+    release(spark)
+
+    def merged(found: DataFrame) -> DataFrame:
+        return materialize(found.groupBy("doc").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")))
+
+    def unexplained(left: DataFrame, gone: DataFrame) -> DataFrame:
+        missing = F.array_except(F.sequence("begin", "end"), F.coalesce("gone", F.array().cast("array<int>")))
+        return materialize(left.join(gone, "doc", "left").where(F.size(missing) > 0).drop("gone"))
+
+    tried = materialize(left.select("doc", F.col("first").alias("other")).distinct())
+    gone = merged(_align(tried, sequences, min_words))
+    release(spark)
+    left, old = unexplained(left, gone), left
+    discard(old)
+    several = left.groupBy("run").agg(F.max("doc").alias("latest"), F.first("first").alias("first"))
+    held = materialize(runs.select("run", "doc").distinct().join(several, "run").where("doc > first AND doc < latest").select("run", "doc"))
+    discard(runs)
+    width = 1
+    while not held.isEmpty():
+        drawn = held.groupBy("run", F.pmod(F.xxhash64("doc"), F.lit(width))).agg(F.min("doc").alias("other")).select("run", "other")
+        drawn = materialize(drawn)
+        pairs = left.select("doc", "run").join(drawn, "run").where("other < doc").select("doc", "other").distinct()
+        pairs = materialize(pairs.join(tried, ["doc", "other"], "left_anti"))
+        tried, gone = materialize(tried.unionByName(pairs)), merged(gone.unionByName(_align(pairs, sequences, min_words)))
+        left = unexplained(left, gone)
+        latest = left.groupBy("run").agg(F.max("doc").alias("latest"))
+        rest = held.join(drawn.withColumnRenamed("other", "doc"), ["run", "doc"], "left_anti")
+        held = materialize(rest.join(latest, "run").where("doc < latest").select("run", "doc"))
+        width *= 2
+        release(spark)
+    return gone
 
 
 def dedupe_lines(
@@ -136,7 +211,7 @@ def dedupe_lines(
 
     Documents are ordered by ``doc_id``. Two that share lines are aligned by patience diff, and a
     common block, lines that follow each other in both, of ``min_words`` words or more is deleted
-    from the later one; the first holder of a line keeps it. All columns stay and the struct ``into``
+    from the later one, whichever earlier document holds it; the first holder of a block keeps it. All columns stay and the struct ``into``
     is added: ``n_lines``, the lines of the input text, and ``removed``, the numbers of the deleted ones.
 
     NULL text stays NULL with no line; lines without a word are never matched. Rows with a NULL id
