@@ -1,7 +1,7 @@
-"""Repeated byte strings by distributed prefix doubling over synchronizing positions.
+"""Repeated byte strings by fingerprints at synchronizing positions, in place of prefix doubling.
 
-Doubling over every byte position would write sixteen bytes a round for each byte of text. The rounds
-here run over positions that the text itself selects: of any 128 consecutive positions at least one is
+Doubling over every byte position would write sixteen bytes a round for each byte of text. Strings
+are hashed here at positions that the text itself selects: of any 128 consecutive positions at least one is
 selected, equal strings select equal places, and about one position in 60 is selected in prose. Every
 400-byte string therefore has a first selected position, and equal strings have it at the same place.
 """
@@ -107,9 +107,8 @@ def repeated_windows(named: DataFrame, threshold: int, reach: int) -> DataFrame:
     rows = materialize(named.where(F.octet_length("data") >= threshold).select("id", "data").mapInArrow(
         rank, "id bigint, at bigint, left int, rank bigint, whole bigint"
     ))
-    # Each round pairs a position's rank with the rank at a growing offset, counts equal pairs and goes
-    # on with those that are not unique: 256 bytes, then twice as many and past the threshold with
-    # the bytes before, then single windows.
+    # Each step counts equal hashes and goes on with the positions that are not unique: the hash of 256
+    # bytes, then that of the bytes before and up to the threshold, then those of single windows.
     again = rows.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("id"))
     rows, done = materialize(only(rows, "rank", again)), rows
     discard(done)
