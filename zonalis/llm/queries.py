@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.llm import decontaminate, langid, lines, minhash, oracles, packing, paragraphs, pii, quality, secrets, suffixes
+from zonalis.llm import (
+    decontaminate, langid, lines, minhash, oracles, packing, paragraphs, periods, pieces, pii, quality, secrets, suffixes, variants,
+)
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +101,40 @@ def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 def op1_surrogate_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     return pii.replace_entities(docs, key="corpus-surrogates").select("doc_id", "n_entities", "text")
+
+
+@query("op11_internal_pattern_runs")
+def op11_internal_pattern_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words, in texts of which every tenth is given a periodic tail."""
+    found = periods.find_runs(periods.repeat_words(documents(spark, sf_dir)))
+    line = lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string"))
+    return found.withColumn("best", periods.best_run(F.col("runs"))).select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def merge_pieces() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op12_agenda_sentencepiece")
+def op12_agenda_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every document, and whether the library gives the same."""
+    encoded = pieces.encode_pieces(documents(spark, sf_dir), merge_pieces())
+    return encoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"), "agrees",
+    )
+
+
+@query("op13_composed_spelling_variants")
+def op13_composed_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that are one edit from a word at least five times as frequent, in texts with a few misspelled words."""
+    words = variants.count_words(documents(spark, sf_dir), misspell=199)
+    return variants.spelling_variants(words.where("n >= 5"))
