@@ -268,3 +268,12 @@ def test_pipeline_stages(spark, docs, none, benchmark, tmp_path):
             rows = out.cache()
             rows.count()
         assert (rows.count() > 0) == (start is docs)
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    one, two, three = prose(60, 21), prose(60, 22), prose(60, 23)
+    rows = [(1, one, 0), (1, two, 0), (1, two, 1), (2, one, 0), (2, three, 0), (None, one, 0), (3, None, 0), (3, "", 0)]
+    left = minhash.without_near_duplicates(spark.createDataFrame(rows, "doc_id BIGINT, text STRING, _unit INT"))
+    assert left.columns == ["doc_id", "text", "_unit"]
+    got = [(r.doc_id, r.text) for r in left.collect()]
+    assert sorted(got, key=str) == sorted([(1, one), (1, two), (2, three), (None, one), (3, None), (3, "")], key=str)

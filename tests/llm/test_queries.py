@@ -106,42 +106,6 @@ def test_op4(spark, texts):
     assert sum(clean) >= 0.99 * len(clean)
 
 
-def test_op5(spark, texts):
-    from zonalis.llm.lines import MIN_WORDS, patience
-
-    lines = {i: [x for x in enumerate(t.split("\n")) if R.WORD.search(x[1])] for i, t in texts.items()}
-    first, last = {}, {}
-    for i in sorted(lines):
-        for _, line in lines[i]:
-            first.setdefault(line, i)
-            last[line] = i
-    shared = {i: [x for x in own if first[x[1]] != last[x[1]]] for i, own in lines.items()}
-    for r in result(spark, "op5_patience_line_dedup"):
-        own, gone = shared[r.doc_id], set()
-        for p in {first[line] for _, line in own} - {r.doc_id}:
-            run = []
-            for a, b in [*patience([x for _, x in own], [x for _, x in shared[p]]), (None, None)]:
-                after = run and a is not None and (own[a][0] - own[run[-1][0]][0], shared[p][b][0] - shared[p][run[-1][1]][0]) == (1, 1)
-                if run and not after:
-                    if sum(len(R.WORD.findall(own[x][1])) for x, _ in run) >= MIN_WORDS:
-                        gone |= {own[x][0] for x, _ in run}
-                    run = []
-                if a is not None:
-                    run.append((a, b))
-        kept = "\n".join(line for k, line in enumerate(texts[r.doc_id].split("\n")) if k not in gone)
-        assert (r.lines_removed, r.kept_sha256) == (",".join(map(str, sorted(gone))), hashlib.sha256(kept.encode()).hexdigest())
-
-
-def test_op6(spark, texts):
-    sets = {(i, n): R.shingle_set(words, 5) for i, t in texts.items() for n, words in R.paragraphs(t)}
-    groups = R.linked(sets, 80)
-    names = {u: groups.find(u) for u in sets}
-    many = {n for u, n in names.items() if u != n}
-    rows = result(spark, "op6_paragraph_minhash")
-    assert {((r.doc_id, r.paragraph), (r.cluster_doc, r.cluster_paragraph)) for r in rows} == {(u, n) for u, n in names.items() if n in many}
-    assert all(r.kept == ((r.doc_id, r.paragraph) == (r.cluster_doc, r.cluster_paragraph)) for r in rows)
-
-
 def test_op7(spark):
     langs = dict(duckdb.sql(f"SELECT doc_id, lang FROM '{SMALL}/documents.parquet'").fetchall())
     rows = result(spark, "op7_byte_cnn_language")

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.llm.worker import bound_batches
+
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 16
@@ -195,6 +197,7 @@ def language(text: Column, model: ByteCNN | None) -> Column:
 
 def identify(docs: DataFrame, model: ByteCNN | None, text: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with the struct column ``into``; every row and all other columns stay as they are."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(into, language(F.col(text).cast("string"), model))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from zonalis.functions.scratch import discard, materialize
 from zonalis.llm.names import fresh
 from zonalis.llm.neardup import release
+from zonalis.llm.worker import bound_batches
 
 #: Words that a deleted block has at least: shorter runs of equal lines are phrases, not copies.
 MIN_WORDS = 6
@@ -161,6 +162,7 @@ def aligned_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     occur in several documents are sent to the alignment, with their place.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     lines = materialize(line_table(docs).groupBy("doc", "at").agg(F.min("line").alias("line"), F.max("words").alias("words")))
     holders = lines.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first <> last").select("line")
     sequences = materialize(lines.join(holders, "line").groupBy("doc").agg(

@@ -14,6 +14,7 @@ from zonalis.functions.scratch import materialize
 from zonalis.llm import shingles as S
 from zonalis.llm.names import fresh
 from zonalis.llm.neardup import link, only, release
+from zonalis.llm.worker import bound_batches
 
 #: Values per band. Unrelated texts share a few hundredths of their short shingles, so a band of
 #: five is hit by one such pair in ten million.
@@ -95,6 +96,7 @@ def near_duplicates(
     largest set and the smallest component of its texts. A NULL id gets one row too, is never linked
     and is kept, its component NULL. Other columns are ignored; an empty table gives no row.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"))
     signed = materialize(signatures(rows, size, similarity))
     named = signed.where("id IS NOT NULL AND digest IS NOT NULL")
@@ -126,15 +128,18 @@ def without_near_duplicates(
 ) -> DataFrame:
     """The rows of ``docs`` that :func:`near_duplicates` keeps, with all their columns.
 
-    Of rows that share an id one stays. Rows with a NULL id stay.
+    Rows that share an id but not the text are judged each on its own, by the order of id and text
+    hash; of rows that share both one stays. Rows with a NULL id stay.
     """
-    judged = materialize(near_duplicates(docs, doc_id, text, size, similarity).select(
-        F.col(doc_id).alias(fresh(docs, "_gone")), "kept", F.col(doc_id).isNull().alias("unnamed")
+    key, words = fresh(docs, "_unit"), F.xxhash64(F.col(text).cast("string"))
+    texts = docs.where(F.col(doc_id).isNotNull()).groupBy(doc_id).agg((F.min(words) != F.max(words)).alias("mixed"))
+    unit = F.col(doc_id) if texts.where("mixed").isEmpty() else F.when(F.col(doc_id).isNotNull(), F.struct(F.col(doc_id), words))
+    rows = docs.withColumn(key, unit)
+    judged = materialize(near_duplicates(rows, key, text, size, similarity).select(
+        F.col(key).alias(fresh(rows, "_gone")), "kept", F.col(key).isNull().alias("unnamed")
     ))
     gone = judged.where("NOT kept").drop("kept", "unnamed")
-    key = gone.columns[0]
-    left = docs.join(gone.hint("merge"), F.col(doc_id) == F.col(key), "left_anti")
-    named = docs.where(F.col(doc_id).isNotNull()).select(doc_id).count()
-    if named > judged.where("NOT unnamed").count():
-        left = left.where(F.col(doc_id).isNull()).unionByName(left.where(F.col(doc_id).isNotNull()).dropDuplicates([doc_id]))
-    return left
+    left = rows.join(gone.hint("merge"), F.col(key) == F.col(gone.columns[0]), "left_anti")
+    if rows.where(F.col(key).isNotNull()).select(key).count() > judged.where("NOT unnamed").count():
+        left = left.where(F.col(key).isNull()).unionByName(left.where(F.col(key).isNotNull()).dropDuplicates([key]))
+    return left.select(*docs.columns)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from zonalis.functions.scratch import discard, materialize
 from zonalis.llm.components import components
 from zonalis.llm.shingles import unpack
+from zonalis.llm.worker import bound_batches
 
 #: Members of a bucket that meet in one task, on either side.
 BLOCK = 500
@@ -63,6 +64,7 @@ def link(bands: DataFrame, sets_of: Callable[[DataFrame], DataFrame], similarity
        different components of a bucket goes untested, whatever the bucket's size.
     """
     spark = bands.sparkSession
+    bound_batches(spark)
     # Most keys are unique: counts of bare keys tell which, before any id is sent.
     again = materialize(bands.groupBy("key").count().where("count > 1").select(F.col("key").alias("id")))
     release(spark)
