@@ -12,7 +12,7 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from zonalis.functions.scratch import materialize
+from zonalis.functions.scratch import discard, materialize
 from zonalis.llm import decontaminate, langid, lines, minhash, packing
 from zonalis.llm.names import fresh
 from zonalis.llm.queries import vocabulary
@@ -69,7 +69,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each stage's rows are written and read again by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        discard(before)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
