@@ -1,4 +1,4 @@
 """Queries over the given tables, each beside the SQL that must give the same rows."""
 
 from checks.registry import ORACLES, QUERIES
-from checks import acquisition, raster, zones  # noqa: F401
+from checks import acquisition, lattices, raster, zones  # noqa: F401

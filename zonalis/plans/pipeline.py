@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from zonalis.functions.blocks import BLOCK
 from zonalis.functions.scratch import materialize
-from zonalis.operators import algebra, derive, focal, grid as cell_grid, lcz, proximity, zonal
+from zonalis.operators import algebra, derive, focal, grid as cell_grid, lcz, proximity, regrid, zonal
 from zonalis.schemas import Georef, GridSpec, require_columns
 
 # Computed percentages add up to 100 only within rounding.
@@ -64,3 +64,11 @@ def lcz_grid(
     if external is not None:
         cells = lcz.attach_parameters(cells, external)
     return lcz.lcz_describe(lcz.lcz_classify(cells, SUM_TOLERANCE))
+
+
+def lcz_grid_from_layers(
+    layers: dict[str, tuple[DataFrame, Georef, str]], target: Georef, grid: GridSpec,
+    external: DataFrame | None = None, block: int = BLOCK,
+) -> DataFrame:
+    """The same from layers dsm, mask, class and albedo, each (pixels, lattice, regridding method)."""
+    return lcz_grid(regrid.align_regridded(layers, target), target, grid, external, block)
