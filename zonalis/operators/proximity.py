@@ -6,8 +6,10 @@ blocks so that no task ever holds a whole row or column of a large raster:
 
 1. what a block needs to know of its columns beyond its borders is one target row above and one
    below per column, found by a running last value over a table of one row per block column;
-2. what it needs to know of its rows is the few parabolas that other blocks of the same block row
-   still win with at its border, found by a pruned scan over the blocks' own survivors;
+2. what it needs to know of its rows is the lower envelope of the other blocks' parabolas where it
+   crosses the block. Envelopes merge: of two neighbouring stretches of columns the left one wins up
+   to a single place. They are combined in a tree over the block columns; a stretch hands up only
+   what wins beyond its own ends, and a block is sent only the intervals that meet it;
 3. with both, a block is finished on its own.
 """
 
@@ -24,13 +26,15 @@ from zonalis.schemas import Georef
 
 FAR = np.int64(1) << 30          # farther than any index
 NEVER = np.int64(1) << 60        # squared distance of "no target"
-PARABOLAS = "br BIGINT, bc BIGINT, row_idx BIGINT, toward INT, col_idx BIGINT, g2 BIGINT"
+# A parabola on its way up the tree (``up``, with the stretch that it left and the side) or for a block.
+PARABOLAS = "up BOOLEAN, br BIGINT, unit BIGINT, row_idx BIGINT, toward INT, col_idx BIGINT, g2 BIGINT"
 CARRIES = "block BIGINT, kind INT, row_idx BIGINT, col_idx BIGINT, a BIGINT, b BIGINT"
 DISTANCES = "row_idx BIGINT, col_idx BIGINT, distance DOUBLE"
 # What a block learns from outside. COLUMN: nearest target rows above (a) and below (b) in a column.
 # PARABOLA: a column of the row with squared column distance a.
 COLUMN, PARABOLA = 0, 1
-MERGE_ROWS = 32
+# Stretches that meet in one task, and rows of them at the lowest level of the tree.
+FAN, MERGE_ROWS = 64, 32
 
 
 def _numbers(table: pa.Table, name: str, default: int = 0) -> np.ndarray:
@@ -83,53 +87,79 @@ def _row_parabolas(block: int, n_bc: int):
             i, j = np.nonzero(_survivors(view, reach))
             parts.append((r0 + i, np.full(len(i), toward), cols[j], view[i, j]))
         row, toward, col, best = (np.concatenate(x) for x in zip(*parts))
-        n = len(row)
-        return pa.table({
-            "br": pa.array(np.full(n, br), pa.int64()), "bc": pa.array(np.full(n, bc), pa.int64()),
-            "row_idx": pa.array(row, pa.int64()), "toward": pa.array(toward, pa.int32()),
-            "col_idx": pa.array(col, pa.int64()), "g2": pa.array(best, pa.int64()),
-        })
+        return _parabola_table(np.ones(len(row), bool), np.full(len(row), br), np.full(len(row), bc), row, toward, col, best)
 
     return parabolas
 
 
-def _carry_rows(block: int, n_blocks: int):
-    def carry(table: pa.Table) -> pa.Table:
-        names = ("br", "row_idx", "bc", "toward", "col_idx", "g2")
-        rows = {n: _numbers(table, n) for n in names}
-        found = []
-        for toward in (1, -1):
-            mine = rows["toward"] == toward
-            br, row, bc, col, g2 = (rows[n][mine] for n in ("br", "row_idx", "bc", "col_idx", "g2"))
-            order = np.lexsort((-toward * col, row, toward * bc))
-            br, row, bc, col, g2 = (a[order] for a in (br, row, bc, col, g2))
-            held = [np.empty(0, np.int64)] * 4
-            steps = range(n_blocks) if toward > 0 else range(n_blocks - 1, -1, -1)
-            for b in steps:
-                border = b * block if toward > 0 else b * block + block - 1
-                hbr, hrow, hcol, hg2 = held
-                # Nearest column first within each row, then keep what is strictly below all nearer.
-                o = np.lexsort((-toward * hcol, hrow))
-                hbr, hrow, hcol, hg2 = hbr[o], hrow[o], hcol[o], hg2[o]
-                f = (border - hcol) ** 2 + hg2
-                keep = np.ones(len(f), bool)
-                if len(f):
-                    # A falling offset per row lets one running minimum serve all rows at once.
-                    _, rank = np.unique(hrow, return_inverse=True)
-                    low = f - rank * (f.max() + 1)
-                    keep[1:] = low[1:] < np.minimum.accumulate(low)[:-1]
-                held = [hbr[keep], hrow[keep], hcol[keep], hg2[keep]]
-                found.append((held[0], np.full(len(held[0]), b), held[1], held[2], held[3]))
-                add = bc == b
-                held = [np.concatenate(p) for p in zip(held, (br[add], row[add], col[add], g2[add]))]
-        br, bc, row, col, g2 = (np.concatenate(x) for x in zip(*found))
-        return pa.table({
-            "block": pa.array(br * n_blocks + bc, pa.int64()), "kind": pa.array(np.full(len(br), PARABOLA), pa.int32()),
-            "row_idx": pa.array(row, pa.int64()), "col_idx": pa.array(col, pa.int64()),
-            "a": pa.array(g2, pa.int64()), "b": pa.nulls(len(br), pa.int64()),
-        })
+def _parabola_table(up, br, unit, row, toward, col, g2) -> pa.Table:
+    long = lambda x: pa.array(np.asarray(x, np.int64))
+    return pa.table({
+        "up": pa.array(np.asarray(up, bool)), "br": long(br), "unit": long(unit), "row_idx": long(row),
+        "toward": pa.array(np.asarray(toward, np.int32)), "col_idx": long(col), "g2": long(g2),
+    })
+
+
+def envelope(sites: list[tuple[int, int]], low: int, high: int) -> list[tuple[int, int, int, int]]:
+    """(column, offset, first, last) of the parabolas (column, offset), by growing column, that win on low..high.
+
+    Each place has one winner, the smaller column on a tie, so the intervals part low..high.
+    """
+    won: list[list[int]] = []
+    for c, g in sites:
+        first = low
+        while won:
+            top = won[-1]
+            # The last place at which the parabola of the smaller column is not above the other.
+            last = (c * c - top[0] * top[0] + g - top[1]) // (2 * (c - top[0]))
+            if last >= top[2]:
+                first = last + 1
+                break
+            won.pop()
+        if first <= high:
+            won.append([c, g, first])
+    ends = [w[2] - 1 for w in won[1:]] + [high]
+    return [(c, g, first, last) for (c, g, first), last in zip(won, ends)]
+
+
+def _merge_units(block: int, n_blocks: int, fan: int, level: int):
+    """Combine the ``fan`` stretches of one parent for some rows: send each what its siblings win in it."""
+    width = block * fan ** level
+    end = n_blocks * block - 1
+
+    def merge(table: pa.Table) -> pa.Table:
+        up = table["up"].combine_chunks().to_numpy(zero_copy_only=False)
+        done, rising = table.filter(pa.array(~up)), table.filter(pa.array(up))
+        br, unit, row, toward, col, g2 = (_numbers(rising, n) for n in ("br", "unit", "row_idx", "toward", "col_idx", "g2"))
+        order = np.lexsort((toward * col, toward * unit, toward, row))
+        out: list[tuple[bool, int, int, int, int, int, int]] = []
+        lines: dict[tuple[int, int, int], dict[int, list[tuple[int, int]]]] = {}
+        for k in order.tolist():
+            lines.setdefault((int(br[k]), int(row[k]), int(toward[k])), {}).setdefault(int(unit[k]), []).append(
+                (int(toward[k] * col[k]), int(g2[k])))
+        for (b, r, way), units in lines.items():
+            parent = next(iter(units)) // fan
+            last_unit = (n_blocks - 1) // fan ** level
+            children = range(parent * fan, min(parent * fan + fan - 1, last_unit) + 1)
+            # Leftward the axis is mirrored, so that parabolas always come from smaller places.
+            limit = end if way > 0 else 0
+            held: list[tuple[int, int]] = []
+            for u in children if way > 0 else reversed(children):
+                begin, stop = u * width, min(u * width + width - 1, end)
+                if way < 0:
+                    begin, stop = -stop, -begin
+                if held:
+                    for c, g, first, last in envelope(held, begin, stop):
+                        here = range(first // block, last // block + 1) if way > 0 else range(-last // block, -first // block + 1)
+                        out.extend((False, b, bc, r, way, way * c, g) for bc in here)
+                own = units.get(u)
+                if own or held:
+                    held = [x[:2] for x in envelope(held + (own or []), stop + 1, limit)]
+            out.extend((True, b, parent, r, way, way * c, g) for c, g in held)
+        found = _parabola_table(*(zip(*out) if out else [()] * 7))
+        return pa.concat_tables([done.select(found.column_names).cast(found.schema), found])
 
-    return carry
+    return merge
 
 
 def _finish(block: int, n_bc: int):
@@ -142,8 +172,13 @@ def _finish(block: int, n_bc: int):
         across = c0 + np.arange(block)
         p = _numbers(known, "kind") == PARABOLA
         row, col, offset = (_numbers(known, n)[p] for n in ("row_idx", "col_idx", "a"))
-        for r, c, g in zip(row - r0, col, offset):
-            np.minimum(best[r], (across - c) ** 2 + g, out=best[r])
+        # The first parabola of every row at once, then the second, and so on.
+        order = np.argsort(row, kind="stable")
+        row, col, offset = row[order] - r0, col[order], offset[order]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)
+        for k in range(int(turn.max(initial=-1)) + 1):
+            r, c, g = (x[turn == k] for x in (row, col, offset))
+            best[r] = np.minimum(best[r], (across - c[:, None]) ** 2 + g[:, None])
         # Within the block, try columns at growing offsets until none can be nearer.
         for d in range(1, block):
             if d * d >= best.max():
@@ -161,7 +196,7 @@ def _finish(block: int, n_bc: int):
 
 def proximity(
     pixels: DataFrame, geo: Georef, column: str = "mask", target: int = 1,
-    units: str = "pixel", block: int = BLOCK,
+    units: str = "pixel", block: int = BLOCK, fan: int = FAN,
 ) -> DataFrame:
     """Distance (row_idx, col_idx, distance) between pixel centres; 0 on targets, NULL without any.
 
@@ -185,8 +220,16 @@ def proximity(
         targets = placed.where("hit").select("block", "spot")
         parabolas = targets.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
             _row_parabolas(block, n_bc), PARABOLAS)
-        band = F.expr(f"row_idx div {max(1, min(MERGE_ROWS, 4096 // n_bc))}").alias("band")
-        known = known.unionByName(parabolas.groupBy(band).applyInArrow(_carry_rows(block, n_bc), CARRIES))
+        level, n_units = 0, n_bc
+        while n_units > 1:
+            band = F.expr(f"row_idx div {max(1, MERGE_ROWS // fan ** level)}").alias("band")
+            # What is for a block already is dealt along with the rows of its own block column.
+            parent = F.expr(f"if(up, unit, unit div {fan ** level}) div {fan}").alias("parent")
+            parabolas = parabolas.groupBy(band, parent).applyInArrow(_merge_units(block, n_bc, fan, level), PARABOLAS)
+            level, n_units = level + 1, -(-n_units // fan)
+        known = known.unionByName(parabolas.where("NOT up").select(
+            F.expr(f"br * {n_bc} + unit").alias("block"), F.lit(PARABOLA).alias("kind"), "row_idx", "col_idx",
+            F.col("g2").alias("a"), F.lit(None).cast("bigint").alias("b")))
     out = placed.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(_finish(block, n_bc), DISTANCES)
     return out if units == "pixel" else out.withColumn("distance", F.col("distance") * geo.px_x)
 
