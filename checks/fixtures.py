@@ -32,6 +32,16 @@ FROM (SELECT k, row_idx, col_idx,
 # The same raster with pixels missing here and there.
 PX_HOLES = f"SELECT * FROM ({PX}) h WHERE (row_idx * 31 + col_idx) % 53 <> 0"
 
+# A raster of few rows and many columns, with buildings at both ends only.
+WIDE = 1500
+PX_WIDE = f"""
+SELECT row_idx, col_idx,
+       CASE WHEN (CAST(FLOOR(row_idx / 6) AS BIGINT) + CAST(FLOOR(col_idx / 8) AS BIGINT)) % 4 = 0
+             AND st <> 'P' AND (col_idx < 150 OR col_idx >= 1400) THEN 1 ELSE 0 END AS mask
+FROM (SELECT o_orderstatus AS st, CAST(FLOOR(o_orderkey / {WIDE}) AS BIGINT) AS row_idx, o_orderkey % {WIDE} AS col_idx
+      FROM {{orders}}) a
+"""
+
 # The raster as a tile table holds it: elevation in 32 bits.
 PX_STORED = f"""SELECT row_idx, col_idx, mask, class, CAST(CAST(dsm AS FLOAT) AS DOUBLE) AS dsm, albedo FROM ({PX}) s"""
 

@@ -2,9 +2,11 @@
 
 from dataclasses import replace
 
-from checks.fixtures import PX, WIDTH, raster, sql
+from checks.fixtures import PX, PX_WIDE, WIDTH, raster, sql
+from checks.raster import DIST_SQL
 from checks.registry import query, r6, rounded
 from zonalis.operators import regrid
+from zonalis.operators.proximity import proximity
 
 PX_CTE = f"px AS MATERIALIZED ({sql(PX)})"
 
@@ -94,3 +96,17 @@ def regrid_finer(spark, sf):
     px, geo = raster(spark, sf)
     finer = replace(geo, px_x=0.25, px_y=0.25, n_rows=2 * geo.n_rows, n_cols=2 * geo.n_cols)
     return rounded(regrid.regrid(px.select("row_idx", "col_idx", "dsm"), geo, finer, "dsm", "mean"))
+
+
+@query("proximity_wide", f"WITH px AS MATERIALIZED ({sql(PX_WIDE)}), {DIST_SQL}")
+def proximity_wide(spark, sf):
+    """47 block columns in a tree of three levels, most of them without a building."""
+    px, geo = raster(spark, sf, PX_WIDE)
+    return rounded(proximity(px, geo, block=32, fan=4))
+
+
+@query("proximity_blocks", f"WITH {PX_CTE}, {DIST_SQL}")
+def proximity_blocks(spark, sf):
+    """13 block columns, and as many block rows as the raster gives."""
+    px, geo = raster(spark, sf)
+    return rounded(proximity(px, geo, block=8, fan=3))

@@ -440,7 +440,7 @@ DIST_CELLS = f"d AS (SELECT {CELL_ID} AS cell_id, distance FROM dist)"
 def _distance_cells(spark, sf):
     px, geo = raster(spark, sf)
     spec = grid_over(geo)
-    return grid.assign_cells(proximity(px, geo), geo, spec), spec.max_pixels_per_cell(geo), spec.n_rows * spec.n_cols
+    return grid.assign_cells(proximity(px, geo), geo, spec), spec.max_pixels_per_cell(geo)
 
 
 @query("median_dist", f"""WITH {PX_CTE}, {DIST_CTE}, {DIST_CELLS}
@@ -449,6 +449,14 @@ def median_dist(spark, sf):
     return rounded(zonal.median_dist(*_distance_cells(spark, sf)))
 
 
+@query("median_dist_large", f"""WITH {PX_CTE}, {DIST_CTE}, {DIST_CELLS}
+    SELECT cell_id, round(median(CASE WHEN distance <> 0 THEN distance END), 6) AS median_dist FROM d GROUP BY cell_id""")
+def median_dist_large(spark, sf):
+    """The plan for zones without a small bound on their pixels."""
+    pixels, _ = _distance_cells(spark, sf)
+    return rounded(zonal.median_dist(pixels, zonal.BUFFER_PIXELS + 1))
+
+
 @query("median_dist_floor", f"""WITH {PX_CTE}, {DIST_CTE}, {DIST_CELLS}
     SELECT cell_id, round(coalesce(median(CASE WHEN distance <> 0 THEN distance END), 0.001), 6) AS median_dist FROM d GROUP BY cell_id""")
 def median_dist_floor(spark, sf):
@@ -459,7 +467,7 @@ PRODUCT = "CAST(CAST(dsm * mask AS FLOAT) AS DOUBLE)"
 
 
 def _bounds(geo, spec):
-    return spec.max_pixels_per_cell(geo), spec.n_rows * spec.n_cols
+    return (spec.max_pixels_per_cell(geo),)
 
 
 @query("masked_height_median", f"""WITH {PX_CTE}, {BUILT_CTE}
@@ -488,7 +496,7 @@ def zonal_median(spark, sf):
 def zonal_median_large(spark, sf):
     """The plan for zones without a small bound on their pixels."""
     pixels, _, spec = _cellpx(spark, sf)
-    return rounded(zonal.zonal_median(pixels, F.col("dsm"), "dsm_median", zonal.BUFFER_PIXELS + 1, spec.n_rows * spec.n_cols))
+    return rounded(zonal.zonal_median(pixels, F.col("dsm"), "dsm_median", zonal.BUFFER_PIXELS + 1))
 
 
 MODE_SQL = f"""WITH {PX_CTE}, {BUILT_CTE}, n AS (SELECT cell_id, albedo, count(*) AS c FROM cellpx WHERE albedo IS NOT NULL GROUP BY ALL),
@@ -537,14 +545,24 @@ def mean_build_height(spark, sf):
     return rounded(zonal.mean_build_height(pixels, *_bounds(geo, spec)), 9)
 
 
-@query("cell_profile", f"""WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(perc_impervious, 9) AS perc_impervious,
+PROFILE_SQL = f"""WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(perc_impervious, 9) AS perc_impervious,
     round(perc_pervious, 9) AS perc_pervious, round(perc_buildings, 9) AS perc_buildings, round(dtm_median, 9) AS dtm_median,
-    round(dsm_median, 9) AS dsm_median, albedo_majority, round(mean_build_height, 9) AS mean_build_height FROM profile""")
+    round(dsm_median, 9) AS dsm_median, albedo_majority, round(mean_build_height, 9) AS mean_build_height FROM profile"""
+
+
+@query("cell_profile", PROFILE_SQL)
 def cell_profile(spark, sf):
     pixels, geo, spec = _ground_cells(spark, sf)
     return rounded(zonal.cell_profile(pixels, *_bounds(geo, spec)), 9)
 
 
+@query("cell_profile_large", PROFILE_SQL)
+def cell_profile_large(spark, sf):
+    """The plan for zones without a small bound on their pixels."""
+    pixels, _, _ = _ground_cells(spark, sf)
+    return rounded(zonal.cell_profile(pixels, zonal.BUFFER_PIXELS + 1), 9)
+
+
 @query("roughness_height", f"WITH {PX_CTE}, {PROFILE_CTE} SELECT cell_id, round(dsm_median - dtm_median, 6) + 0.0 AS Height_rou FROM profile")
 def roughness_height(spark, sf):
     pixels, geo, spec = _ground_cells(spark, sf)

@@ -168,14 +168,27 @@ par AS MATERIALIZED (SELECT p.cell_id, e.sky_view_factor, {RATIO} AS aspect_rati
     FROM profile p LEFT JOIN spacing USING (cell_id) LEFT JOIN ext e USING (cell_id))"""
 
 
-@query("lcz_grid", f"""WITH px AS MATERIALIZED ({sql(PX_STORED)}), {GRID_PAR_CTE}, {score_cte('1e-6')}
+GRID_SQL = f"""WITH px AS MATERIALIZED ({sql(PX_STORED)}), {GRID_PAR_CTE}, {score_cte('1e-6')}
     SELECT p.cell_id, {STATUS.format(tolerance='1e-6')} AS lcz_status, {AVAILABLE} AS available_params, r.lcz_class,
            round(r.score, 6) AS lcz_score, r.perfect_matches, coalesce(t.description, 'Class not found') AS description,
            round(p.aspect_ratio, 9) AS aspect_ratio, round(p.height_roughness, 6) + 0.0 AS height_roughness
-    FROM par p LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (cell_id) LEFT JOIN texts t ON t.lcz_class = r.lcz_class""")
-def lcz_grid(spark, sf):
+    FROM par p LEFT JOIN (SELECT * FROM ranked WHERE rn = 1) r USING (cell_id) LEFT JOIN texts t ON t.lcz_class = r.lcz_class"""
+
+
+def _zones(spark, sf, **how):
     px, geo = raster(spark, sf, PX_STORED)
-    out = pipeline.lcz_grid(px, geo, grid_over(geo), read(spark, sf, EXTERNAL))
+    out = pipeline.lcz_grid(px, geo, grid_over(geo), read(spark, sf, EXTERNAL), **how)
     return out.select(
         "cell_id", "lcz_status", "available_params", "lcz_class", r6("lcz_score").alias("lcz_score"), "perfect_matches",
         "description", r6("aspect_ratio", 9).alias("aspect_ratio"), r6("height_roughness").alias("height_roughness"))
+
+
+@query("lcz_grid", GRID_SQL)
+def lcz_grid(spark, sf):
+    return _zones(spark, sf)
+
+
+@query("lcz_grid_blocks", GRID_SQL)
+def lcz_grid_blocks(spark, sf):
+    """The same over seven block columns."""
+    return _zones(spark, sf, block=16)

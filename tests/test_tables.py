@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalis import schemas
-from zonalis.functions import scratch, skew, text
+from zonalis.functions import counted, scratch, skew, text
 from zonalis.functions.ranges import explode_range, lattice
 from zonalis.operators import algebra, derive, grid, zonal
 from zonalis.sources import acquisition, catalog, tiles
@@ -31,26 +31,54 @@ def test_mode_tie_takes_the_smallest(spark):
         assert got == {1: 2.0, 2: None}
 
 
-@pytest.mark.parametrize("n_keys", [3, skew.BROADCAST_KEYS + 1])
-def test_large_median_equals_plain(spark, n_keys):
-    # One hot key, ties around the middle, an empty key.
+@pytest.mark.parametrize("parts", [1, 3, 40])
+def test_large_median_equals_plain(spark, parts):
+    """One hot key over many range partitions, ties around the middle, an empty key, keys of one row."""
     df = spark.range(60_000).select(
-        F.when(F.col("id") % 10 < 8, 1).otherwise(2).cast("bigint").alias("cell_id"),
+        F.when(F.col("id") % 10 < 8, 1).otherwise(2 + F.col("id") % 500).cast("bigint").alias("cell_id"),
         F.when(F.col("id") % 3 == 0, 500.0).otherwise((F.col("id") * 7919 % 1000).cast("double")).alias("v"))
-    df = df.unionByName(spark.createDataFrame([(3, None)], "cell_id BIGINT, v DOUBLE"))
-    plain = {r.cell_id: r.m for r in zonal.zonal_median(df, F.col("v"), "m", 10, 3).collect()}
-    large = {r.cell_id: r.m for r in zonal.zonal_median(df, F.col("v"), "m", zonal.BUFFER_PIXELS + 1, n_keys).collect()}
-    assert plain == large and plain[3] is None
+    df = df.unionByName(spark.createDataFrame([(-3, None), (-4, -0.5), (-5, 1.0), (-5, 2.0)], "cell_id BIGINT, v DOUBLE"))
+    before = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        plain = {r.cell_id: r.m for r in zonal.zonal_median(df, F.col("v"), "m", 10).collect()}
+        large = {r.cell_id: r.m for r in zonal.zonal_median(df, F.col("v"), "m", zonal.BUFFER_PIXELS + 1).collect()}
+        table = counted.count_values(df, "cell_id", {"v": F.col("v")})
+        hot = table.where("cell_id = 1").select("part").distinct().count()
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    assert plain == large and plain[-3] is None and plain[-5] == 1.5
+    assert (hot > 1) == (parts > 1)
 
 
 def test_profile_plans_agree(spark):
     df = spark.range(4000).selectExpr(
         "id % 7 AS cell_id", "CAST(id % 3 AS DOUBLE) AS surface", "CAST(id * 31 % 101 AS DOUBLE) AS dsm",
         "IF(id % 5 = 0, NULL, CAST(id * 17 % 97 AS DOUBLE)) AS dtm", "CAST(id % 2 AS INT) AS mask", "CAST(id % 11 AS DOUBLE) AS albedo")
-    small, large = (sorted(zonal.cell_profile(df, n, 7).collect()) for n in (10, zonal.BUFFER_PIXELS + 1))
+    small, large = (sorted(zonal.cell_profile(df, n).collect()) for n in (10, zonal.BUFFER_PIXELS + 1))
     assert small == large
 
 
+def test_large_profile_reads_its_pixels_once(spark):
+    """Whatever is behind the pixels runs once, and no join is on a cell alone."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(3000).selectExpr(
+        "id % 7 AS cell_id", "CAST(id % 3 AS DOUBLE) AS surface", "CAST(id % 101 AS DOUBLE) AS dsm", "CAST(id % 97 AS DOUBLE) AS dtm",
+        "CAST(id % 2 AS INT) AS mask", "CAST(id % 11 AS DOUBLE) AS albedo")
+    out = zonal.cell_profile(df.mapInArrow(count, df.schema), zonal.BUFFER_PIXELS + 1)
+    assert len(out.collect()) == 7 and seen.value == 3000
+    joins = [line for line in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in line]
+    assert joins and all("part#" in line for line in joins)
+
+
 def test_lookup_hot_and_cold(spark):
     left = spark.range(400).selectExpr("id", "IF(id < 300, 1, id) AS k")
     right = spark.range(350).selectExpr("id AS k", "id * 2 AS v")

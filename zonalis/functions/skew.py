@@ -1,14 +1,13 @@
-"""Joins and exact quantiles that hold when one key owns a large share of the rows."""
+"""Joins that hold when one key owns a large share of the rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from zonalis.functions.scratch import materialize
 
 HOT_ROWS = 1_000_000
-BROADCAST_KEYS = 1_000_000
 
 
 def lookup(left: DataFrame, key: str, right: DataFrame, n_left: int, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -28,65 +27,3 @@ def lookup(left: DataFrame, key: str, right: DataFrame, n_left: int, hot_rows: i
     spread = mark(right).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
     values = [c for c in right.columns if c != key]
     return tagged.join(spread, [key, "_salt"], "left").select(*left.columns, *values)
-
-
-def split_median(df: DataFrame, key: str, value: Column, name: str, n_keys: int) -> DataFrame:
-    """Exact median per key for groups too large for one buffer; NULL values are skipped.
-
-    ``percentile_approx`` with accuracy A is off by at most n/A ranks, so two of its answers bracket
-    the middle ranks. A second pass counts what lies below the bracket and keeps only the distinct
-    values inside it, about 6/A of a key's rows. ``n_keys`` bounds the bracket table: it is broadcast
-    up to ``BROADCAST_KEYS`` and otherwise joined by key.
-    """
-    accuracy = 10_000
-    rows = df.select(key, value.cast("double").alias("_v")).where("_v IS NOT NULL")
-    margin = 3 / accuracy
-    brackets = (
-        rows.groupBy(key)
-        .agg(
-            F.count("_v").alias("_n"),
-            F.percentile_approx("_v", [0.5 - margin, 0.5 + margin], accuracy).alias("_b"),
-            F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        )
-        .select(
-            key, "_n",
-            F.when(F.col("_n") < accuracy, F.col("_min")).otherwise(F.col("_b")[0]).alias("_lo"),
-            F.when(F.col("_n") < accuracy, F.col("_max")).otherwise(F.col("_b")[1]).alias("_hi"),
-        )
-    )
-    # Counting per (key, value) spreads a hot key over the cluster; everything below the bracket
-    # shares one NULL value per key and combines before the shuffle.
-    counted = (
-        rows.join(F.broadcast(brackets) if n_keys <= BROADCAST_KEYS else brackets, key)
-        .where("_v <= _hi")
-        .groupBy(key, "_n", F.when(F.col("_v") >= F.col("_lo"), F.col("_v")).alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    ordered = (
-        counted.groupBy(key, "_n")
-        .agg(
-            F.coalesce(F.sum(F.when(F.col("_v").isNull(), F.col("_c"))), F.lit(0)).alias("_below"),
-            F.sort_array(F.collect_list(F.when(F.col("_v").isNotNull(), F.struct("_v", "_c")))).alias("_in"),
-        )
-    )
-
-    def at(rank: Column) -> Column:
-        step = lambda acc, x: F.struct(
-            (acc.seen + x["_c"]).alias("seen"),
-            F.when(acc.hit.isNull() & (acc.seen + x["_c"] >= rank), x["_v"]).otherwise(acc.hit).alias("hit"),
-        )
-        start = F.struct(F.col("_below").alias("seen"), F.lit(None).cast("double").alias("hit"))
-        return F.aggregate("_in", start, step, lambda acc: acc.hit)
-
-    low, high = F.expr("(_n + 1) div 2"), F.expr("_n div 2 + 1")
-    return ordered.select(key, ((at(low) + at(high)) / 2).alias(name))
-
-
-def split_mode(df: DataFrame, key: str, value: Column, name: str) -> DataFrame:
-    """Most frequent value per key, the smallest on a tie; counts combine before every shuffle."""
-    counted = (
-        df.select(key, value.cast("double").alias("_v")).where("_v IS NOT NULL")
-        .groupBy(key, "_v").agg(F.count(F.lit(1)).alias("_c"))
-    )
-    best = counted.groupBy(key).agg(F.max(F.struct("_c", (-F.col("_v")).alias("_neg"))).alias("_b"))
-    return best.select(key, (-F.col("_b._neg")).alias(name))

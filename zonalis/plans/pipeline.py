@@ -34,12 +34,12 @@ def cell_statistics(pixels: DataFrame, geo: Georef, grid: GridSpec, block: int =
     """
     require_columns(pixels, "row_idx", "col_idx", "dsm", "mask", "class", "albedo")
     pixels = materialize(pixels.select("row_idx", "col_idx", "dsm", "mask", "class", "albedo"))
-    limit, n_cells = grid.max_pixels_per_cell(geo), grid.n_rows * grid.n_cols
+    limit = grid.max_pixels_per_cell(geo)
     ready = pixels.select("row_idx", "col_idx", "dsm", "mask", "albedo", surface_code().alias("surface"))
     ground = focal.dtm(ready, geo.px_x, geo.px_y, masked="null", block=block)
-    profile = zonal.cell_profile(cell_grid.assign_cells(ground, geo, grid), limit, n_cells)
+    profile = zonal.cell_profile(cell_grid.assign_cells(ground, geo, grid), limit)
     distance = proximity.proximity(pixels, geo, units="map", block=block)
-    spacing = zonal.median_dist(cell_grid.assign_cells(distance, geo, grid), limit, n_cells)
+    spacing = zonal.median_dist(cell_grid.assign_cells(distance, geo, grid), limit)
     cells = cell_grid.make_grid(pixels.sparkSession, grid).select("cell_id", "cell_row", "cell_col")
     stats = cell_grid.attach_stats(cell_grid.attach_stats(cells, profile), spacing)
     return derive.aspect_ratio(derive.roughness_height(stats))
