@@ -152,7 +152,8 @@ def test_agenda_on_random_texts(library):
     own, rng = pieces.MergeVocabulary(merge_pieces()), random.Random(4)
     letters = [*" ▁\n\tabcdeéABßü.,!?日本語😀́<s>0x0A\x00‍� ", "the ", "ing", "   "]
     texts = ["", " ", "a"] + ["".join(rng.choices(letters, k=rng.randint(1, 60))) for _ in range(3000)]
-    ids, bounds, decoded = own.encode(texts)
+    ids, bounds, decoded, same = own.encode(texts)
+    assert all(same)
     want = library.encode(texts)
     assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
     assert decoded == library.decode(want)
@@ -169,7 +170,7 @@ def test_store_starts_anew(library):
     own = pieces.MergeVocabulary(merge_pieces())
     own.encode(["some words"])
     own.held = pieces.REMEMBERED + 1
-    ids, bounds, decoded = own.encode(["other words", ""])
+    ids, bounds, decoded, _ = own.encode(["other words", ""])
     assert ids.tolist() == library.encode("other words") and bounds.tolist() == [0, len(ids), len(ids)]
     assert decoded == ["other words", ""] and "▁some" not in own.number
 
@@ -177,18 +178,32 @@ def test_store_starts_anew(library):
 def test_a_wrong_id_is_noticed():
     own = pieces.MergeVocabulary(merge_pieces())
     texts = ["one text", "another", "third"]
-    ids, bounds, decoded = own.encode(texts)
+    ids, bounds, decoded, _ = own.encode(texts)
     ids = ids.copy()
     ids[bounds[1]] += 1
     assert own.agrees(texts, ids, bounds, decoded) == [True, False, True]
     assert own.agrees(texts, ids[:-1], np.append(bounds[:-1], bounds[-1] - 1), decoded) == [True, False, False]
 
 
-def test_pieces_edges(spark, library):
+def test_a_wrong_part_is_noticed():
+    own = pieces.MergeVocabulary(merge_pieces())
+    own.parts["▁another"] = (5, 6)
+    assert own.encode(["one text", "and another one", "third"])[3] == [True, False, True]
+
+
+@tables
+def test_whole_texts_agree_with_the_library(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = pieces.encode_pieces(docs, merge_pieces(), whole=True).select("agrees").collect()
+    assert len(rows) == docs.count() and all(r.agrees for r in rows)
+
+
+@pytest.mark.parametrize("whole", [True, False])
+def test_pieces_edges(spark, library, whole):
     blob = "ab" * 50_000
     rows = [(1, None), (2, ""), (3, "x"), (3, "x"), (None, "y z"), (4, blob), (5, "word " * 30_000)]
     got = {}
-    for r in pieces.encode_pieces(table(spark, rows), merge_pieces()).collect():
+    for r in pieces.encode_pieces(table(spark, rows), merge_pieces(), whole=whole).collect():
         got.setdefault(r.doc_id, []).append((list(r.ids), r.decoded, r.agrees))
     assert got[1] == got[2] == [([], "", True)] and got[3] == [(library.encode("x"), "x", True)] * 2
     assert got[None] == [(library.encode("y z"), "y z", True)] and got[4] == [(library.encode(blob), blob, True)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -67,6 +68,7 @@ class MergeVocabulary:
         self.number: dict[str, int] = {}
         self.shown: list[str] = []
         self.parts: dict[str, tuple[int, ...]] = {}
+        self.differs: set[int] = set()
         self.flat, self.ends, self.held = np.zeros(0, np.int32), np.zeros(0, np.int64), 0
 
     def merged(self, part: str) -> list[str]:
@@ -130,27 +132,32 @@ class MergeVocabulary:
 
     def _learn(self, chunks: list[str]) -> None:
         new, sizes = [], []
-        for chunk in chunks:
+        first = len(self.number)
+        # The library puts a blank before each text; no piece reaches over the line feed behind it.
+        theirs = self.library.encode([f"\n{c}" for c in chunks], num_threads=1)
+        for k, (chunk, known) in enumerate(zip(chunks, theirs), first):
             ids = self._chunk(chunk)
+            if ids != known[2:]:
+                self.differs.add(k)
             new += ids
             sizes.append(len(ids))
             # No character is parted between chunks, so their texts follow one another like their ids.
             shown = [self.shows[i] for i in ids]
             self.shown.append(self.decode(ids, led=True) if None in shown else "".join(shown))
             self.held += len(chunk)
-        first = len(self.number)
         self.number.update(zip(chunks, range(first, first + len(chunks))))
         self.ends = np.append(self.ends, np.cumsum(sizes, dtype=np.int64) + len(self.flat))
         self.flat = np.append(self.flat, np.array(new, np.int32))
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """The ids of all texts one after another, where each text's begin, and the decoded texts."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str], list[bool]]:
+        """The ids of all texts one after another, where each text's begin, the decoded texts, and
+        whether the library gives the same ids for every chunk of each text."""
         if self.held > REMEMBERED:
             self.clear()
         split = [self.chunks(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
-        self._learn(list({c: None for chunks in split for c in chunks if c not in self.number}))
+        self._learn(list(set().union(*split) - self.number.keys()))
         every = [list(map(self.number.__getitem__, chunks)) for chunks in split]
-        at = np.array([k for numbers in every for k in numbers], np.int64)
+        at = np.fromiter(chain.from_iterable(every), np.int64, sum(map(len, every)))
         ends = self.ends[at]
         starts = np.where(at > 0, self.ends[at - 1], 0)
         sizes = ends - starts
@@ -158,7 +165,8 @@ class MergeVocabulary:
         ids = self.flat[np.repeat(starts - behind + sizes, sizes) + np.arange(sizes.sum())]
         bounds = np.concatenate([[0], behind])[np.cumsum([0, *map(len, split)])]
         # Every text begins with the blank that it was given, which decoding takes away again.
-        return ids, bounds, ["".join(map(self.shown.__getitem__, numbers))[1:] for numbers in every]
+        decoded = ["".join(map(self.shown.__getitem__, numbers))[1:] for numbers in every]
+        return ids, bounds, decoded, [self.differs.isdisjoint(numbers) for numbers in every]
 
     def decode(self, ids: list[int], led: bool = False) -> str:
         """The text of ids: pieces with their blanks, bytes as UTF-8, without the leading blank.
@@ -198,13 +206,13 @@ class MergeVocabulary:
         return "".join(out)
 
     def agrees(self, texts: list[str], ids: np.ndarray, bounds: np.ndarray, decoded: list[str]) -> list[bool]:
-        """Whether the library gives the same ids and the same text back, for each text."""
+        """Whether the library gives the same ids and the same text back, for each text as a whole."""
         theirs = self.library.encode(texts, num_threads=1)
         back = self.library.decode(theirs, num_threads=1)
         sizes = np.fromiter(map(len, theirs), np.int64, len(theirs))
         same = (sizes == np.diff(bounds)).tolist()
         if all(same):
-            flat = np.fromiter((i for t in theirs for i in t), np.int32, int(sizes.sum()))
+            flat = np.fromiter(chain.from_iterable(theirs), np.int32, int(sizes.sum()))
             wrong = np.concatenate([[0], np.cumsum(flat != ids)])[bounds]
             same = (wrong[1:] == wrong[:-1]).tolist()
         else:
@@ -212,12 +220,14 @@ class MergeVocabulary:
         return [s and x == y for s, x, y in zip(same, decoded, back)]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_pieces(
+    docs: DataFrame, model_path: str, doc_id: str = "doc_id", text: str = "text", whole: bool = False,
+) -> DataFrame:
     """(``doc_id``, ids, decoded, agrees) of every row: a text's ids, their text, and the library's verdict.
 
-    ``agrees`` tells whether the library, asked for the same whole text in the same Arrow batch, gives
-    the same ids and the same decoded text. There is no shuffle and no state beyond a bounded store of
-    encoded parts in each worker.
+    ``agrees`` tells whether the library gives the same ids: each chunk of a text is held against it in
+    the Arrow batch in which it is new. With ``whole``, every text is, and its decoded text too. There
+    is no shuffle and no state beyond a bounded store of encoded parts in each worker.
 
     NULL and empty text have no ids and decode to the empty text. Texts of any length are encoded
     whole, also without a blank. A NULL or repeated ``doc_id`` is carried as it is; other columns are
@@ -231,12 +241,14 @@ def encode_pieces(docs: DataFrame, model_path: str, doc_id: str = "doc_id", text
         for batch in batches:
             for at, part in slices(batch.column(1), SLICE):
                 texts = [t or "" for t in part.to_pylist()]
-                ids, bounds, decoded = vocabulary.encode(texts)
+                ids, bounds, decoded, same = vocabulary.encode(texts)
+                if whole:
+                    same = vocabulary.agrees(texts, ids, bounds, decoded)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(at, len(part)),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids)),
                     pa.array(decoded, pa.string()),
-                    pa.array(vocabulary.agrees(texts, ids, bounds, decoded), pa.bool_()),
+                    pa.array(same, pa.bool_()),
                 ], ["doc", "ids", "decoded", "agrees"])
 
     return docs.select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text")).mapInArrow(
