@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from checks.fixtures import AOI, CATALOG, RESPONSE, TILES, read, sql
 from checks.registry import query, r6, rounded
 from zonalis.schemas import Georef
-from zonalis.sources import acquisition, catalog, tiles
+from zonalis.sources import acquisition, catalog, overlaps, tiles
 
 ENDPOINT, KEY = "https://tiles.example/v1/layers:get", "KEY"
 
@@ -156,21 +156,43 @@ def tiles_to_pixels(spark, sf):
     return rounded(_pixels(spark, sf))
 
 
-@query("mosaic", f"WITH {PIXEL_CTE} SELECT layer, band, row_idx, col_idx, round(value, 6) AS value FROM won")
+MOSAIC_SQL = f"WITH {PIXEL_CTE} SELECT layer, band, row_idx, col_idx, round(value, 6) AS value FROM won"
+FILLED_SQL = f"""WITH {PIXEL_CTE}, top AS (SELECT max(row_idx) AS r FROM pixel)
+    SELECT 'dsm' AS layer, 1 AS band, f.row_idx, f.col_idx, round(coalesce(w.value, 0), 6) AS value
+    FROM (SELECT i AS row_idx, j AS col_idx FROM (SELECT unnest(range(r + 1)) AS i FROM top) a, range(70) b(j)) f
+    LEFT JOIN won w ON w.row_idx = f.row_idx AND w.col_idx = f.col_idx"""
+
+
+@query("mosaic", MOSAIC_SQL)
 def mosaic(spark, sf):
     return rounded(tiles.mosaic(_pixels(spark, sf)))
 
 
-@query("mosaic_filled", f"""WITH {PIXEL_CTE}, top AS (SELECT max(row_idx) AS r FROM pixel)
-    SELECT 'dsm' AS layer, 1 AS band, f.row_idx, f.col_idx, round(coalesce(w.value, 0), 6) AS value
-    FROM (SELECT i AS row_idx, j AS col_idx FROM (SELECT unnest(range(r + 1)) AS i FROM top) a, range(70) b(j)) f
-    LEFT JOIN won w ON w.row_idx = f.row_idx AND w.col_idx = f.col_idx""")
+@query("mosaic_filled", FILLED_SQL)
 def mosaic_filled(spark, sf):
     pixels = _pixels(spark, sf)
     n_rows = pixels.agg(F.max("row_idx")).first()[0] + 1
     return rounded(tiles.mosaic(pixels, Georef(0.0, 0.0, 1.0, 1.0, n_rows, 70), fill=0.0))
 
 
+@query("mosaic_tiles", MOSAIC_SQL)
+def mosaic_tiles(spark, sf):
+    return rounded(overlaps.mosaic_tiles(read(spark, sf, TILES)))
+
+
+@query("mosaic_tiles_blocks", MOSAIC_SQL)
+def mosaic_tiles_blocks(spark, sf):
+    """Overlaps swept in blocks that part the tiles."""
+    return rounded(overlaps.mosaic_tiles(read(spark, sf, TILES), block=5))
+
+
+@query("mosaic_tiles_filled", FILLED_SQL)
+def mosaic_tiles_filled(spark, sf):
+    table = read(spark, sf, TILES)
+    n_rows = table.agg(F.max(F.col("row0") + F.col("n_rows"))).first()[0]
+    return rounded(overlaps.mosaic_tiles(table, Georef(0.0, 0.0, 1.0, 1.0, n_rows, 70), fill=0.0, block=16))
+
+
 @query("pixels_to_tiles", f"""WITH {PIXEL_CTE}, sq AS (SELECT layer, band, CAST(floor(row_idx / 16) AS BIGINT) AS tr,
         CAST(floor(col_idx / 16) AS BIGINT) AS tc, (row_idx % 16) * 16 + col_idx % 16 AS pos, value FROM won),
     tiles AS (SELECT DISTINCT layer, band, tr, tc FROM sq),

@@ -1,12 +1,17 @@
 """Classification of cells and the whole pipeline."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from checks.fixtures import EXTERNAL, PARAM, PARAM_BAD, PX_STORED, grid_over, raster, read, sql
+from checks.fixtures import EXTERNAL, PARAM, PARAM_BAD, PX, PX_STORED, grid_over, raster, read, sql
 from checks.raster import PROFILE_CTE, RATIO, SPACING_CTE
 from checks.registry import query, r6, rounded
-from zonalis.operators import lcz
+from zonalis.functions.scratch import scratch_dir
+from zonalis.operators import algebra, lcz
 from zonalis.plans import pipeline
+from zonalis.schemas import TILES as TILE_TABLE
+from zonalis.sources import overlaps, tiles
 
 PAR_CTE = f"par AS MATERIALIZED ({sql(PARAM)})"
 BAD_CTE = f"par AS MATERIALIZED ({sql(PARAM_BAD)})"
@@ -177,7 +182,10 @@ GRID_SQL = f"""WITH px AS MATERIALIZED ({sql(PX_STORED)}), {GRID_PAR_CTE}, {scor
 
 def _zones(spark, sf, **how):
     px, geo = raster(spark, sf, PX_STORED)
-    out = pipeline.lcz_grid(px, geo, grid_over(geo), read(spark, sf, EXTERNAL), **how)
+    return _shown(pipeline.lcz_grid(px, geo, grid_over(geo), read(spark, sf, EXTERNAL), **how))
+
+
+def _shown(out):
     return out.select(
         "cell_id", "lcz_status", "available_params", "lcz_class", r6("lcz_score").alias("lcz_score"), "perfect_matches",
         "description", r6("aspect_ratio", 9).alias("aspect_ratio"), r6("height_roughness").alias("height_roughness"))
@@ -192,3 +200,21 @@ def lcz_grid(spark, sf):
 def lcz_grid_blocks(spark, sf):
     """The same over seven block columns."""
     return _zones(spark, sf, block=16)
+
+
+@query("tiles_to_zones", GRID_SQL)
+def tiles_to_zones(spark, sf):
+    """From a stored table of overlapping tiles, by mosaic and alignment, to classified cells."""
+    px, geo = raster(spark, sf, PX)
+    names = ("dsm", "mask", "class", "albedo")
+    long = px.selectExpr("row_idx", "col_idx", "1 AS band", f"stack({len(names)}, " + ", ".join(
+        f"'{n}', CAST({n} AS DOUBLE)" for n in names) + ") AS (layer, value)")
+    path = f"{scratch_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    stored = tiles.pixels_to_tiles(long, 16).withColumn("priority", F.lit(1))
+    # Older tiles of another size lie below them, with other values.
+    older = tiles.pixels_to_tiles(long.where("layer <> 'albedo'").withColumn("value", F.col("value") + 1), 24).withColumn("tile_id", -1 - F.col("tile_id"))
+    tiles.write_tiles(stored.unionByName(older).select(*spark.createDataFrame([], TILE_TABLE).columns), path)
+    pixels = overlaps.mosaic_tiles(tiles.read_tiles(spark, path, names), block=32)
+    aligned = algebra.align_layers(pixels, names, how="outer").where("dsm IS NOT NULL")
+    inside = aligned.where((F.col("row_idx") < geo.n_rows) & (F.col("col_idx") < geo.n_cols))
+    return _shown(pipeline.lcz_grid(inside, geo, grid_over(geo), read(spark, sf, EXTERNAL)))

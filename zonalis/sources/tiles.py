@@ -32,14 +32,17 @@ def write_grid(cells: DataFrame, path: str) -> None:
     cells.write.mode("errorifexists").parquet(path)
 
 
-def tiles_to_pixels(tiles: DataFrame) -> DataFrame:
-    """One row per pixel. Array positions run row by row from the tile's upper-left pixel."""
+def tiles_to_pixels(tiles: DataFrame, keep=()) -> DataFrame:
+    """One row per pixel. Array positions run row by row from the tile's upper-left pixel.
+
+    ``keep`` names further columns of the tile that every pixel carries.
+    """
     pixels = tiles.select("*", F.posexplode("data").alias("pos", "v"))
     return pixels.select(
         "tile_id", "priority", "layer", "band",
         (F.col("row0") + F.expr("pos div n_cols")).alias("row_idx"),
         (F.col("col0") + F.expr("pos % n_cols")).alias("col_idx"),
-        clean(F.col("v")).alias("value"),
+        clean(F.col("v")).alias("value"), *keep,
     )
 
 
