@@ -97,6 +97,16 @@ SELECT cell_id, sky_view_factor, aspect_ratio,
 FROM ({PARAM}) p
 """
 
+# Overlapping boxes, some of them partly or wholly off the raster.
+BOXES = """
+SELECT p_partkey AS box_id,
+       CAST(499995 AS DOUBLE) + (p_partkey * 7) % 55 AS x0,
+       CAST(4750004 AS DOUBLE) - (p_partkey * 11) % 83 AS y1,
+       CAST(499995 AS DOUBLE) + (p_partkey * 7) % 55 + CAST(0.4 AS DOUBLE) + p_size AS x1,
+       CAST(4750004 AS DOUBLE) - (p_partkey * 11) % 83 - CAST(0.3 AS DOUBLE) - (p_partkey * 3) % 29 AS y0
+FROM {part}
+"""
+
 # Parameters that no cell attribute gives, for part of the cells of the raster's grid.
 EXTERNAL = """
 SELECT p_partkey AS cell_id, CAST(p_partkey % 101 AS DOUBLE) / 100 AS sky_view_factor,

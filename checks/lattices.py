@@ -2,10 +2,10 @@
 
 from dataclasses import replace
 
-from checks.fixtures import PX, PX_WIDE, WIDTH, raster, sql
+from checks.fixtures import BOXES, PX, PX_WIDE, WIDTH, raster, read, sql
 from checks.raster import DIST_SQL
 from checks.registry import query, r6, rounded
-from zonalis.operators import regrid
+from zonalis.operators import regrid, windows
 from zonalis.operators.proximity import proximity
 
 PX_CTE = f"px AS MATERIALIZED ({sql(PX)})"
@@ -110,3 +110,15 @@ def proximity_blocks(spark, sf):
     """13 block columns, and as many block rows as the raster gives."""
     px, geo = raster(spark, sf)
     return rounded(proximity(px, geo, block=8, fan=3))
+
+
+@query("window_sums", f"""WITH {PX_CTE}, box AS ({sql(BOXES)})
+    SELECT box_id, count(albedo) AS n_pixels, round(coalesce(sum(albedo), 0), 6) AS total, round(avg(albedo), 6) AS mean
+    FROM box LEFT JOIN px ON 500000 + (col_idx + 0.5) * 0.5 >= x0 AND 500000 + (col_idx + 0.5) * 0.5 < x1
+      AND 4750000 - (row_idx + 0.5) * 0.5 <= y1 AND 4750000 - (row_idx + 0.5) * 0.5 > y0
+    GROUP BY box_id""")
+def window_sums(spark, sf):
+    """Albedo, which has gaps, in thousands of boxes."""
+    px, geo = raster(spark, sf)
+    boxes = read(spark, sf, BOXES).withColumnsRenamed({"x0": "left", "x1": "right", "y1": "top", "y0": "bottom"})
+    return rounded(windows.window_sums(windows.prefix_sums(px, geo, "albedo", block=16), boxes))
