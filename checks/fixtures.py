@@ -107,6 +107,14 @@ SELECT p_partkey AS box_id,
 FROM {part}
 """
 
+# Ranges by the thousand, which overlap and leave gaps.
+RANGES = """
+SELECT CAST(45 AS DOUBLE) + (o_orderkey * 37) % 5003 * CAST(0.004 AS DOUBLE) AS lo,
+       CAST(45 AS DOUBLE) + (o_orderkey * 37) % 5003 * CAST(0.004 AS DOUBLE) + (o_orderkey % 7) * CAST(0.0015 AS DOUBLE) AS hi,
+       CAST(o_orderkey % 911 AS DOUBLE) AS new_val
+FROM {orders}
+"""
+
 # Parameters that no cell attribute gives, for part of the cells of the raster's grid.
 EXTERNAL = """
 SELECT p_partkey AS cell_id, CAST(p_partkey % 101 AS DOUBLE) / 100 AS sky_view_factor,

@@ -2,10 +2,10 @@
 
 from dataclasses import replace
 
-from checks.fixtures import BOXES, PX, PX_WIDE, WIDTH, raster, read, sql
+from checks.fixtures import BOXES, PX, PX_WIDE, RANGES, WIDTH, raster, read, sql
 from checks.raster import DIST_SQL
 from checks.registry import query, r6, rounded
-from zonalis.operators import regrid, windows
+from zonalis.operators import algebra, regrid, windows
 from zonalis.operators.proximity import proximity
 
 PX_CTE = f"px AS MATERIALIZED ({sql(PX)})"
@@ -122,3 +122,14 @@ def window_sums(spark, sf):
     px, geo = raster(spark, sf)
     boxes = read(spark, sf, BOXES).withColumnsRenamed({"x0": "left", "x1": "right", "y1": "top", "y0": "bottom"})
     return rounded(windows.window_sums(windows.prefix_sums(px, geo, "albedo", block=16), boxes))
+
+
+@query("reclassify_by_large_table", f"""WITH {PX_CTE}, ranges AS MATERIALIZED ({sql(RANGES)}),
+    first AS (SELECT v, new_val FROM (SELECT v, new_val, row_number() OVER (PARTITION BY v ORDER BY lo, hi, new_val) AS rn
+        FROM (SELECT DISTINCT dsm AS v FROM px) d JOIN ranges ON v > lo AND v <= hi) r WHERE rn = 1)
+    SELECT row_idx, col_idx, round(coalesce(new_val, dsm), 6) AS value FROM px LEFT JOIN first ON dsm = v""")
+def reclassify_by_large_table(spark, sf):
+    """Elevation classes from as many ranges as there are orders."""
+    px, _ = raster(spark, sf)
+    out = algebra.reclassify_by_table(px, read(spark, sf, RANGES), "dsm", "value")
+    return out.select("row_idx", "col_idx", r6("value").alias("value"))

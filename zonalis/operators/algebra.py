@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from zonalis.functions.intervals import first_match_intervals, look_up
+from zonalis.functions.scratch import materialize
+from zonalis.functions.skew import lookup
 from zonalis.schemas import NODATA
 
 # Fixed values: (low, high, new) class ranges, the burned building code, the steepest ground slope
@@ -14,7 +17,7 @@ BUILDING_CODE = 2
 GROUND_SLOPE = 5.71
 ALBEDO_SCALE = 10000.0
 
-# Ranges that a table may hold.
+# Ranges that every pixel can look through; more are joined.
 MAX_RANGES = 1000
 
 
@@ -51,15 +54,19 @@ def reclassify(value: Column, ranges=SURFACE_RANGES) -> Column:
 
 
 def reclassify_by_table(pixels: DataFrame, ranges: DataFrame, value: str, name: str) -> DataFrame:
-    """The same with ranges from a table (lo, hi, new_val), gathered into one array of rows.
+    """The same with ranges from a table (lo, hi, new_val) of any size, tried by lo, hi and new_val.
 
-    The range table describes classes, not pixels, and is read once as a scalar; more than
-    ``MAX_RANGES`` rows are refused, because every pixel looks through them.
+    Up to ``MAX_RANGES`` rows are gathered into one array that every pixel looks through. Of more, the
+    disjoint intervals in which each range is the first match are found by a sweep, the distinct
+    values are looked up in them, and the pixels take the result by a join that spreads hot values.
     """
+    v = F.col(value).cast("double")
     if ranges.count() > MAX_RANGES:
-        raise ValueError(f"more than {MAX_RANGES} ranges")
+        keyed = pixels.withColumn("_v", F.when(v != NODATA, v))
+        new = materialize(look_up(keyed, "_v", first_match_intervals(ranges)).withColumnRenamed("new_val", "_new"))
+        out = lookup(keyed, "_v", new, keyed.count())
+        return out.withColumn(name, F.coalesce("_new", "_v")).drop("_v", "_new")
     table = ranges.agg(F.sort_array(F.collect_list(F.struct("lo", "hi", "new_val"))).alias("t")).scalar()
-    v = F.col(value).cast("double")
     hit = F.get(F.filter("_ranges", lambda r: (v > r.lo) & (v <= r.hi)), F.lit(0))
     new = F.when(v != NODATA, F.coalesce(hit["new_val"].cast("double"), v))
     return pixels.withColumn("_ranges", table).withColumn(name, new).drop("_ranges")
