@@ -113,15 +113,16 @@ def proximity_blocks(spark, sf):
 
 
 @query("window_sums", f"""WITH {PX_CTE}, box AS ({sql(BOXES)})
-    SELECT box_id, count(albedo) AS n_pixels, round(coalesce(sum(albedo), 0), 6) AS total, round(avg(albedo), 6) AS mean
+    SELECT box_id, count(albedo) AS albedo_n, round(coalesce(sum(albedo), 0), 9) AS albedo_total, round(avg(albedo), 9) AS albedo_mean,
+        count(dsm) AS dsm_n, round(coalesce(sum(dsm), 0), 9) AS dsm_total, round(avg(dsm), 9) AS dsm_mean
     FROM box LEFT JOIN px ON 500000 + (col_idx + 0.5) * 0.5 >= x0 AND 500000 + (col_idx + 0.5) * 0.5 < x1
       AND 4750000 - (row_idx + 0.5) * 0.5 <= y1 AND 4750000 - (row_idx + 0.5) * 0.5 > y0
     GROUP BY box_id""")
 def window_sums(spark, sf):
-    """Albedo, which has gaps, in thousands of boxes."""
+    """Albedo, which has gaps, and elevation in thousands of boxes."""
     px, geo = raster(spark, sf)
     boxes = read(spark, sf, BOXES).withColumnsRenamed({"x0": "left", "x1": "right", "y1": "top", "y0": "bottom"})
-    return rounded(windows.window_sums(windows.prefix_sums(px, geo, "albedo", block=16), boxes))
+    return rounded(windows.window_sums(windows.prefix_sums(px, geo, "albedo", "dsm", block=16), boxes), 9)
 
 
 @query("reclassify_by_large_table", f"""WITH {PX_CTE}, ranges AS MATERIALIZED ({sql(RANGES)}),

@@ -260,6 +260,49 @@ def component_wkt_pages(spark, sf):
     return _wkt(spark, sf, page=4)
 
 
+def _polygons_sql(page):
+    """Parts of each polygon's text, cut after as many unit edges of a ring."""
+    return f"""WITH RECURSIVE {PX_CTE}, {REGION_CTE}, {EDGE_CTE}, {RING_CTE},
+    spot AS (SELECT component_id, ring_id, seq, seq // {page} AS page,
+        regexp_replace(CAST(500000 + x * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') || ' '
+        || regexp_replace(CAST(4750000 - y * 0.5::DOUBLE AS VARCHAR), '\\.0$', '') AS t FROM corner),
+    piece AS (SELECT component_id, ring_id, page, string_agg(t, ', ' ORDER BY seq) AS text FROM spot GROUP BY ALL),
+    head AS (SELECT component_id, ring_id, min_by(t, seq) AS head FROM spot GROUP BY ALL),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY component_id ORDER BY ring_id, page) - 1 AS part,
+        row_number() OVER (PARTITION BY component_id ORDER BY ring_id DESC, page DESC) AS back,
+        row_number() OVER (PARTITION BY component_id, ring_id ORDER BY page) AS first,
+        row_number() OVER (PARTITION BY component_id, ring_id ORDER BY page DESC) AS last FROM piece JOIN head USING (component_id, ring_id))
+    SELECT component_id, part, CASE WHEN part = 0 THEN 'POLYGON (' ELSE ', ' END || CASE WHEN first = 1 THEN '(' ELSE '' END || text
+        || CASE WHEN last = 1 THEN ', ' || head || ')' ELSE '' END || CASE WHEN back = 1 THEN ')' ELSE '' END AS text FROM numbered"""
+
+
+def _polygons(spark, sf, **page):
+    px, geo = raster(spark, sf)
+    labelled = regions.components(_buildings(px), geo.n_cols)
+    return regions.component_polygons(regions.component_rings(regions.component_edges(labelled)), geo, **page)
+
+
+@query("component_polygons", _polygons_sql(10_000))
+def component_polygons(spark, sf):
+    return _polygons(spark, sf)
+
+
+@query("component_polygons_pages", _polygons_sql(4))
+def component_polygons_pages(spark, sf):
+    """The same polygons in parts of four unit edges of a ring."""
+    return _polygons(spark, sf, page=4)
+
+
+@query("component_areas", f"""WITH RECURSIVE {PX_CTE}, {REGION_CTE}, {EDGE_CTE},
+    size AS (SELECT component_id, count(*) AS area FROM region GROUP BY component_id),
+    around AS (SELECT component_id, count(*) AS perimeter FROM edge GROUP BY component_id)
+    SELECT component_id, area, perimeter FROM size JOIN around USING (component_id)""")
+def component_areas(spark, sf):
+    """Areas by the outline alone; they equal the numbers of pixels."""
+    px, geo = raster(spark, sf)
+    return regions.component_areas(regions.component_edges(regions.components(_buildings(px), geo.n_cols)))
+
+
 INSIDE_CTE = f"""
 poly AS ({sql(POLY)}), size AS (SELECT max(row_idx) + 1 AS n_rows FROM px),
 inside AS MATERIALIZED (
@@ -295,6 +338,12 @@ def zonal_polygons(spark, sf):
     return rounded(polygons.zonal_polygons(read(spark, sf, POLY), _surface(px), geo))
 
 
+@query("zonal_polygons_cover", _zonal_sql(INSIDE_CTE))
+def zonal_polygons_cover(spark, sf):
+    px, geo = raster(spark, sf)
+    return rounded(polygons.zonal_polygons_cover(read(spark, sf, POLY), polygons.class_counts(_surface(px), geo, block=16)))
+
+
 # A tenth of the size: most of these lie between pixel centres and have no pixel.
 TINY = f"""SELECT polygon_id, edge, x1 / 10 AS x1, y1 / 10 AS y1, x2 / 10 AS x2, y2 / 10 AS y2 FROM ({POLY}) big"""
 

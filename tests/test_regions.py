@@ -147,3 +147,17 @@ def test_rasterize_clips_and_takes_pixel_centres(spark):
     df = spark.createDataFrame(square, "polygon_id BIGINT, x1 DOUBLE, y1 DOUBLE, x2 DOUBLE, y2 DOUBLE")
     got = {(r.row_idx, r.col_idx, r.value) for r in rasterize_polygons(df, Georef(0, 0, 1, 1, 9, 9)).collect()}
     assert got == {(0, 0, 2)}
+
+
+def test_polygons_of_any_page_are_the_same(raster):
+    mask = raster(RING).where("value = 1")
+    geo = Georef(100.0, 50.0, 0.5, 0.5, 5, 5)
+    edges = regions.component_edges(regions.components(mask, 5))
+    rings = regions.component_rings(edges)
+    texts = []
+    for page in (1, 2, 3, 10_000):
+        parts = regions.component_polygons(rings, geo, page).orderBy("component_id", "part").collect()
+        assert [r.part for r in parts] == list(range(len(parts)))
+        texts.append("".join(r.text for r in parts))
+    assert set(texts) == {"POLYGON ((100.5 49.5, 102 49.5, 102 48, 100.5 48, 100.5 49.5), (101.5 49, 101 49, 101 48.5, 101.5 48.5, 101.5 49))"}
+    assert [tuple(r) for r in regions.component_areas(edges).collect()] == [(6, 8, 16)]

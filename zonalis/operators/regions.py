@@ -261,6 +261,40 @@ def component_rings(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame
         "component_id", "ring_id", "seq", "x", "y")
 
 
+def component_areas(edges: DataFrame) -> DataFrame:
+    """(component_id, area, perimeter) in pixels, from the unit edges in any order.
+
+    Edges run with the region on the right, so the shoelace sum adds the outer ring and takes the
+    holes away; its terms combine before the shuffle, whatever a region's share of the edges.
+    """
+    return edges.groupBy("component_id").agg(
+        F.expr("cast(sum(cast(x1 * y2 - x2 * y1 as decimal(38,0))) / 2 as bigint)").alias("area"), F.count("*").alias("perimeter"))
+
+
+def component_polygons(rings: DataFrame, geo: Georef, page: int = 10_000) -> DataFrame:
+    """Regions as polygon text in map coordinates, in parts: (component_id, part, text).
+
+    The texts of a region, joined in the order of ``part``, are one POLYGON with the outer ring first
+    and its holes behind it, every ring closed. A part holds the corners of ``page`` unit edges at most, so no row grows
+    with the region; a region of up to ``page`` edges and without a hole is one row.
+    """
+    point = F.concat_ws(" ", number_text(F.lit(geo.x_min) + F.col("x") * geo.px_x),
+                        number_text(F.lit(geo.y_max) - F.col("y") * geo.px_y))
+    pieces = rings.groupBy("component_id", "ring_id", F.expr(f"seq div {page}").alias("stretch")).agg(
+        F.sort_array(F.collect_list(F.struct("seq", point.alias("t"))))["t"].alias("points"))
+    # Reading order makes the first edge of a region part of its outer ring, which has the least id.
+    region = Window.partitionBy("component_id").orderBy("ring_id", "stretch")
+    of_ring = Window.partitionBy("component_id", "ring_id").orderBy("stretch")
+    placed = pieces.withColumns({
+        "part": (F.row_number().over(region) - 1).cast("bigint"), "ends": F.lead("ring_id").over(region).isNull(),
+        "closes": F.lead("stretch").over(of_ring).isNull(), "opens": F.lag("stretch").over(of_ring).isNull(),
+        "start": F.first(F.element_at("points", 1)).over(of_ring.rowsBetween(Window.unboundedPreceding, 0))})
+    text = F.concat(
+        F.when(F.col("part") == 0, "POLYGON (").otherwise(", "), F.when(F.col("opens"), "(").otherwise(""), F.array_join("points", ", "),
+        F.when(F.col("closes"), F.concat(F.lit(", "), "start", F.lit(")"))).otherwise(""), F.when(F.col("ends"), ")").otherwise(""))
+    return placed.select("component_id", "part", text.alias("text"))
+
+
 def component_wkt(rings: DataFrame, geo: Georef, page: int = 10_000) -> DataFrame:
     """Outlines as text in map coordinates: (component_id, ring_id, part, hole, wkt).
 
