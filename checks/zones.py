@@ -5,10 +5,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks.fixtures import EXTERNAL, PARAM, PARAM_BAD, PX, PX_STORED, grid_over, raster, read, sql
-from checks.raster import PROFILE_CTE, RATIO, SPACING_CTE
+from checks.raster import CELL_ID, PROFILE_CTE, PX_CTE, RATIO, SPACING_CTE
 from checks.registry import query, r6, rounded
 from zonalis.functions.scratch import scratch_dir
-from zonalis.operators import algebra, lcz
+from zonalis.operators import algebra, lcz, sky
 from zonalis.plans import pipeline
 from zonalis.schemas import TILES as TILE_TABLE
 from zonalis.sources import overlaps, tiles
@@ -218,3 +218,34 @@ def tiles_to_zones(spark, sf):
     aligned = algebra.align_layers(pixels, names, how="outer").where("dsm IS NOT NULL")
     inside = aligned.where((F.col("row_idx") < geo.n_rows) & (F.col("col_idx") < geo.n_cols))
     return _shown(pipeline.lcz_grid(inside, geo, grid_over(geo), read(spark, sf, EXTERNAL)))
+
+
+def _sight(same, step, length):
+    """Rise per metre from a pixel to every other one on a line through it, and the way to look."""
+    return f"""SELECT a.row_idx, a.col_idx, '{step}' || sign(b.{step} - a.{step}) || '{same}' AS way,
+        (b.dsm - a.dsm) / (abs(b.{step} - a.{step}) * 0.5::DOUBLE * {length}) AS rise
+        FROM px a JOIN px b ON {same.format(a='a', b='b')} AND b.{step} <> a.{step}"""
+
+
+SIGHT_CTE = "sight AS (" + " UNION ALL ".join((
+    _sight("b.row_idx = a.row_idx", "col_idx", "1"), _sight("b.col_idx = a.col_idx", "row_idx", "1"),
+    _sight("b.row_idx - b.col_idx = a.row_idx - a.col_idx", "row_idx", "sqrt(2)"),
+    _sight("b.row_idx + b.col_idx = a.row_idx + a.col_idx", "row_idx", "sqrt(2)"))) + """),
+steepest AS (SELECT row_idx, col_idx, way, greatest(max(rise), 0) AS rise FROM sight GROUP BY ALL),
+sky AS MATERIALIZED (SELECT row_idx, col_idx, (sum(1 / (1 + rise * rise)) + 8 - count(*)) / 8 AS sky_view FROM steepest GROUP BY ALL)"""
+
+
+@query("sky_view", f"WITH {PX_CTE}, {SIGHT_CTE} SELECT row_idx, col_idx, round(sky_view, 9) AS sky_view FROM sky")
+def sky_view(spark, sf):
+    """Seven block columns, so that most horizons lie in another block."""
+    px, geo = raster(spark, sf, PX)
+    return rounded(sky.sky_view(px, geo, block=16), 9)
+
+
+@query("lcz_grid_sky", GRID_SQL.replace(f"ext AS ({sql(EXTERNAL)})", f"""{SIGHT_CTE}, ext AS (
+    SELECT {CELL_ID} AS cell_id, avg(sky_view) AS sky_view_factor, CAST(NULL AS DOUBLE) AS terrain_roughness FROM sky GROUP BY 1)"""))
+def lcz_grid_sky(spark, sf):
+    """Cells classified with the sky view of their own surface model."""
+    px, geo = raster(spark, sf, PX_STORED)
+    spec = grid_over(geo)
+    return _shown(pipeline.lcz_grid(px, geo, spec, sky.sky_view_cells(px, geo, spec, block=64)))
