@@ -13,7 +13,7 @@ from zonalis.operators.proximity import proximity
 from zonalis.functions.scratch import scratch_dir
 from zonalis.plans import pipeline
 from zonalis.schemas import GridSpec, ensure_column, require_columns
-from zonalis.sources import tiles
+from zonalis.sources import stored, tiles
 
 PX_CTE = f"px AS MATERIALIZED ({sql(PX)})"
 HOLES_CTE = f"px AS MATERIALIZED ({sql(PX_HOLES)})"
@@ -122,12 +122,24 @@ def _long(px):
     return long.where("layer <> 'mask' OR value IS NOT NULL")
 
 
-@query("align_layers", f"""WITH {PX_CTE} SELECT row_idx, col_idx, round(dsm, 6) AS dsm,
-    CAST(class AS DOUBLE) AS class, CAST(mask AS DOUBLE) AS mask FROM px WHERE mask = 1""")
+ALIGNED_SQL = f"""WITH {PX_CTE} SELECT row_idx, col_idx, round(dsm, 6) AS dsm,
+    CAST(class AS DOUBLE) AS class, CAST(mask AS DOUBLE) AS mask FROM px WHERE mask = 1"""
+
+
+@query("align_layers", ALIGNED_SQL)
 def align_layers(spark, sf):
     return rounded(algebra.align_layers(_long(raster(spark, sf)[0]), ["dsm", "class", "mask"]))
 
 
+@query("aligned_stored", ALIGNED_SQL)
+def aligned_stored(spark, sf):
+    """Layers added one after another to a table stored by block, and aligned where they lie."""
+    long, name = _long(raster(spark, sf)[0]), f"layers_{uuid.uuid4().hex}"
+    for layer in ("dsm", "class", "mask"):
+        stored.store_blocks(long.where(F.col("layer") == layer), name, 4, block=32, path=f"{scratch_dir(spark)}/{name}")
+    return rounded(stored.align_stored(spark, name, ["dsm", "class", "mask"])).drop("br", "bc")
+
+
 @query("raster_expr", f"""WITH {PX_CTE} SELECT row_idx, col_idx,
     round(CASE WHEN class > 5 THEN dsm * 2 - albedo / 100 ELSE dsm END, 6) AS value FROM px""")
 def raster_expr(spark, sf):

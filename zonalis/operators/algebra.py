@@ -21,15 +21,16 @@ ALBEDO_SCALE = 10000.0
 MAX_RANGES = 1000
 
 
-def align_layers(pixels: DataFrame, layers, band: int = 1, how: str = "inner") -> DataFrame:
+def align_layers(pixels: DataFrame, layers, band: int = 1, how: str = "inner", by=("row_idx", "col_idx")) -> DataFrame:
     """One row per position with a column per layer, in a single shuffle for any number of layers.
 
-    ``how='inner'`` keeps positions at which every layer has a row; ``'outer'`` keeps all of them.
+    ``how='inner'`` keeps positions at which every layer has a row; ``'outer'`` keeps all of them. A
+    position is the columns ``by``.
     """
     named = list(layers)
     wide = (
         pixels.where(F.col("layer").isin(named) & (F.col("band") == band))
-        .groupBy("row_idx", "col_idx")
+        .groupBy(*by)
         .agg(
             *[F.max(F.when(F.col("layer") == name, F.col("value"))).alias(name) for name in named],
             *[F.max(F.when(F.col("layer") == name, True)).alias(f"_has_{name}") for name in named],
