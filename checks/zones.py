@@ -116,11 +116,19 @@ def lcz_scores_by_target(spark, sf):
     return rounded(lcz.lcz_scores(read(spark, sf, PARAM), denominator="target"))
 
 
-@query("lcz_all_results", f"""WITH {PAR_CTE}, {SCORE_CTE} SELECT f.cell_id, class_ord, lcz_class, available_params, eligible,
-    perfect_matches, round(score, 6) AS score, n_contributions FROM fold f JOIN okpar USING (cell_id)""")
+@query("lcz_all_results", f"""WITH {PAR_CTE}, {SCORE_CTE}, listed AS (
+    SELECT cell_id, class_ord, string_agg(param || '=' || CASE WHEN isinf(contribution) THEN 'inf'
+        ELSE CAST(CAST(round(contribution * 1000000) AS BIGINT) AS VARCHAR) END, ',' ORDER BY param) AS contributions
+    FROM contrib WHERE eligible GROUP BY ALL)
+    SELECT f.cell_id, class_ord, lcz_class, available_params, eligible, perfect_matches, round(score, 6) AS score, n_contributions,
+        coalesce(contributions, '') AS contributions
+    FROM fold f JOIN okpar USING (cell_id) LEFT JOIN listed USING (cell_id, class_ord)""")
 def lcz_all_results(spark, sf):
+    """Every class of every cell, with each parameter's contribution in millionths."""
     out = lcz.lcz_all_results(read(spark, sf, PARAM))
-    return rounded(out.withColumn("n_contributions", F.size("error_contributions")).drop("error_contributions"))
+    million = "IF(e.value = double('inf'), 'inf', string(bigint(round(e.value * 1000000))))"
+    text = F.expr(f"array_join(array_sort(transform(map_entries(error_contributions), e -> concat(e.key, '=', {million}))), ',')")
+    return rounded(out.withColumns({"n_contributions": F.size("error_contributions"), "contributions": text}).drop("error_contributions"))
 
 
 CLASSIFY_SQL = """SELECT p.cell_id, {status} AS lcz_status, {available} AS available_params, r.lcz_class,

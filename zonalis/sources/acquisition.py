@@ -108,15 +108,10 @@ def parse_tile_names(files: DataFrame, column: str = "file_name") -> DataFrame:
 
 def fetch_progress(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Files received, files expected, and the percentage shown to the user, per area."""
-    total = manifest.groupBy("aoi_id").agg(F.count("*").alias("total_files"))
-    done = (
-        manifest.join(present.select("file_name").distinct(), "file_name", "left_semi")
-        .groupBy("aoi_id").agg(F.count("*").alias("processed_files"))
-    )
-    joined = total.join(done, "aoi_id", "left").withColumn(
-        "processed_files", F.coalesce("processed_files", F.lit(0).cast("bigint")))
-    return joined.withColumn(
-        "progress_text", percent_text(F.col("processed_files"), F.col("total_files")))
+    seen = present.select("file_name").distinct().withColumn("_seen", F.lit(True))
+    counted = manifest.select("aoi_id", "file_name").join(seen, "file_name", "left").groupBy("aoi_id").agg(
+        F.count("_seen").alias("processed_files"), F.count("*").alias("total_files"))
+    return counted.withColumn("progress_text", percent_text(F.col("processed_files"), F.col("total_files")))
 
 
 def missing_tiles(manifest: DataFrame, present: DataFrame) -> DataFrame:

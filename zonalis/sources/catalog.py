@@ -43,10 +43,12 @@ def missing_layers(catalog: DataFrame, steps=tuple(REQUIRED_LAYERS)) -> DataFram
 
 
 def require_layers(catalog: DataFrame, step: str) -> DataFrame:
-    """Return ``catalog``, or raise naming a missing layer. Reads one row back."""
-    first = missing_layers(catalog, (step,)).orderBy("project_id", "name").first()
+    """Return ``catalog``, or raise naming all layers that its first incomplete project lacks. Reads one row back."""
+    lacks = missing_layers(catalog, (step,)).groupBy("project_id").agg(
+        F.sort_array(F.collect_list(F.concat_ws(" layer ", "type", "name"))).alias("names"))
+    first = lacks.orderBy("project_id").first()
     if first:
-        raise ValueError(f"project {first.project_id}: no {first.type} layer '{first['name']}'")
+        raise ValueError(f"project {first.project_id}: no {', no '.join(first.names)}")
     return catalog
 
 
