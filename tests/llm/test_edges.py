@@ -277,3 +277,28 @@ def test_rows_that_share_an_id_are_judged_each(spark):
     assert left.columns == ["doc_id", "text", "_unit"]
     got = [(r.doc_id, r.text) for r in left.collect()]
     assert sorted(got, key=str) == sorted([(1, one), (1, two), (2, three), (None, one), (3, None), (3, "")], key=str)
+
+
+def test_names_leave_no_trace(spark):
+    texts = ["Mrs Anna Kern came. Anna said hi to Kern. ANNA! Anna's dog, Annabel, Kern-Smith.", "Mr McDonald ate.", "Mr O'Brien and MR SMITH, Smith",
+             "Dr. Peter Weiss spoke; Weiss left", "Господин Иванов, Иванов", "Herr Jean-Luc Picard, Jean-Luc", "Frau Anna", "call Anna, he (Kern)", "Drum Prof it", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    got = {r.id: r.text for r in pii.replace_entities(df, "k").collect()}
+    one = got[0].split()
+    given, family = one[1], one[2]
+    assert got[0] == f"Mrs {given} {family} came. {given} said hi to {family}. {given.upper()}! {given}'s dog, Annabel, {family}-Smith."
+    for i, gone in ((1, "McDonald Donald"), (2, "O'Brien SMITH Smith Brien"), (3, "Peter Weiss"), (4, "Иванов"), (5, "Jean Luc Picard")):
+        assert not any(w in got[i] for w in gone.split())
+    assert got[2].split()[4].isupper() and got[2].split()[-1].upper() == got[2].split()[4].strip(",")
+    assert got[3].split()[0] == "Dr." and got[3].split()[2] == got[3].split()[4]
+    assert [got[i] for i in (7, 8, 9, 10)] == texts[7:]
+
+
+def test_account_numbers_stay_valid(spark):
+    texts = ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NL91 ABNA 0417 1643 00"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, text STRING")
+    for r in pii.replace_entities(df, "k").collect():
+        plain = r.text.replace(" ", "")
+        assert r.n_entities == 1 and r.text != texts[r.id] and plain[:2] == texts[r.id][:2]
+        assert [c == " " for c in r.text] == [c == " " for c in texts[r.id]]
+        assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1

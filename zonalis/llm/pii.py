@@ -15,7 +15,11 @@ from zonalis.llm.names import fresh
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 _MALE = r"Mr|Herr|Monsieur|Señor|Sr|Господин|Г-н"
 _FEMALE = r"Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Госпожа|Г-жа"
-_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?"
+_EITHER = r"Dr|Prof|Doctor|Professor|Доктор|Профессор"
+_TITLE = rf"(?:{_MALE}|{_FEMALE}|{_EITHER}|MR|MRS|MS|MISS|DR|PROF|HERR|FRAU)"
+_LETTER = r"[\p{L}\p{M}]"
+#: A word of a name: Kern, McDonald, O'Brien, Anna-Maria, SMITH; not the s of a genitive.
+_WORD = rf"\p{{Lu}}(?:['’]\p{{Lu}})?{_LETTER}+(?:[-'’](?!s(?!{_LETTER})){_LETTER}+)*(?!{_LETTER})"
 #: One pattern per kind; the first that matches at a place counts.
 PATTERNS = {
     "email": r"[A-Za-z0-9](?:[A-Za-z0-9._%+-]*[A-Za-z0-9_%+-])?@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
@@ -24,23 +28,23 @@ PATTERNS = {
     "ssn": r"(?<![\w.+-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "ip": rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)",
     "phone": r"(?<![\w.])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\) ?\d{3}[ .-]\d{3,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?![\w-])",
-    "name": rf"\b(?:{_MALE}|{_FEMALE})\.? {_WORD}(?: {_WORD})?",
+    "name": rf"(?<!{_LETTER}){_TITLE}\.? {_WORD}(?: {_WORD})?",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What every match contains: most texts are passed over by this alone.
-HINT = rf"[@0-9]|{_MALE}|{_FEMALE}"
+HINT = rf"[@0-9]|(?<!{_LETTER}){_TITLE}\.? \p{{Lu}}"
 
 #: Syllables of surrogate names, by script: stems, then endings of given names and of surnames by gender.
 _SYLLABLES = {
     "latin": (
         ["ba", "be", "bo", "da", "de", "do", "ka", "ke", "ko", "la", "le", "lo", "ma", "me", "mo", "na", "ne", "ra", "re", "ro"],
-        {"m": ["ron", "vin", "mir", "bert"], "f": ["lina", "sia", "bella", "tte"]},
+        {"m": ["ron", "vin", "mir", "bert"], "f": ["lina", "sia", "bella", "tte"], "n": ["ley", "ry", "kim", "lex"]},
         {"n": ["ner", "vak", "lund", "sen"]},
     ),
     "cyrillic": (
         ["ба", "бе", "бо", "ва", "ве", "во", "да", "де", "до", "ка", "ке", "ко", "ла", "ле", "ло", "ма", "ме", "мо", "ра", "ро"],
-        {"m": ["рил", "слав", "мир", "тон"], "f": ["лина", "рия", "слава", "ника"]},
-        {"m": ["нов", "рин", "ский"], "f": ["нова", "рина", "ская"]},
+        {"m": ["рил", "слав", "мир", "тон"], "f": ["лина", "рия", "слава", "ника"], "n": ["ша", "ня", "лик", "жен"]},
+        {"m": ["нов", "рин", "ский"], "f": ["нова", "рина", "ская"], "n": ["ко", "енко", "их"]},
     ),
 }
 
@@ -64,6 +68,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(terms, F.lit(0), lambda a, b: a + b)
 
 
+def _mod97(text: Column) -> Column:
+    """Remainder by 97 of the number that digits and capital letters (A is 10) spell."""
+    digit = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(text, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise(
+        (a * F.when(digit(c) < 10, 10).otherwise(100) + digit(c)) % 97))
+
+
 def surrogate(key: Column, kind: Column, canon: Column, attempt: Column) -> Column:
     """The surrogate of a canonical value: characters of the same class, with what makes the type valid."""
     draw = lambda place: _draw(key, kind, canon, attempt, place)
@@ -80,10 +91,14 @@ def surrogate(key: Column, kind: Column, canon: Column, attempt: Column) -> Colu
     # The last digit of a card takes the drawn number to the original's remainder.
     body = F.concat(F.substring(keep(1), 1, 15), F.lit("0"))
     card = F.concat(F.substring(body, 1, 15), F.pmod(_luhn(canon) - _luhn(body), F.lit(10)).cast("string"))
+    # The two digits behind an account's country are the check digits of the rest.
+    rest = F.substring(masked, 5, 1 << 30)
+    country = F.substring(canon, 1, 2)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(rest, country, F.lit("00")))).cast("string"), 2, "0"), rest)
     ip = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.when(i == 0, draw(i) % 223 + 1).otherwise(draw(i) % 256).cast("string")), ".")
     out = (
         F.when(kind == "email", email).when(kind == "card", card).when(kind == "ip", ip)
-        .when(kind == "iban", keep(2)).when(kind == "phone", keep(1)).when(kind == "ssn", masked)
+        .when(kind == "iban", iban).when(kind == "phone", keep(1)).when(kind == "ssn", masked)
     )
     for script, (stems, given, family) in _SYLLABLES.items():
         for part, endings in (("given", given), ("family", family)):
@@ -104,7 +119,8 @@ def _kind(value: Column) -> Column:
 def _atoms(value: Column) -> Column:
     """What a match refers to, as (kind, canon): one entry, or one per word of a name."""
     kind, words = _kind(value), F.split(value, " ")
-    gender = F.when(words[0].rlike(f"^(?:{_MALE})\\.?$"), "m").otherwise("f")
+    title = F.initcap(F.regexp_replace(words[0], r"\.$", ""))
+    gender = F.when(title.rlike(f"^(?:{_MALE})$"), "m").when(title.rlike(f"^(?:{_EITHER})$"), "n").otherwise("f")
     script = lambda w: F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     family = F.element_at(words, -1)
     name = F.array(
@@ -118,6 +134,11 @@ def _atoms(value: Column) -> Column:
     )
 
 
+def _cased(word: Column, name: Column) -> Column:
+    """A surrogate name in the letter case of the word that it replaces."""
+    return F.when(word == F.upper(word), F.upper(name)).otherwise(F.initcap(name))
+
+
 def _form(value: Column, found: Column) -> Column:
     """The surrogates ``found`` of a match, written as the match was."""
     first = found[0]
@@ -128,7 +149,7 @@ def _form(value: Column, found: Column) -> Column:
     words = F.split(value, " ")
     kind = _kind(value)
     return (
-        F.when(kind == "name", F.concat_ws(" ", words[0], F.array_join(F.transform(found, lambda s: F.initcap(s)), " ")))
+        F.when(kind == "name", F.concat_ws(" ", words[0], F.array_join(F.transform(found, lambda s, i: _cased(words[i + 1], s)), " ")))
         .when(kind == "email", F.when(value == F.upper(value), F.upper(first)).otherwise(first))
         .when(kind == "ip", first).otherwise(walked)
     )
@@ -159,21 +180,46 @@ def assign(entities: DataFrame, key: Column) -> DataFrame:
         ).otherwise(F.col("surrogate")).alias("surrogate")))
 
 
+def _woven(pieces: Column, hits: Column) -> Column:
+    """Pieces of a text with what stands between them."""
+    return F.array_join(F.transform(
+        F.arrays_zip(pieces.alias("p"), hits.alias("h")), lambda x: F.concat(x["p"], F.coalesce(x["h"], F.lit("")))), "")
+
+
+def _names(hits: Column, found: Column) -> Column:
+    """(word, surrogate) of every word of the names among the matches, as written, in capitals and with one."""
+    own = F.filter(found, lambda f: f["kind"].rlike("^(given|family) "))
+    word = lambda f: F.split(F.element_at(hits, f["hit"] + 1), " ")[F.when(f["kind"].startswith("given"), 1).otherwise(
+        F.size(F.split(F.element_at(hits, f["hit"] + 1), " ")) - 1)]
+    pair = lambda w, s: F.struct(w.alias("word"), _cased(w, s).alias("surrogate"))
+    return F.flatten(F.transform(own, lambda f: F.array(
+        *[pair(w, f["surrogate"]) for w in (word(f), F.upper(word(f)), F.initcap(word(f)))])))
+
+
+def _renamed(piece: Column, known: Column) -> Column:
+    """A piece of text with the whole words of known names replaced."""
+    quoted = F.array_join(F.transform(known, lambda k: F.concat(F.lit("\\Q"), k["word"], F.lit("\\E"))), "|")
+    pattern = F.concat(F.lit(f"(?<!{_LETTER})(?:"), quoted, F.lit(f")(?!{_LETTER})"))
+    new = F.transform(F.regexp_extract_all(piece, pattern, F.lit(0)), lambda w: F.filter(known, lambda k: k["word"] == w)[0]["surrogate"])
+    return _woven(F.split(piece, pattern, -1), new)
+
+
 def replace_entities(docs: DataFrame, key: str, text: str = "text", into: str = "n_entities") -> DataFrame:
     """``docs`` with every detected entity in ``text`` replaced by its surrogate, and their number in ``into``.
 
     Emails, IBANs, card and social security numbers, IP addresses, telephone numbers and names after
-    a title are detected. A value has one surrogate in the whole table, however it is written (case,
+    a title are detected; the words of a detected name are replaced wherever else they stand in the
+    same text, as they were written, in capitals, or with one capital. A value has one surrogate in the whole table, however it is written (case,
     blanks, separators), so references to it still agree; different values of a kind have different
     surrogates, and none equals a value that occurs. A surrogate keeps length, separators and letter
-    case, a card's Luhn remainder, an address's top-level domain, a name's script and its title's
+    case, a card's Luhn remainder, an address's top-level domain, an account's country, with valid check digits, a name's script and its title's
     gender. Another ``key`` gives other surrogates.
 
     NULL text stays NULL with no entity; texts without one are untouched and not shuffled. Repeated
     rows are replaced alike. All other columns stay (one named like ``into`` is replaced). An empty
     table gives no row.
     """
-    pieces, hits, row, found = (fresh(docs, n) for n in ("_pieces", "_hits", "_row", "_found"))
+    pieces, hits, row, found, known = (fresh(docs, n) for n in ("_pieces", "_hits", "_row", "_found", "_known"))
     columns = [c for c in docs.columns if c != into]
     t = F.col(text)
     has = F.coalesce(t.rlike(HINT) & t.rlike(ANY), F.lit(False))
@@ -187,15 +233,15 @@ def replace_entities(docs: DataFrame, key: str, text: str = "text", into: str =
     ).select(row, "hit", "part", "atom.kind", "atom.canon"))
     entities = used.groupBy("kind", "canon").agg(F.lit(1).alias("one")).drop("one")
     named = used.join(assign(entities, F.lit(key)), ["kind", "canon"]).groupBy(row).agg(
-        F.sort_array(F.collect_list(F.struct("hit", "part", "surrogate"))).alias(found)
+        F.sort_array(F.collect_list(F.struct("hit", "part", "surrogate", "kind", "canon"))).alias(found)
     )
     written = F.transform(hits, lambda v, i: _form(v, F.transform(
         F.filter(found, lambda f: f["hit"] == i), lambda f: f["surrogate"]
     )))
-    joined = touched.join(named, row).withColumn(hits, written)
-    rebuilt = F.array_join(F.transform(
-        F.arrays_zip(F.col(pieces).alias("p"), F.col(hits).alias("h")), lambda x: F.concat(x["p"], F.coalesce(x["h"], F.lit("")))
-    ), "")
+    joined = touched.join(named, row).withColumn(known, _names(F.col(hits), F.col(found))).withColumn(
+        pieces, F.when(F.size(known) == 0, F.col(pieces)).otherwise(F.transform(pieces, lambda p: _renamed(p, F.col(known))))
+    ).withColumn(hits, written)
+    rebuilt = _woven(F.col(pieces), F.col(hits))
     return plain.unionByName(joined.select(
         *[rebuilt.alias(c) if c == text else F.col(c) for c in columns], F.size(hits).cast("bigint").alias(into)
     ))
