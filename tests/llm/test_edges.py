@@ -302,3 +302,18 @@ def test_account_numbers_stay_valid(spark):
         assert r.n_entities == 1 and r.text != texts[r.id] and plain[:2] == texts[r.id][:2]
         assert [c == " " for c in r.text] == [c == " " for c in texts[r.id]]
         assert int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+
+
+def test_every_place_and_short_items(spark):
+    item = prose(20, 31).replace("\n", " ")
+    edited = item[:40] + "x" + item[41:]
+    texts = [f"{item} {edited} {item}", f"start {edited}{item}", "a short item here, and: Short  Item here!", "short item hereafter", item]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id BIGINT, text STRING")
+    bench = spark.createDataFrame([(1, item), (2, "short item here")], "item_id BIGINT, text STRING")
+    got = sorted((r.doc_id, r.item_id, r.distance, r.begin) for r in decontaminate.find_leaks(docs, bench, short=True).collect())
+    n = len(item)
+    assert [g[:3] for g in got] == [(0, 1, 0), (0, 1, 0), (0, 1, 1), (1, 1, 0), (1, 1, 1), (2, 2, 0), (2, 2, 0), (4, 1, 0)]
+    assert [b for d, _, _, b in got if d == 0] == [0, 2 * n + 2, n + 1] and [b for d, _, _, b in got if d == 2] == [2, 24]
+    spans = [(r.begin, r.end) for r in decontaminate.find_leaks(docs, bench).where("doc_id = 1").collect()]
+    assert max(a for a, _ in spans) >= min(b for _, b in spans)
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()] == [2, 3]

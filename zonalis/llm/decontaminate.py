@@ -14,7 +14,7 @@ from zonalis.llm.names import fresh
 
 #: Edits allowed per byte of a normalized item.
 RATE = 0.08
-#: Normalized bytes below which an item is a phrase that anyone may write.
+#: Normalized bytes below which an item is a phrase that anyone may write: it is matched as whole words only.
 MIN_BYTES = 25
 #: Bytes of items that are sent to the tasks at once; a larger benchmark is searched in blocks.
 BLOCK_BYTES = 4_000_000
@@ -88,13 +88,13 @@ def _grams(text: bytes) -> list[bytes]:
 class Items:
     """A block of benchmark items and the automaton of their pieces."""
 
-    def __init__(self, items: list[tuple], rate: float):
+    def __init__(self, items: list[tuple], rate: float, min_bytes: int, every: bool = True):
         import ahocorasick
 
-        self.items = []
+        self.items, self.min_bytes, self.every = [], min_bytes, every
         parts: dict[bytes, list[tuple[int, int]]] = {}
         for name, text in items:
-            edits = int(len(text) * rate)
+            edits = int(len(text) * rate) if len(text) >= min_bytes else 0
             for offset, piece in pieces_of(text, edits):
                 parts.setdefault(piece, []).append((len(self.items), offset))
             self.items.append((name, text, edits, _masks(text), _masks(text[::-1]), _grams(text)))
@@ -104,7 +104,11 @@ class Items:
         self.automaton.make_automaton()
 
     def search(self, data: bytes) -> list[tuple]:
-        """(item, begin, end, distance) of the best place in each stretch of ``data`` that holds an item."""
+        """(item, begin, end, distance) of the places of ``data`` that hold an item.
+
+        Of places that overlap the best counts, the first on a tie; unless ``every`` is set, of each
+        stretch that is searched together.
+        """
         text = normalize(data)
         wanted: dict[int, list[int]] = {}
         for last, (length, uses) in self.automaton.iter(text.decode("latin-1")):
@@ -114,6 +118,13 @@ class Items:
         for item, starts in wanted.items():
             name, pattern, edits, masks, backward, grams = self.items[item]
             m = len(pattern)
+            if m < self.min_bytes:
+                end = 0
+                for s in starts:
+                    if s >= end and text[max(s - 1, 0):s] in (b"", b" ") and text[s + m:s + m + 1] in (b"", b" "):
+                        end = s + m
+                        out.append((name, s, end, 0))
+                continue
             stretches: list[list[int]] = []
             for s in sorted(set(starts)):
                 low, high = max(0, s - edits), min(len(text), s + m + edits)
@@ -121,10 +132,11 @@ class Items:
                     stretches[-1][1] = max(high, stretches[-1][1])
                 else:
                     stretches.append([low, high])
-            for low, high in stretches:
+            while stretches:
+                low, high = stretches.pop()
                 # An edit touches GRAM substrings at most; a stretch that lacks more cannot hold the item.
                 there = set(_grams(text[low:high]))
-                if sum(g not in there for g in grams) > GRAM * edits:
+                if high - low < m - edits or sum(g not in there for g in grams) > GRAM * edits:
                     continue
                 scores = myers(pattern, text[low:high], masks)
                 best = min(scores)
@@ -132,7 +144,10 @@ class Items:
                     end = low + scores.index(best) + 1
                     start = max(low, end - m - edits)
                     back = myers(pattern[::-1], text[start:end][::-1], backward)
-                    out.append((name, end - 1 - back.index(best), end, best))
+                    begin = end - 1 - back.index(best)
+                    out.append((name, begin, end, best))
+                    if self.every:
+                        stretches += [[low, begin], [end, high]]
         if out:
             at = places(data)
             out = [(name, int(at[a]), int(at[b - 1]) + 1, d) for name, a, b, d in out]
@@ -141,7 +156,7 @@ class Items:
 
 def find_leaks(
     docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
-    item_text: str = "text", rate: float = RATE, min_bytes: int = MIN_BYTES,
+    item_text: str = "text", rate: float = RATE, min_bytes: int = MIN_BYTES, short: bool = False, every: bool = True,
 ) -> DataFrame:
     """One row per place where a document holds a benchmark item.
 
@@ -152,10 +167,12 @@ def find_leaks(
     row by row, without a shuffle, for each block of ``BLOCK_BYTES`` of items; only a block is sent
     to the tasks.
 
-    NULL or empty documents and items match nothing, nor do items of fewer than ``min_bytes``
-    normalized bytes. NULL ids are carried as they are; repeated rows are reported each. Of several
-    equally good places in one stretch the first counts. Other columns are ignored; an empty table
-    on either side gives no row.
+    An item of fewer than ``min_bytes`` normalized bytes is found where it stands unchanged, as whole
+    words, and only with ``short``: clean documents share such phrases. Of places of one item that overlap the best is reported, the first
+    on a tie; without ``every``, only the best of each stretch of neighbouring places.
+
+    NULL or empty documents and items match nothing. NULL ids are carried as they are; repeated rows
+    are reported each. Other columns are ignored; an empty table on either side gives no row.
     """
     items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -166,17 +183,17 @@ def find_leaks(
     found = docs.sparkSession.createDataFrame([], schema)
     for k in range(blocks):
         block = items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == k).distinct().orderBy("item", "text").collect()
-        known = [(r["item"], t) for r in block if len(t := normalize(r["text"].encode())) >= min_bytes]
+        known = [(r["item"], t) for r in block if len(t := normalize(r["text"].encode())) >= (1 if short else min_bytes)]
         if known:
-            found = found.unionByName(_scan(rows, known, rate, schema))
+            found = found.unionByName(_scan(rows, known, schema, rate, min_bytes, every))
     return found.select(F.col("doc").alias(doc_id), F.col("item").alias(item_id), "begin", "end", "distance")
 
 
-def _scan(rows: DataFrame, known: list[tuple], rate: float, schema: str) -> DataFrame:
+def _scan(rows: DataFrame, known: list[tuple], schema: str, *how) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(known)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(sent.value, rate)
+        items = Items(sent.value, *how)
         for batch in batches:
             at, found = [], []
             for k, text in enumerate(batch.column(1)):
@@ -198,10 +215,12 @@ def _scan(rows: DataFrame, known: list[tuple], rate: float, schema: str) -> Data
 def decontaminate(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with all their columns.
 
+    Items of fewer than ``min_bytes`` normalized bytes are phrases of clean documents and condemn none
+    unless ``short`` is set.
     NULL and empty texts stay. Repeated rows share their fate; a NULL id is judged by its own text.
     """
     row, bad_row = fresh(docs, "_row"), fresh(docs, "_bad")
     keyed = docs.withColumn(row, F.xxhash64(F.col(doc_id), F.col(text)))
-    leaks = find_leaks(keyed, benchmark, row, text, **options)
+    leaks = find_leaks(keyed, benchmark, row, text, **{"every": False, **options})
     bad = materialize(leaks.select(F.col(row).alias(bad_row)).distinct())
     return keyed.join(bad.hint("merge"), F.col(row) == F.col(bad_row), "left_anti").drop(row)
