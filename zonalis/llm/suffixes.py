@@ -109,9 +109,11 @@ def repeated_windows(named: DataFrame, threshold: int, reach: int) -> DataFrame:
     ))
     # Each step counts equal hashes and goes on with the positions that are not unique: the hash of 256
     # bytes, then that of the bytes before and up to the threshold, then those of single windows.
-    again = rows.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("id"))
+    # The counts are written first: a join of two written tables can be split where one hash is hot.
+    again = materialize(rows.groupBy("rank").count().where("count > 1").select(F.col("rank").alias("id")))
+    release(named.sparkSession)
     rows, done = materialize(only(rows, "rank", again)), rows
-    discard(done)
+    discard(done, again)
     release(named.sparkSession)
     contexts = materialize(rows.groupBy("rank", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "left")).alias("row")))
     settled = _merged(rows.join(contexts.where("n > 1").select("rank", "whole"), ["rank", "whole"], "left_semi").select(
