@@ -1,6 +1,7 @@
 """The whole job of corpus operators, against brute force without their shortcuts."""
 
 import os
+from collections import Counter
 
 import duckdb
 import pytest
@@ -22,6 +23,18 @@ def whole_lines(text):
     return enumerate(w for line in text.split("\n") if (w := R.WORD.findall(R.lower(line))))
 
 
+def beside(texts, names):
+    """Names of the repeated lines that have eight words or another repeated line next to them."""
+    size = Counter(names.values())
+    again = {u for u, n in names.items() if size[n] > 1}
+    words = {(i, n): len(w) for i, t in texts.items() for n, w in whole_lines(t)}
+    kept = {u for u in again if words[u] >= 8 or (u[0], u[1] - 1) in again or (u[0], u[1] + 1) in again}
+    members = {}
+    for u in sorted(kept):
+        members.setdefault(names[u], []).append(u)
+    return {u: some[0] for some in members.values() if len(some) > 1 for u in some}
+
+
 @tables
 def test_op6_whole_lines(spark, texts):
     rows = QUERIES["op6_paragraph_minhash"](spark, SMALL).collect()
@@ -29,6 +42,8 @@ def test_op6_whole_lines(spark, texts):
         sets = {(i, n): R.shingle_set(words, 5) for i, t in texts.items() for n, words in units(t)}
         groups = R.linked(sets, 80)
         names = {u: groups.find(u) for u in sets}
+        if whole:
+            names = beside(texts, names)
         many = {n for u, n in names.items() if u != n}
         got = {(r.doc_id, r.paragraph): (r.cluster_doc, r.cluster_paragraph) for r in rows if r.whole == whole}
         assert got.keys() == {u for u, n in names.items() if n in many}
@@ -58,6 +73,16 @@ def test_edited_paragraphs_go_whole(spark):
     assert left == {1: one, 2: "", 3: f"x\n{shout}", 4: "y\n", 5: "ok", 6: ""}
 
 
+def test_short_lines_go_only_in_runs(spark):
+    rows = [(1, "thank you\nalone here"), (2, "thank you\nsomething else"), (3, "one two\nthree four\nfive"), (4, "x\none two\n\nthree four\ny"),
+            (5, "one two\nz"), (None, "thank you"), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    found = paragraphs.duplicate_paragraphs(df, min_line_words=1, lone_words=8)
+    assert {(r.doc_id, r.paragraph, r.cluster_doc, r.kept) for r in found.collect()} == {(3, 0, 3, True), (3, 1, 3, True), (4, 1, 3, False), (4, 2, 3, False)}
+    left = {r.doc_id: r.text for r in paragraphs.without_paragraphs(df, found).collect()}
+    assert left[4] == "x\n\n\n\ny" and left[1] == rows[0][1] and left[5] == rows[4][1]
+
+
 def test_no_copy_of_a_part_is_lost(spark):
     """A part in a line that goes as a whole does not make its copies elsewhere go."""
     body = " ".join(f"w{i}" for i in range(80))

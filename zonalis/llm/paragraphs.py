@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from zonalis.functions.scratch import discard, materialize
 from zonalis.llm import shingles as S
 from zonalis.llm.names import fresh
-from zonalis.llm.neardup import link, release
+from zonalis.llm.neardup import link, only, release
+from zonalis.llm.worker import bound_batches
 
 SHINGLE = 5
 #: Words below which a part of a line is too common a phrase to be a repeat.
@@ -31,8 +33,8 @@ def tune(similarity: float, background: float = 0.01, miss: float = 1e-3, false_
 
 
 def _level(row: np.ndarray, line: np.ndarray, words: tuple[np.ndarray, ...], head: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
-    """Row, number in the row, line, byte range in the data, and shingle sets of the units that begin
-    at the words ``head`` and have ``least`` words or more."""
+    """Row, number in the row, line, byte range in the data, words, and shingle sets of the units that
+    begin at the words ``head`` and have ``least`` words or more."""
     hashes, starts, ends = words
     first = np.append(np.flatnonzero(head), len(hashes))
     unit_row = row[first[:-1]]
@@ -47,11 +49,12 @@ def _level(row: np.ndarray, line: np.ndarray, words: tuple[np.ndarray, ...], hea
     fresh[1:] = (values[1:] != values[:-1]) | (unit[1:] != unit[:-1])
     values, unit = values[fresh], unit[fresh]
     at = np.flatnonzero(long)
-    return unit_row[at], number[at], line[first[at]], starts[first[at]], ends[first[at + 1] - 1], values, np.searchsorted(unit, at)
+    return (unit_row[at], number[at], line[first[at]], starts[first[at]], ends[first[at + 1] - 1],
+            first[at + 1] - first[at], values, np.searchsorted(unit, at))
 
 
 def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.ndarray, ...]:
-    """Row, code, line, byte range, and shingle sets of each paragraph with enough words.
+    """Row, code, line, byte range, words, and shingle sets of each paragraph with enough words.
 
     A paragraph is a line as a whole, and also each part of it up to a word that ends with a full
     stop, an exclamation or a question mark: a passage pasted into a line is a run of such parts.
@@ -61,7 +64,7 @@ def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.nda
     hashes, starts, ends = words = S.words(data, offsets)
     if not len(hashes):
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
+        return none, none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
     row = np.searchsorted(offsets, starts, "right") - 1
     feeds = np.concatenate([[0], np.cumsum(data == 10)])
     closing = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
@@ -73,46 +76,79 @@ def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.nda
     line -= line[np.searchsorted(row, row)]
     parts = _level(row, line, words, part, min_words)
     wholes = _level(row, line, words, whole, min_line_words)
-    of, number, line, begin, end, values = (np.concatenate(x) for x in zip(parts[:6], wholes[:6]))
+    of, number, line, begin, end, count, values = (np.concatenate(x) for x in zip(parts[:7], wholes[:7]))
     code = 2 * number
     code[len(parts[0]):] += 1
-    bounds = np.concatenate([parts[6], wholes[6] + len(parts[5]), [len(values)]])
-    return of, code, line, begin - offsets[of], end - offsets[of], values, bounds
+    bounds = np.concatenate([parts[7], wholes[7] + len(parts[6]), [len(values)]])
+    return of, code, line, begin - offsets[of], end - offsets[of], count, values, bounds
 
 
-def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, min_line_words: int, similarity: int) -> DataFrame:
-    """One row per paragraph of ``docs`` (doc, text) with its range, set size, set identity and band keys.
+def paragraph_table(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    """One row per paragraph of ``docs`` (doc, text) with its range, words, set size and set identity.
 
-    Parts and whole lines differ in identity and keys, so a line never meets a part of itself. A set
-    too small to be like any but an equal one has no keys.
+    Parts and whole lines differ in identity and keys, so a line never meets a part of itself.
     """
     kind = docs.schema["doc"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in S.pieces(batch.column(1)):
-                row, code, line, begin, end, values, bounds = _units(texts, min_words, min_line_words)
+                row, code, line, begin, end, words, values, bounds = _units(texts, min_words, min_line_words)
                 if not len(row):
                     continue
-                n = np.diff(bounds)
-                level = (code & 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-                one, two = ((np.add.reduceat(S.mix(values * np.uint64(c)), bounds[:-1]) + level).view(np.int64) for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
-                banded = n * (100 - similarity) >= similarity
-                keys = S.band_keys(S.min_max(values, bounds[:-1], bands * rows, both=False), rows).view(np.uint64) + level[:, None]
-                widths = np.concatenate([[0], banded * bands]).astype(np.int32)
+                one, two = _identity(code, values, bounds)
                 names = batch.column(0).slice(at, len(texts)).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(code.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(begin), pa.array(end), pa.array(n),
-                     pa.array(one), pa.array(two),
-                     pa.ListArray.from_arrays(pa.array(np.cumsum(widths, dtype=np.int32)), pa.array(keys[banded].view(np.int64).reshape(-1)))],
-                    ["doc", "unit", "line", "begin", "end", "n", "one", "two", "keys"],
+                    [names, pa.array(code.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(begin), pa.array(end),
+                     pa.array(words.astype(np.int32)), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)],
+                    ["doc", "unit", "line", "begin", "end", "words", "n", "one", "two"],
                 )
 
     return docs.select("doc", "text").mapInArrow(
-        read, f"doc {kind}, unit int, line int, begin bigint, end bigint, n bigint, one bigint, two bigint, keys array<bigint>"
+        read, f"doc {kind}, unit int, line int, begin bigint, end bigint, words int, n bigint, one bigint, two bigint"
     )
 
 
+def _level_of(code: np.ndarray) -> np.ndarray:
+    return (code & 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _identity(code: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple(
+        (np.add.reduceat(S.mix(values * np.uint64(c)), bounds[:-1]) + _level_of(code)).view(np.int64)
+        for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
+
+
+def band_table(docs: DataFrame, bands: int, rows: int, min_words: int, min_line_words: int, similarity: int) -> DataFrame:
+    """(doc, unit, n, one, two, keys) of each paragraph that could be like another than an equal one.
+
+    The texts are read for this once more: the keys of all paragraphs are several times as large as
+    all else, and go straight into the aggregate that keeps those of one paragraph per class.
+    """
+    kind = docs.schema["doc"].dataType.simpleString()
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, texts in S.pieces(batch.column(1)):
+                row, code, _, _, _, _, values, bounds = _units(texts, min_words, min_line_words)
+                if not len(row):
+                    continue
+                n = np.diff(bounds)
+                banded = np.flatnonzero(n * (100 - similarity) >= similarity)
+                if not len(banded):
+                    continue
+                one, two = _identity(code, values, bounds)
+                keys = S.band_keys(S.min_max(values, bounds[:-1], bands * rows, both=False), rows).view(np.uint64) + _level_of(code)[:, None]
+                names = batch.column(0).slice(at, len(texts)).take(pa.array(row[banded]))
+                yield pa.RecordBatch.from_arrays(
+                    [names, pa.array(code[banded].astype(np.int32)), pa.array(n[banded]), pa.array(one[banded]), pa.array(two[banded]),
+                     pa.ListArray.from_arrays(pa.array(np.arange(len(banded) + 1, dtype=np.int32) * bands), pa.array(keys[banded].view(np.int64).reshape(-1)))],
+                    ["doc", "unit", "n", "one", "two", "keys"],
+                )
+
+    return docs.select("doc", "text").mapInArrow(read, f"doc {kind}, unit int, n bigint, one bigint, two bigint, keys array<bigint>")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
     """(id, n, members) of the ``wanted`` (doc, units) paragraphs."""
     kind = docs.schema["doc"].dataType.simpleString()
@@ -120,7 +156,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, min_line_words: in
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in S.pieces(batch.column(1)):
-                row, code, _, _, _, values, bounds = _units(texts, min_words, min_line_words)
+                row, code, _, _, _, _, values, bounds = _units(texts, min_words, min_line_words)
                 units = batch.column(2).slice(at, len(texts))
                 asked = [set(u.as_py()) for u in units]
                 use = [k for k in range(len(row)) if int(code[k]) in asked[row[k]]]
@@ -136,14 +172,42 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, min_line_words: in
     ).groupBy(F.struct("doc", "unit").alias("id")).agg(F.max(F.struct("n", "members")).alias("s")).select("id", "s.n", "s.members")
 
 
+def _shared_keys(keyed: DataFrame, bands: int) -> DataFrame:
+    """(id, key) of the keys that several of ``keyed`` (id, keys) have, a written table.
+
+    Band after band, because nearly all keys are unique: what is shuffled at once is a band's share.
+    """
+    spark, parts = keyed.sparkSession, []
+    for band in range(bands):
+        own = keyed.select("id", F.col("keys")[band].alias("key"))
+        again = materialize(own.groupBy("key").count().where("count > 1").select(F.col("key").alias("id")))
+        parts.append(materialize(only(own, "key", again)))
+        discard(again)
+        release(spark)
+    shared = materialize(reduce(DataFrame.unionByName, parts))
+    discard(*parts)
+    return shared
+
+
+def _beside(lines: DataFrame, lone_words: int) -> DataFrame:
+    """The ``lines`` of ``lone_words`` words or next to another, in clusters that still have two."""
+    own = Window.partitionBy("doc").orderBy("line")
+    near = (F.lag("line").over(own) == F.col("line") - 1) | (F.lead("line").over(own) == F.col("line") + 1)
+    kept = lines.withColumn("near", F.coalesce(near, F.lit(False))).where(F.col("near") | (F.col("words") >= lone_words)).drop("near")
+    several = kept.groupBy("first").agg(F.min(F.struct("doc", "unit")).alias("least"), F.count(F.lit(1)).alias("many")).where("many > 1")
+    return kept.join(several, "first").select(*[F.col("least").alias("first") if c == "first" else c for c in lines.columns])
+
+
 def duplicate_paragraphs(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: int = 80, min_words: int = MIN_WORDS,
-    min_line_words: int = MIN_WORDS,
+    min_line_words: int = MIN_WORDS, lone_words: int = 1,
 ) -> DataFrame:
     """One row per paragraph that has a near-duplicate, in another document or the same one.
 
     Paragraphs are whole lines of ``min_line_words`` words or more, and parts of lines up to a
     sentence end of ``min_words`` or more; each kind is linked among its like, and both are reported.
+    A line of fewer words than ``lone_words`` counts only beside another line that has a near-duplicate:
+    by itself it is a phrase that clean texts share.
 
     Columns: ``doc_id``, ``whole`` (true for a line), ``paragraph`` (number in the document, of its
     kind), ``begin``, ``end`` (bytes of the UTF-8 text), ``cluster_doc``, ``cluster_paragraph`` (the
@@ -160,13 +224,15 @@ def duplicate_paragraphs(
     """
     rows_in = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), F.col(text).cast("string").alias("text"))
     bands, rows = tune(similarity / 100)
-    read = materialize(paragraph_table(rows_in, bands, rows, min_words, min_line_words, similarity))
+    bound_batches(docs.sparkSession)
     same = ["one", "two", "n"]
-    keyed = read.groupBy(*same).agg(F.min(F.struct("doc", "unit")).alias("id"), F.first("keys").alias("keys"))
-    keys = materialize(keyed.select("id", F.explode("keys").alias("key")))
+    keyed = band_table(rows_in, bands, rows, min_words, min_line_words, similarity).groupBy(*same).agg(
+        F.min(F.struct("doc", "unit")).alias("id"), F.first("keys").alias("keys"))
+    keyed = materialize(keyed.select("id", "keys"))
     release(docs.sparkSession)
-    units = materialize(read.drop("keys"))
-    discard(read)
+    keys = _shared_keys(keyed, bands)
+    discard(keyed)
+    units = materialize(paragraph_table(rows_in, min_words, min_line_words))
 
     def sets_of(ids: DataFrame) -> DataFrame:
         wanted = materialize(ids.groupBy("id.doc").agg(F.collect_list("id.unit").alias("units")))
@@ -178,8 +244,10 @@ def duplicate_paragraphs(
     ).join(placed, "id", "left").where("component IS NOT NULL OR id <> last").select(
         *same, F.coalesce("component", "id").alias("first")
     )
-    found = materialize(units.join(materialize(classes), same).select("doc", "unit", "line", "begin", "end", "first").distinct())
+    found = materialize(units.join(materialize(classes), same).select("doc", "unit", "line", "begin", "end", "words", "first").distinct())
     discard(units)
+    if lone_words > 1:
+        found = materialize(found.where("unit % 2 = 0").unionByName(_beside(found.where("unit % 2 = 1"), lone_words)))
     # A part that goes with its line cannot stand for its cluster while one elsewhere can.
     lines = found.where("unit % 2 = 1 AND first <> struct(doc, unit)").select("doc", "line").distinct()
     parts = found.where("unit % 2 = 0").select("doc", "unit", "line", "first")

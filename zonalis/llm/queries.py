@@ -78,8 +78,8 @@ def op8_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_paragraph_minhash")
 def op6_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts of lines of eight words or more, and whole lines of any length."""
-    return paragraphs.duplicate_paragraphs(documents(spark, sf_dir), min_line_words=1)
+    """Parts of lines of eight words or more, whole lines too, and shorter lines beside other repeated ones."""
+    return paragraphs.duplicate_paragraphs(documents(spark, sf_dir), min_line_words=1, lone_words=paragraphs.MIN_WORDS)
 
 
 @query("op5_patience_line_dedup")
@@ -94,7 +94,7 @@ def op5_patience_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pigeonhole_decontamination")
 def op3_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places where documents hold a benchmark item; clean documents have no row."""
-    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), short=True)
 
 
 @query("op1_surrogate_pii")
