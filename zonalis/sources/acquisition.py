@@ -106,9 +106,18 @@ def parse_tile_names(files: DataFrame, column: str = "file_name") -> DataFrame:
         "layer": part(1), "lat": part(2).cast("double"), "lng": part(3).cast("double")})
 
 
+def _arrived(present: DataFrame) -> DataFrame:
+    """The distinct names of the files that have arrived, for a join by sorting.
+
+    Spark measures a list of files that was made by expanding areas as small as the areas are, and
+    would broadcast all of it.
+    """
+    return present.select("file_name").distinct().hint("merge")
+
+
 def fetch_progress(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Files received, files expected, and the percentage shown to the user, per area."""
-    seen = present.select("file_name").distinct().withColumn("_seen", F.lit(True))
+    seen = _arrived(present).withColumn("_seen", F.lit(True))
     counted = manifest.select("aoi_id", "file_name").join(seen, "file_name", "left").groupBy("aoi_id").agg(
         F.count("_seen").alias("processed_files"), F.count("*").alias("total_files"))
     return counted.withColumn("progress_text", percent_text(F.col("processed_files"), F.col("total_files")))
@@ -116,7 +125,7 @@ def fetch_progress(manifest: DataFrame, present: DataFrame) -> DataFrame:
 
 def missing_tiles(manifest: DataFrame, present: DataFrame) -> DataFrame:
     """Manifest rows whose file has not arrived."""
-    return manifest.join(present.select("file_name"), "file_name", "left_anti")
+    return manifest.join(_arrived(present), "file_name", "left_anti")
 
 
 def fetch_response_urls(responses: DataFrame, api_key: str, body: str = "body") -> DataFrame:
