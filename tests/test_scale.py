@@ -1,5 +1,8 @@
 """What must not grow with the input on one machine: broadcasts, single tasks, tasks' memory."""
 
+import pytest
+
+from zonalis.operators import lcz
 from zonalis.sources import acquisition
 
 
@@ -18,3 +21,19 @@ def test_arrived_files_are_not_broadcast(spark):
     names = lambda df: sorted(r.file_name for r in df.collect())
     assert names(missing) == names(manifest.where("(tile_ord + layer_ord) % 5 = 0")) != []
     assert "Broadcast" not in _plan(acquisition.fetch_progress(manifest, present))
+
+
+def _cells(spark):
+    """Valid cells as a small file holds them: in one partition."""
+    return spark.range(0, 200, 1, 1).selectExpr(
+        "id AS cell_id", "id % 11 / 10D AS sky_view_factor", "IF(id % 3 = 0, NULL, id % 5 / 2D) AS aspect_ratio",
+        "CAST(IF(id % 4 = 0, 0, 40) AS DOUBLE) AS building_surface_fraction", "30D AS impervious_surface_fraction",
+        "CAST(IF(id % 4 = 0, 70, 30) AS DOUBLE) AS pervious_surface_fraction", "CAST(id % 30 AS DOUBLE) AS height_roughness")
+
+
+@pytest.mark.parametrize("operator", [lcz.lcz_eligible, lcz.lcz_contributions, lcz.lcz_matches, lcz.lcz_scores, lcz.lcz_all_results])
+def test_cells_are_spread_before_they_are_expanded(spark, operator):
+    out = operator(_cells(spark))
+    own = [len(part) for part in out.rdd.glom().collect()]
+    assert len(own) == 4 and min(own) > 0
+    assert sum(own) == out.count()

@@ -2,7 +2,8 @@
 
 The 17 classes are a fixed table, so it enters the plan as one constant array. The best class of a
 cell is the minimum of that array after scoring, found inside the cell's row without join or
-shuffle. Long results repeat the row beside the 17 entries.
+shuffle. Long results repeat the row beside the 17 entries, after the cells have been spread over
+the cluster.
 """
 
 from __future__ import annotations
@@ -173,11 +174,19 @@ def lcz_input_status(cells: DataFrame, tolerance: float = 0.0) -> DataFrame:
     return _prepared(cells, tolerance)
 
 
+def _spread(cells: DataFrame) -> DataFrame:
+    """Cells dealt over all tasks: a cell becomes up to 170 rows, and a small file is read by one task.
+
+    A count of partitions is given because adaptive execution would merge the short rows again.
+    """
+    return cells.repartition(int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def _by_class(cells: DataFrame, tolerance: float, *fields: str) -> DataFrame:
     """One row per valid cell and class, with the given SQL over the class entry ``_c``."""
     ok = _prepared(cells, tolerance).where("lcz_status = 'ok'")
     known = [f"coalesce({p}, CAST('NaN' AS DOUBLE)) AS {p}" for p in PARAMETERS]
-    beside = ok.selectExpr("cell_id", "available_params", *known, f"explode({_class_array()}) AS _c")
+    beside = _spread(ok.selectExpr("cell_id", "available_params", *known)).selectExpr("*", f"explode({_class_array()}) AS _c")
     return beside.selectExpr(
         "cell_id", "_c.class_ord", "_c.lcz_class", "available_params", f"{ELIGIBLE.format(c='_c')} AS eligible", *fields)
 
