@@ -37,3 +37,9 @@ def test_cells_are_spread_before_they_are_expanded(spark, operator):
     own = [len(part) for part in out.rdd.glom().collect()]
     assert len(own) == 4 and min(own) > 0
     assert sum(own) == out.count()
+
+
+@pytest.mark.parametrize("operator", [lcz.lcz_ranked, lcz.lcz_explain])
+def test_cells_are_spread_before_they_are_ranked(spark, operator):
+    own = [len(part) for part in operator(_cells(spark)).rdd.glom().collect()]
+    assert len(own) == 4 and min(own) > 0

@@ -293,7 +293,7 @@ def lcz_classify(cells: DataFrame, tolerance: float = 0.0, denominator: str = "v
 
 def _ranking(cells: DataFrame, tolerance: float, denominator: str) -> DataFrame:
     """One row per cell and class that shares the cell's highest number of matches and has a score."""
-    ok = _prepared(cells, tolerance).where("lcz_status = 'ok'")
+    ok = _spread(_prepared(cells, tolerance).where("lcz_status = 'ok'"))
     ordered = _with_contenders(ok, denominator, "array_sort")
     top = "filter(_b, x -> x.neg_matches = _b[0].neg_matches AND x.score IS NOT NULL)"
     return ordered.selectExpr("*", f"posexplode({top}) AS (_pos, _r)").drop("_b").withColumn("rank", F.expr("_pos + 1"))
