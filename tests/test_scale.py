@@ -1,9 +1,13 @@
 """What must not grow with the input on one machine: broadcasts, single tasks, tasks' memory."""
 
+import uuid
+
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from zonalis.operators import lcz
-from zonalis.sources import acquisition
+from zonalis.operators import lcz, sky
+from zonalis.sources import acquisition, stored
 
 
 def _plan(df):
@@ -43,3 +47,28 @@ def test_cells_are_spread_before_they_are_expanded(spark, operator):
 def test_cells_are_spread_before_they_are_ranked(spark, operator):
     own = [len(part) for part in operator(_cells(spark)).rdd.glom().collect()]
     assert len(own) == 4 and min(own) > 0
+
+
+def test_hulls_are_handed_on_without_the_whole_line():
+    """Answers come before the line has ended, so that a task never holds all of it."""
+    read, n = [0], 400
+
+    def batches():
+        for first in range(0, n, 10):
+            read[0] += 10
+            bc = list(range(n - 1 - first, n - 11 - first, -1))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, f.type) for c, f in zip(([0] * 10, [1] * 10, [5] * 10, [0] * 10, bc, bc, [float(b % 7) for b in bc], [-1.0] * 10), sky.HULL_SCHEMA)],
+                schema=sky.HULL_SCHEMA)
+
+    rows, after, sky.ROWS, kept = [], [], 50, sky.ROWS
+    try:
+        for batch in sky._hand_on(batches()):
+            after.append(read[0])
+            rows += batch.to_pylist()
+    finally:
+        sky.ROWS = kept
+    assert after[0] < n / 2
+    # Every block but the last on the line is sent something, and the nearest peak is in it.
+    assert {r["bc"] for r in rows} == set(range(n - 1))
+    assert all(r["pos"] > r["bc"] for r in rows)

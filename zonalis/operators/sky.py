@@ -4,12 +4,14 @@ What hides the sky from a pixel in one direction is the steepest line of sight t
 that touches the upper hull of the pixels ahead. The hull runs along a line of pixels as a stack:
 a vertex that a later pixel sees below the next one is never seen again. Lines are cut into blocks.
 A block hands on the part of its hull that rises away from the viewer, up to its peak; what lies
-behind the peak is hidden. The hulls of a line meet in one task, and a block is sent the hull of all
-that is ahead of it.
+behind the peak is hidden. The hulls of a line pass through one task, farthest first, and a block is
+sent the hull of all that is ahead of it; the task keeps that hull and no more of the line.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,8 +25,11 @@ from zonalis.schemas import Georef, GridSpec
 FAMILIES = ((0, 1), (1, 0), (1, 1), (1, -1))
 HULLS = "family INT, sense INT, line BIGINT, br BIGINT, bc BIGINT, pos BIGINT, z DOUBLE, low DOUBLE"
 SEEN = "row_idx BIGINT, col_idx BIGINT, sky_view DOUBLE"
-# Neighbouring lines that share a task.
-LINES = 16
+HULL_SCHEMA = pa.schema(
+    [("family", pa.int32()), ("sense", pa.int32())] + [(c, pa.int64()) for c in ("line", "br", "bc", "pos")]
+    + [("z", pa.float64()), ("low", pa.float64())])
+# Rows of a batch that is handed on.
+ROWS = 10_000
 
 
 def _lines(z: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -116,28 +121,33 @@ def _hulls(block: int):
     return hulls
 
 
-def _hand_on(table: pa.Table) -> pa.Table:
-    """What is ahead of each block on some lines: the rising hull of all blocks farther on."""
-    get = lambda c: table[c].combine_chunks().to_numpy(zero_copy_only=False)
-    columns = {c: get(c) for c in ("family", "sense", "line", "br", "bc", "pos", "z", "low")}
-    order = np.lexsort((-columns["pos"], columns["line"], columns["sense"], columns["family"]))
-    rows = list(zip(*(columns[c][order].tolist() for c in ("family", "sense", "line", "br", "bc", "pos", "z", "low"))))
+def _hand_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What is ahead of each block: the rising hull of all blocks farther on.
+
+    Rows come line by line, farthest first.
+    """
+    pack = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), HULL_SCHEMA)], schema=HULL_SCHEMA)
     out, hull, line, here = [], [], None, None
-    for family, sense, number, br, bc, pos, z, low in rows:
-        if (family, sense, number) != line:
-            line, hull, here = (family, sense, number), [], None
-        if (br, bc) != here:
-            here = (br, bc)
-            # The part of the hull that rises towards its peak, as far as it is above the block's lowest pixel.
-            peak = max(range(len(hull)), key=lambda k: hull[k][1], default=0)
-            hull = hull[peak:]
-            out.extend((family, sense, number, br, bc, p, h, low) for p, h in hull if h > low)
-        while len(hull) > 1 and (hull[-2][1] - z) * (hull[-1][0] - pos) >= (hull[-1][1] - z) * (hull[-2][0] - pos):
-            hull.pop()
-        hull.append((pos, z))
-    return pa.Table.from_pylist(
-        [dict(zip(("family", "sense", "line", "br", "bc", "pos", "z", "low"), r)) for r in out],
-        pa.schema([("family", pa.int32()), ("sense", pa.int32())] + [(c, pa.int64()) for c in ("line", "br", "bc", "pos")] + [("z", pa.float64()), ("low", pa.float64())]))
+    for batch in batches:
+        for family, sense, number, br, bc, pos, z, low in zip(*(batch.column(c).to_pylist() for c in HULL_SCHEMA.names)):
+            if (family, sense, number) != line:
+                line, hull, here = (family, sense, number), [], None
+            if (br, bc) != here:
+                here = (br, bc)
+                # The part of the hull that rises towards its peak, as far as it is above the block's lowest pixel.
+                peak = max(range(len(hull)), key=lambda k: hull[k][1], default=0)
+                hull = hull[peak:]
+                for p, h in hull:
+                    if h > low:
+                        out.append((family, sense, number, br, bc, p, h, low))
+                        if len(out) == ROWS:
+                            yield pack(out)
+                            out = []
+            while len(hull) > 1 and (hull[-2][1] - z) * (hull[-1][0] - pos) >= (hull[-1][1] - z) * (hull[-2][0] - pos):
+                hull.pop()
+            hull.append((pos, z))
+    if out:
+        yield pack(out)
 
 
 def _finish(block: int, px: float):
@@ -190,8 +200,8 @@ def sky_view(pixels: DataFrame, geo: Georef, column: str = "dsm", block: int = B
         F.expr(f"row_idx div {block}").alias("br"), F.expr(f"col_idx div {block}").alias("bc"),
         "row_idx", "col_idx", F.col(column).cast("double").alias("z"))
     hulls = known.groupBy("br", "bc").applyInArrow(_hulls(block), HULLS)
-    band = F.expr(f"(line - pmod(line, {LINES})) div {LINES}").alias("band")
-    ahead = hulls.groupBy("family", "sense", band).applyInArrow(_hand_on, HULLS)
+    ordered = hulls.repartition("family", "sense", "line").sortWithinPartitions("family", "sense", "line", F.desc("pos"))
+    ahead = ordered.mapInArrow(_hand_on, HULLS)
     return known.groupBy("br", "bc").cogroup(ahead.groupBy("br", "bc")).applyInArrow(_finish(block, geo.px_x), SEEN)
 
 
