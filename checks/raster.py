@@ -136,7 +136,7 @@ def aligned_stored(spark, sf):
     """Layers added one after another to a table stored by block, and aligned where they lie."""
     long, name = _long(raster(spark, sf)[0]), f"layers_{uuid.uuid4().hex}"
     for layer in ("dsm", "class", "mask"):
-        stored.store_blocks(long.where(F.col("layer") == layer), name, 4, block=32, path=f"{scratch_dir(spark)}/{name}")
+        stored.store_blocks(long.where(F.col("layer") == layer), name, block=32, path=f"{scratch_dir(spark)}/{name}")
     return rounded(stored.align_stored(spark, name, ["dsm", "class", "mask"])).drop("br", "bc")
 
 

@@ -72,3 +72,21 @@ def test_hulls_are_handed_on_without_the_whole_line():
     # Every block but the last on the line is sent something, and the nearest peak is in it.
     assert {r["bc"] for r in rows} == set(range(n - 1))
     assert all(r["pos"] > r["bc"] for r in rows)
+
+
+def test_buckets_follow_the_pixels(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(stored, "BUCKET_PIXELS", 100)
+    name = f"t_{uuid.uuid4().hex}"
+    long = spark.range(1800).selectExpr(
+        "IF(id < 900, 'a', 'b') AS layer", "1 AS band", "id % 900 div 30 AS row_idx", "id % 30 AS col_idx", "double(id) AS value")
+    try:
+        for layer in ("a", "b"):
+            stored.store_blocks(long.where(F.col("layer") == layer), name, block=4, path=str(tmp_path / "t"))
+        assert stored.bucket_count(long, name) == 9
+        out = stored.align_stored(spark, name, ["a", "b"])
+        assert "Exchange" not in _plan(out) and out.rdd.getNumPartitions() == 9
+        assert sorted((r.row_idx, r.col_idx, r.b - r.a) for r in out.collect()) == [(r, c, 900.0) for r in range(30) for c in range(30)]
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    few = long.limit(10)
+    assert stored.bucket_count(few, "none_" + name) == 4
