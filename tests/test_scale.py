@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from zonalis.operators import lcz, sky
-from zonalis.sources import acquisition, stored
+from zonalis.sources import acquisition, overlaps, stored
 
 
 def _plan(df):
@@ -90,3 +90,17 @@ def test_buckets_follow_the_pixels(spark, tmp_path, monkeypatch):
         spark.sql(f"DROP TABLE IF EXISTS {name}")
     few = long.limit(10)
     assert stored.bucket_count(few, "none_" + name) == 4
+
+
+@pytest.mark.parametrize("step", [8, 6])
+def test_tiles_are_dealt_out_before_they_are_expanded(spark, monkeypatch, step):
+    """Side by side or overlapping, the tiles of one small file are expanded by many tasks."""
+    monkeypatch.setattr(overlaps, "TASK_PIXELS", 100)
+    table = spark.range(0, 64, 1, 1).selectExpr(
+        "id AS tile_id", "'a' AS layer", "1 AS band", "0 AS priority", f"id div 8 * {step} AS row0", f"id % 8 * {step} AS col0",
+        "8 AS n_rows", "8 AS n_cols", "array_repeat(float(id), 64) AS data")
+    out = overlaps.mosaic_tiles(table)
+    side = 7 * step + 8
+    assert out.count() == side * side
+    own = [len(part) for part in out.rdd.glom().collect()]
+    assert sum(own) == side * side and sum(n > 0 for n in own) > 20

@@ -1,7 +1,8 @@
 """Mosaic of tiles that sends only the pixels over the cluster that several tiles cover.
 
 A plane sweep over the tiles' extents, which are read without their data, finds what each tile shares
-with others. The rest of a tile is nobody else's and passes through where it was read.
+with others. The rest of a tile is nobody else's and passes through where the tile is. Tiles are dealt
+out as arrays first, because a small file of them holds pixels for many tasks.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ SWEPT = "layer STRING, band INT, tile_id BIGINT, r0 BIGINT, r1 BIGINT, c0 BIGINT
 # Boxes of one tile in one block beyond which their bounding box stands for them: a larger box sends
 # more pixels than it must, and changes no result.
 BOXES = 32
+# Pixels of tiles that a task expands, on average.
+TASK_PIXELS = 1_000_000
 
 
 def _shared_boxes(r0, r1, c0, c1) -> list[list[tuple[int, int, int, int]]]:
@@ -127,15 +130,23 @@ def _bare(tiles: DataFrame, frame: Georef, block: int) -> DataFrame:
     return explode_range(runs, "col_idx", F.col("first"), F.col("last")).drop("first", "last")
 
 
+def _dealt(tiles: DataFrame) -> DataFrame:
+    """Tiles spread by id over as many tasks as their pixels need; a count stays whatever their bytes are."""
+    pixels = tiles.agg(F.sum(F.col("n_rows").cast("bigint") * F.col("n_cols"))).first()[0] or 0
+    tasks = max(int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-pixels // TASK_PIXELS))
+    return tiles.repartition(tasks, *KEY, "tile_id")
+
+
 def mosaic_tiles(tiles: DataFrame, frame: Georef | None = None, fill: float | None = None, block: int = BLOCK) -> DataFrame:
     """One value per (layer, band, row, col): the highest (priority, tile_id) that has a value wins.
 
-    Only pixels in boxes that several tiles cover are shuffled; a tile's other pixels are its own. With
+    Only pixels in boxes that several tiles cover are shuffled; a tile's other pixels are its own, and
+    travel packed in the tile. The tiles' sizes are summed at once, to spread them. With
     ``frame`` and ``fill``, positions of the frame without a value get ``fill``. Tile ids are unique in
     a layer and band. The boxes are joined to the tiles by key, as a broadcast only while Spark
     measures them small.
     """
-    joined = tiles.join(shared_parts(tiles, block), [*KEY, "tile_id"], "left")
+    joined = _dealt(tiles).join(shared_parts(tiles, block), [*KEY, "tile_id"], "left")
     own = tiles_to_pixels(joined, keep=["shared"])
     within = lambda s: (F.col("row_idx") >= s["r0"]) & (F.col("row_idx") < s["r1"]) & (F.col("col_idx") >= s["c0"]) & (F.col("col_idx") < s["c1"])
     alone = own.where(F.col("shared").isNull() | ~F.exists("shared", within))
