@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import reference as R
-from zonalis.llm import components, decontaminate, langid, lines, minhash, packing, paragraphs, pii, quality, secrets, suffixes
+from zonalis.llm import components, decontaminate, langid, lines, minhash, neardup, packing, paragraphs, pii, quality, secrets, suffixes
 from zonalis.llm.neardup import link
 from zonalis.llm.queries import vocabulary
 from zonalis.llm.shingles import pack
@@ -232,6 +232,27 @@ def test_hot_bucket(spark):
     assert len(set(groups.find(i) for i in sets)) > 1
 
 
+def test_small_buckets(spark, monkeypatch):
+    """Components of small buckets are exact, and no group is made of buckets whose pairs are few rows."""
+    rng = random.Random(9)
+    sets, rows = {}, []
+    for key in range(60):
+        ids = range(100 * key, 100 * key + (2 if key < 20 else rng.randint(3, 20)))
+        for i in ids:
+            kept = set(range(1000 * key, 1000 * key + 60)) - {1000 * key + x for x in rng.sample(range(60), rng.randint(0, 12))}
+            sets[i] = frozenset(kept)
+            rows.append((i, key))
+    grouped = []
+    within = neardup._within
+    monkeypatch.setattr(neardup, "_within", lambda spread, *rest: grouped.extend(spread.collect()) or within(spread, *rest))
+    full = spark.createDataFrame([(i, len(s), bytearray(pack(np.array(sorted(s), np.uint64)))) for i, s in sets.items()], "id BIGINT, n BIGINT, members BINARY")
+    placed = {r.id: r.component for r in link(spark.createDataFrame(rows, "id BIGINT, key BIGINT"), lambda ids: full, 80, shared=True).collect()}
+    groups = R.linked(sets, 80)
+    assert {i: placed.get(i, i) for i in sets} == {i: groups.find(i) for i in sets}
+    assert len({groups.find(i) for i in range(0, 2000) if i in sets}) > 20
+    assert all(r["size"] > neardup.SMALL for r in grouped)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(0, 200)] + [(rng.randint(300, 600), rng.randint(300, 600)) for _ in range(200)]

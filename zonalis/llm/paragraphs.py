@@ -19,6 +19,8 @@ from zonalis.llm.worker import bound_batches
 SHINGLE = 5
 #: Words below which a part of a line is too common a phrase to be a repeat.
 MIN_WORDS = 8
+#: Bytes that end a part of a line.
+_CLOSING = np.isin(np.arange(256), np.frombuffer(b".!?", np.uint8))
 
 
 def tune(similarity: float, background: float = 0.01, miss: float = 1e-3, false_hits: float = 1e-3) -> tuple[int, int]:
@@ -32,25 +34,44 @@ def tune(similarity: float, background: float = 0.01, miss: float = 1e-3, false_
         rows += 1
 
 
-def _level(row: np.ndarray, line: np.ndarray, words: tuple[np.ndarray, ...], head: np.ndarray, least: int) -> tuple[np.ndarray, ...]:
+def _sets_of(values: np.ndarray, unit: np.ndarray, n_units: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of each unit in the order of their low 48 bits, and their units."""
+    if n_units <= 1 << 16:
+        key = (unit.astype(np.uint64) << np.uint64(48)) | (values & np.uint64((1 << 48) - 1))
+        order = np.argsort(key)
+        key = key[order]
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = key[1:] != key[:-1]
+        order = order[fresh]
+    else:
+        low = values & np.uint64((1 << 48) - 1)
+        order = np.lexsort((low, unit))
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (low[order[1:]] != low[order[:-1]]) | (unit[order[1:]] != unit[order[:-1]])
+        order = order[fresh]
+    return values[order], unit[order]
+
+
+def _level(
+    row: np.ndarray, line: np.ndarray, words: tuple[np.ndarray, ...], runs: np.ndarray, head: np.ndarray, least: int,
+) -> tuple[np.ndarray, ...]:
     """Row, number in the row, line, byte range in the data, words, and shingle sets of the units that
-    begin at the words ``head`` and have ``least`` words or more."""
+    begin at the words ``head`` and have ``least`` words or more; ``runs`` are the shingles from each word on."""
     hashes, starts, ends = words
     first = np.append(np.flatnonzero(head), len(hashes))
     unit_row = row[first[:-1]]
     number = np.arange(len(unit_row)) - np.searchsorted(unit_row, unit_row)
-    values, unit = S.shingle(hashes, first, SHINGLE)
-    long = np.diff(first) >= least
-    use = long[unit]
-    values, unit = values[use], unit[use]
-    order = np.lexsort((values, unit))
-    values, unit = values[order], unit[order]
-    fresh = np.ones(len(values), bool)
-    fresh[1:] = (values[1:] != values[:-1]) | (unit[1:] != unit[:-1])
-    values, unit = values[fresh], unit[fresh]
+    count = np.diff(first)
+    long = count >= least
+    of = np.repeat(np.arange(len(count)), count)
+    inside = np.flatnonzero((of[:len(runs)] == of[SHINGLE - 1:]) & long[of[:len(runs)]])
+    few = long & (count < SHINGLE)
+    short = np.flatnonzero(few)
+    values, unit = S.shingle(hashes[few[of]], np.append(0, np.cumsum(count[short])), SHINGLE)
+    values, unit = _sets_of(np.concatenate([runs[inside], values]), np.concatenate([of[inside], short[unit]]), len(count))
     at = np.flatnonzero(long)
     return (unit_row[at], number[at], line[first[at]], starts[first[at]], ends[first[at + 1] - 1],
-            first[at + 1] - first[at], values, np.searchsorted(unit, at))
+            count[at], values, np.searchsorted(unit, at))
 
 
 def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.ndarray, ...]:
@@ -65,17 +86,20 @@ def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.nda
     if not len(hashes):
         none = np.zeros(0, np.int64)
         return none, none, none, none, none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    row = np.searchsorted(offsets, starts, "right") - 1
-    feeds = np.concatenate([[0], np.cumsum(data == 10)])
-    closing = np.isin(data[ends - 1], np.frombuffer(b".!?", np.uint8))
-    whole = np.ones(len(hashes), bool)
-    whole[1:] = (feeds[starts[1:]] > feeds[ends[:-1]]) | (row[1:] != row[:-1])
+    heads = np.searchsorted(starts, offsets)
+    row = np.repeat(np.arange(len(texts)), np.diff(heads))
+    closing = _CLOSING[data[ends - 1]]
+    after = np.searchsorted(starts, np.flatnonzero(data == 10))
+    whole = np.zeros(len(hashes) + 1, bool)
+    whole[heads] = whole[after] = True
+    whole = whole[:-1]
     part = whole.copy()
     part[1:] |= closing[:-1]
     line = np.cumsum(whole) - 1
-    line -= line[np.searchsorted(row, row)]
-    parts = _level(row, line, words, part, min_words)
-    wholes = _level(row, line, words, whole, min_line_words)
+    line -= line[heads[row]]
+    runs = S.runs(hashes, SHINGLE)
+    parts = _level(row, line, words, runs, part, min_words)
+    wholes = _level(row, line, words, runs, whole, min_line_words)
     of, number, line, begin, end, count, values = (np.concatenate(x) for x in zip(parts[:7], wholes[:7]))
     code = 2 * number
     code[len(parts[0]):] += 1
@@ -83,12 +107,15 @@ def _units(texts: pa.Array, min_words: int, min_line_words: int) -> tuple[np.nda
     return of, code, line, begin - offsets[of], end - offsets[of], count, values, bounds
 
 
-def paragraph_table(docs: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
-    """One row per paragraph of ``docs`` (doc, text) with its range, words, set size and set identity.
+def paragraph_table(docs: DataFrame, bands: int, rows: int, min_words: int, min_line_words: int, similarity: int) -> DataFrame:
+    """One row per paragraph of ``docs`` (doc, text) with its range, words, set size, set identity and a key per band.
 
-    Parts and whole lines differ in identity and keys, so a line never meets a part of itself.
+    Parts and whole lines differ in identity and keys, so a line never meets a part of itself. The
+    keys are NULL where the set is too small to be like another than an equal one. They are columns of
+    their own, so that a scan for one band reads no other.
     """
     kind = docs.schema["doc"].dataType.simpleString()
+    names = [f"key{band}" for band in range(bands)]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -97,15 +124,19 @@ def paragraph_table(docs: DataFrame, min_words: int, min_line_words: int) -> Dat
                 if not len(row):
                     continue
                 one, two = _identity(code, values, bounds)
-                names = batch.column(0).slice(at, len(texts)).take(pa.array(row))
+                n = np.diff(bounds)
+                lone = n * (100 - similarity) < similarity
+                keys = S.band_keys(S.min_max(values, bounds[:-1], bands * rows, both=False), rows).view(np.uint64) + _level_of(code)[:, None]
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(code.astype(np.int32)), pa.array(line.astype(np.int32)), pa.array(begin), pa.array(end),
-                     pa.array(words.astype(np.int32)), pa.array(np.diff(bounds)), pa.array(one), pa.array(two)],
-                    ["doc", "unit", "line", "begin", "end", "words", "n", "one", "two"],
+                    [batch.column(0).slice(at, len(texts)).take(pa.array(row)), pa.array(code.astype(np.int32)), pa.array(line.astype(np.int32)),
+                     pa.array(begin), pa.array(end), pa.array(words.astype(np.int32)), pa.array(n), pa.array(one), pa.array(two),
+                     *[pa.array(k, mask=lone) for k in np.ascontiguousarray(keys.view(np.int64).T)]],
+                    ["doc", "unit", "line", "begin", "end", "words", "n", "one", "two", *names],
                 )
 
     return docs.select("doc", "text").mapInArrow(
-        read, f"doc {kind}, unit int, line int, begin bigint, end bigint, words int, n bigint, one bigint, two bigint"
+        read, f"doc {kind}, unit int, line int, begin bigint, end bigint, words int, n bigint, one bigint, two bigint, "
+        + ", ".join(f"{name} bigint" for name in names)
     )
 
 
@@ -119,13 +150,8 @@ def _identity(code: np.ndarray, values: np.ndarray, bounds: np.ndarray) -> tuple
         for c in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93))
 
 
-def band_table(docs: DataFrame, bands: int, rows: int, min_words: int, min_line_words: int, similarity: int) -> DataFrame:
-    """(doc, unit, n, one, two, keys) of each paragraph that could be like another than an equal one.
-
-    The texts are read for this once more: the keys of all paragraphs are several times as large as
-    all else, and go straight into the aggregate that keeps those of one paragraph per class.
-    """
-    kind = docs.schema["doc"].dataType.simpleString()
+def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
+    """(id, n, members) of the ``wanted`` (doc, units) paragraphs, ``units`` holding their number and id."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,58 +159,35 @@ def band_table(docs: DataFrame, bands: int, rows: int, min_words: int, min_line_
                 row, code, _, _, _, _, values, bounds = _units(texts, min_words, min_line_words)
                 if not len(row):
                     continue
-                n = np.diff(bounds)
-                banded = np.flatnonzero(n * (100 - similarity) >= similarity)
-                if not len(banded):
-                    continue
-                one, two = _identity(code, values, bounds)
-                keys = S.band_keys(S.min_max(values, bounds[:-1], bands * rows, both=False), rows).view(np.uint64) + _level_of(code)[:, None]
-                names = batch.column(0).slice(at, len(texts)).take(pa.array(row[banded]))
-                yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(code[banded].astype(np.int32)), pa.array(n[banded]), pa.array(one[banded]), pa.array(two[banded]),
-                     pa.ListArray.from_arrays(pa.array(np.arange(len(banded) + 1, dtype=np.int32) * bands), pa.array(keys[banded].view(np.int64).reshape(-1)))],
-                    ["doc", "unit", "n", "one", "two", "keys"],
-                )
-
-    return docs.select("doc", "text").mapInArrow(read, f"doc {kind}, unit int, n bigint, one bigint, two bigint, keys array<bigint>")
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, min_words: int, min_line_words: int) -> DataFrame:
-    """(id, n, members) of the ``wanted`` (doc, units) paragraphs."""
-    kind = docs.schema["doc"].dataType.simpleString()
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, texts in S.pieces(batch.column(1)):
-                row, code, _, _, _, _, values, bounds = _units(texts, min_words, min_line_words)
+                one, _ = _identity(code, values, bounds)
                 units = batch.column(2).slice(at, len(texts))
-                asked = [set(u.as_py()) for u in units]
-                use = [k for k in range(len(row)) if int(code[k]) in asked[row[k]]]
-                names = batch.column(0).slice(at, len(texts)).take(pa.array(row[use], pa.int64()))
+                # By number and id: rows that share a document's id can differ in their texts.
+                asked = [{(u["unit"], u["one"]) for u in units_of} for units_of in units.to_pylist()]
+                use = [k for k, of in enumerate(zip(row.tolist(), code.tolist(), one.tolist())) if of[1:] in asked[of[0]]]
                 yield pa.RecordBatch.from_arrays(
-                    [names, pa.array(code[use].astype(np.int32)), pa.array(np.diff(bounds)[use]),
-                     pa.array([S.pack(values[bounds[k]:bounds[k + 1]]) for k in use], pa.binary())],
-                    ["doc", "unit", "n", "members"],
+                    [pa.array(one[use]), pa.array(np.diff(bounds)[use]), pa.array([S.pack(values[bounds[k]:bounds[k + 1]]) for k in use], pa.binary())],
+                    ["id", "n", "members"],
                 )
 
     return docs.join(wanted.hint("merge"), "doc").select("doc", "text", "units").mapInArrow(
-        read, f"doc {kind}, unit int, n bigint, members binary"
-    ).groupBy(F.struct("doc", "unit").alias("id")).agg(F.max(F.struct("n", "members")).alias("s")).select("id", "s.n", "s.members")
+        read, "id bigint, n bigint, members binary"
+    ).groupBy("id").agg(F.max(F.struct("n", "members")).alias("s")).select("id", "s.n", "s.members")
 
 
-def _shared_keys(keyed: DataFrame, bands: int) -> DataFrame:
-    """(id, key) of the keys that several of ``keyed`` (id, keys) have, a written table.
+def _shared_keys(units: DataFrame, bands: int) -> DataFrame:
+    """(id, key) of the keys that several sets of ``units`` have, a written table; ``one`` is the id.
 
     Band after band, because nearly all keys are unique: what is shuffled at once is a band's share.
+    Copies of a paragraph are one set; they combine before they are shuffled to be counted.
     """
-    spark, parts = keyed.sparkSession, []
+    spark, parts = units.sparkSession, []
     for band in range(bands):
-        own = keyed.select("id", F.col("keys")[band].alias("key"))
-        again = materialize(own.groupBy("key").count().where("count > 1").select(F.col("key").alias("id")))
-        parts.append(materialize(only(own, "key", again)))
+        own = units.select(F.col("one").alias("id"), F.col(f"key{band}").alias("key")).where("key IS NOT NULL")
+        again = materialize(own.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select(F.col("key").alias("id")))
+        parts.append(materialize(only(own, "key", again).distinct()))
         discard(again)
         release(spark)
-    shared = materialize(reduce(DataFrame.unionByName, parts))
+    shared = materialize(reduce(DataFrame.unionByName, parts).select("id", "key"))
     discard(*parts)
     return shared
 
@@ -226,26 +229,29 @@ def duplicate_paragraphs(
     bands, rows = tune(similarity / 100)
     bound_batches(docs.sparkSession)
     same = ["one", "two", "n"]
-    keyed = band_table(rows_in, bands, rows, min_words, min_line_words, similarity).groupBy(*same).agg(
-        F.min(F.struct("doc", "unit")).alias("id"), F.first("keys").alias("keys"))
-    keyed = materialize(keyed.select("id", "keys"))
+    units = materialize(paragraph_table(rows_in, bands, rows, min_words, min_line_words, similarity))
+    keys = _shared_keys(units, bands)
+    # Most paragraphs have no equal and share no key: the others go on, without their keys.
+    wanted = materialize(
+        units.groupBy("one").count().where("count > 1").select(F.col("one").alias("id")).unionByName(keys.select("id")).distinct()
+    )
+    like = materialize(only(units.select("doc", "unit", "line", "begin", "end", "words", *same), "one", wanted))
+    discard(units, wanted)
     release(docs.sparkSession)
-    keys = _shared_keys(keyed, bands)
-    discard(keyed)
-    units = materialize(paragraph_table(rows_in, min_words, min_line_words))
+    of_class = materialize(like.groupBy(*same).agg(F.min(F.struct("doc", "unit")).alias("id"), F.max(F.struct("doc", "unit")).alias("last")))
 
     def sets_of(ids: DataFrame) -> DataFrame:
-        wanted = materialize(ids.groupBy("id.doc").agg(F.collect_list("id.unit").alias("units")))
+        wanted = materialize(only(of_class, "one", ids).groupBy("id.doc").agg(F.collect_list(F.struct("id.unit", "one")).alias("units")))
         return _sets(rows_in, wanted, min_words, min_line_words)
 
-    placed = link(keys, sets_of, similarity)
-    classes = units.groupBy(*same).agg(
-        F.min(F.struct("doc", "unit")).alias("id"), F.max(F.struct("doc", "unit")).alias("last")
-    ).join(placed, "id", "left").where("component IS NOT NULL OR id <> last").select(
-        *same, F.coalesce("component", "id").alias("first")
+    placed = link(keys, sets_of, similarity, shared=True)
+    linked = materialize(of_class.join(placed.withColumnRenamed("id", "one"), "one"))
+    firsts = linked.groupBy("component").agg(F.min("id").alias("first"))
+    classes = linked.join(firsts, "component").select(*same, "first").unionByName(
+        of_class.where("id <> last").join(placed.select(F.col("id").alias("one")), "one", "left_anti").select(*same, F.col("id").alias("first"))
     )
-    found = materialize(units.join(materialize(classes), same).select("doc", "unit", "line", "begin", "end", "words", "first").distinct())
-    discard(units)
+    found = materialize(like.join(materialize(classes), same).select("doc", "unit", "line", "begin", "end", "words", "first").distinct())
+    discard(like, of_class, linked)
     if lone_words > 1:
         found = materialize(found.where("unit % 2 = 0").unionByName(_beside(found.where("unit % 2 = 1"), lone_words)))
     # A part that goes with its line cannot stand for its cluster while one elsewhere can.
