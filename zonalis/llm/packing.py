@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,27 +12,43 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from zonalis.llm.worker import kept
+from zonalis.llm.worker import bound_batches, kept
 
 CAPACITY = 2048
 END = 1
 #: A document's rest is cut to exact class sizes down to this length; the last piece stays uncut.
 FINE = 128
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
+#: Chunks whose ids a worker remembers, and the characters up to which one is remembered.
+REMEMBERED = 250_000
+LONGEST = 64
 #: Bytes of text encoded at once.
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 
 #: Letters for which lower case and composed form are certain, then plain punctuation: such a chunk
 #: is one run of letters and one of signs to the tokenizer.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|$%&*#]*)")
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class _Learned(dict):
+    """Values that ``learn`` finds for keys that are not there."""
+
+    def __init__(self, learn):
+        self.learn = learn
+
+    def __missing__(self, key):
+        return self.learn(key)
+
+
 class WordTokenizer:
     """The ids of whole texts, from a dictionary of the ids of their chunks between blanks.
 
     The tokenizer drops white space and never joins across it, so a text's ids are those of its
-    chunks one after another.
+    chunks one after another. When half of ``REMEMBERED`` chunks are known, they become the older
+    half and the one before is forgotten; a chunk that is met again comes back from there.
     """
 
     def __init__(self, path: str):
@@ -42,58 +59,44 @@ class WordTokenizer:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in set(shown)]
         self.letters = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        self.number: dict[str, int] = {}
-        self.flat = np.zeros(0, np.uint32)
-        self.ends = np.zeros(0, np.int64)
+        self.known, self.older = _Learned(self._learn), {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        text = "".join(map(self.letters.__getitem__, piece.encode()))
-        ids = self.pieces[piece] = tuple(t.id for t in self.tokenizer.model.tokenize(text))
-        return ids
+    def _piece(self, piece: str) -> bytes:
+        if not piece.isascii():  # letters and signs of ASCII stand for themselves
+            piece = "".join(map(self.letters.__getitem__, piece.encode()))
+        return _packed([t.id for t in self.tokenizer.model.tokenize(piece)])
 
-    def _learn(self, chunks: list[str]) -> None:
-        if len(self.pieces) > REMEMBERED:
-            self.pieces.clear()
-        known, plain, new, sizes = self.pieces.get, _PLAIN.fullmatch, [], []
-        for chunk in chunks:
-            parts = plain(chunk)
+    def _learn(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            parts = _PLAIN.fullmatch(chunk)
             if parts:
                 letters, signs = parts.groups()
-                letters = letters.lower()
-                ids = known(letters) or self._piece(letters)
-                if signs:
-                    ids += known(signs) or self._piece(signs)
+                lower = letters.lower()
+                ids = self._piece(chunk) if chunk == lower else self.known[lower] + self._signs(signs)
             else:
-                ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-            new.extend(ids)
-            sizes.append(len(ids))
-        first = len(self.number)
-        self.number.update(zip(chunks, range(first, first + len(chunks))))
-        self.ends = np.append(self.ends, np.cumsum(sizes) + len(self.flat))
-        self.flat = np.append(self.flat, np.array(new, np.uint32))
+                ids = _packed(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        return self._keep(chunk, ids)
+
+    def _signs(self, signs: str) -> bytes:
+        if not signs:
+            return b""
+        ids = self.known.get(signs)
+        return self._keep(signs, self._piece(signs)) if ids is None else ids
+
+    def _keep(self, chunk: str, ids: bytes) -> bytes:
+        if len(chunk) <= LONGEST:
+            if len(self.known) >= REMEMBERED // 2:
+                self.older = dict(self.known)
+                self.known.clear()
+            self.known[chunk] = ids
+        return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Little-endian 32-bit ids of each text."""
-        if len(self.number) > REMEMBERED:
-            self.clear()
         # Only blanks that every part of the tokenizer takes as white space; it sees the rest.
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        get = self.number.get
-        self._learn(list({c: None for chunks in split for c in chunks if c not in self.number}))
-        out = []
-        for chunks in split:
-            at = list(map(get, chunks))
-            at = np.array(at, np.int64)
-            ends = self.ends[at]
-            starts = np.where(at > 0, self.ends[at - 1], 0)
-            sizes = ends - starts
-            before = np.cumsum(sizes) - sizes
-            out.append(self.flat[np.repeat(starts - before, sizes) + np.arange(sizes.sum())].astype("<u4"))
-        return out
+        split = (t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts)
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, chunks)), "<u4") for chunks in split]
 
 
 def class_of(length: int, capacity: int = CAPACITY) -> int:
@@ -175,6 +178,7 @@ def harmonic_pack(
     row is packed. Texts of any length are packed whole. Other columns are ignored; an empty table
     gives no row.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
